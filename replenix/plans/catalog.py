@@ -6,6 +6,7 @@ sampled or capped.  Column names and types match the oracle SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,13 @@ from ..sources.settings import settings_from_text
 from ..sources.testdata import AS_OF, SALES_FROM, SALES_TO, TpchAdapter, settings_json
 from . import oracle as O
 from . import replenishment as RP
+from .. import constants as K
+from ..operators import quality as QC
+from ..operators import views as V
+from ..operators.settings_ops import sync_settings
+from ..session import checkpoint_dir
+from ..sinks import writers as WR
+from ..streaming import scan as SC
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -171,6 +179,363 @@ def q_image_urls(spark, sf_dir):
     return ST.image_lookup(ST.stock_long(adapter(spark, sf_dir).stock_wide()))
 
 
+# ---------------------------------------------------------------- views and aggregates
+DEC = "decisions_v"
+NORTH, SOUTH = O.q(K.NORTH), O.q(K.SOUTH)
+
+
+def _sum_when(cond: str, col: str) -> str:
+    return f"COALESCE(SUM(CASE WHEN {cond} THEN {col} END), 0.0)"
+
+
+@register("container_check", O.decisions_sql(f"""
+SELECT channel, ROUND(n, 8) AS north_order_volume, ROUND(s, 8) AS south_order_volume, ROUND(t, 8) AS total_order_volume,
+       n >= 69.0 AS north_bookable, s >= 69.0 AS south_bookable, ROUND(69.0 - n, 8) AS north_gap, ROUND(69.0 - s, 8) AS south_gap
+FROM (SELECT channel, {_sum_when(f"decision = 'order' AND region = {NORTH}", 'order_volume')} AS n,
+             {_sum_when(f"decision = 'order' AND region = {SOUTH}", 'order_volume')} AS s,
+             {_sum_when("decision = 'order'", 'order_volume')} AS t FROM {DEC} GROUP BY channel)"""))
+def q_container_check(spark, sf_dir):
+    df = V.container_check(decisions_df(spark, sf_dir))
+    return round_doubles(df, ("north_order_volume", "south_order_volume", "total_order_volume", "north_gap",
+                              "south_gap"))
+
+
+@register("region_totals", O.decisions_sql(f"""
+SELECT region, ROUND(v, 8) AS order_volume, 69.0::DOUBLE AS threshold, v >= 69.0 AS bookable FROM (
+  SELECT {NORTH} AS region, {_sum_when(f"decision = 'order' AND region = {NORTH}", 'order_volume')} AS v FROM {DEC}
+  UNION ALL
+  SELECT {SOUTH}, {_sum_when(f"decision = 'order' AND region = {SOUTH}", 'order_volume')} FROM {DEC})"""))
+def q_region_totals(spark, sf_dir):
+    return round_doubles(V.region_totals(decisions_df(spark, sf_dir)), ("order_volume",))
+
+
+@register("expedite_totals", O.decisions_sql(f"""
+SELECT region, ROUND(SUM(expedite_volume), 8) AS expedite_volume, ROUND(SUM(expedite_qty), 8) AS expedite_qty
+FROM {DEC} WHERE decision = 'expedite' GROUP BY ROLLUP (region)"""))
+def q_expedite_totals(spark, sf_dir):
+    return round_doubles(V.expedite_totals(decisions_df(spark, sf_dir)), ("expedite_volume", "expedite_qty"))
+
+
+@register("decision_badges", O.decisions_sql(f"""
+SELECT decision, COUNT(*) AS rows, ROUND(SUM(order_volume), 8) AS order_volume,
+       ROUND(SUM(expedite_qty), 8) AS expedite_qty, ROUND(SUM(expedite_volume), 8) AS expedite_volume
+FROM {DEC} GROUP BY decision"""))
+def q_decision_badges(spark, sf_dir):
+    return round_doubles(V.decision_badges(decisions_df(spark, sf_dir)),
+                         ("order_volume", "expedite_qty", "expedite_volume"))
+
+
+def _label_sql(col: str, labels: dict) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = {O.q(k)} THEN {O.q(v)}" for k, v in labels.items()) + " END"
+
+
+@register("decision_distribution", O.decisions_sql(f"""
+SELECT decision, {_label_sql('decision', K.DECISION_LABELS)} AS label, {_label_sql('decision', K.DECISION_LABELS_EN)}
+       AS label_en, COUNT(*) AS rows, ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM {DEC}), 8) AS percent
+FROM {DEC} GROUP BY decision"""))
+def q_decision_distribution(spark, sf_dir):
+    return round_doubles(V.decision_distribution(decisions_df(spark, sf_dir)), ("percent",))
+
+
+@register("run_summary", O.decisions_sql(f"""
+SELECT COUNT(*) AS rows, COUNT(*) FILTER (WHERE decision = 'order') AS order_rows,
+       COUNT(*) FILTER (WHERE decision = 'expedite') AS expedite_rows,
+       COUNT(*) FILTER (WHERE decision = 'hold') AS hold_rows, COUNT(*) FILTER (WHERE decision = 'no_sales') AS no_sales_rows,
+       ROUND({_sum_when("decision = 'order'", 'order_qty')}, 8) AS order_qty,
+       ROUND({_sum_when("decision = 'order'", 'order_volume')}, 8) AS order_volume,
+       ROUND({_sum_when(f"decision = 'order' AND region = {NORTH}", 'order_volume')}, 8) AS north_order_volume,
+       ROUND({_sum_when(f"decision = 'order' AND region = {SOUTH}", 'order_volume')}, 8) AS south_order_volume,
+       ROUND({_sum_when("decision = 'expedite'", 'expedite_volume')}, 8) AS expedite_volume,
+       ROUND({_sum_when(f"decision = 'expedite' AND region = {NORTH}", 'expedite_volume')}, 8) AS north_expedite_volume,
+       ROUND({_sum_when(f"decision = 'expedite' AND region = {SOUTH}", 'expedite_volume')}, 8) AS south_expedite_volume,
+       (SELECT COUNT(*) FROM filled WHERE is_discontinued = 1) AS discontinued_dropped
+FROM {DEC}"""))
+def q_run_summary(spark, sf_dir):
+    td = adapter(spark, sf_dir)
+    dem = RP.demand(td.erp(), AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
+    dec = RP.replenishment(td.stock_wide(), td.po_file(), dem, settings(spark, td))
+    dropped = RP.discontinued_dropped(td.stock_wide(), td.po_file(), dem)
+    out = V.run_summary(dec, dropped)
+    return round_doubles(out, [c for c in out.columns if "volume" in c or c == "order_qty"])
+
+
+@register("top_urgent", O.decisions_sql(f"""
+SELECT channel, sku, region, decision, total_stock, ROUND(daily_demand, 8) AS daily_demand,
+       ROUND(CASE WHEN daily_demand > 0 THEN total_stock / daily_demand ELSE 999.0 END, 8) AS days_of_supply
+FROM {DEC} WHERE decision IN ('order', 'expedite')
+ORDER BY CASE WHEN daily_demand > 0 THEN total_stock / daily_demand ELSE 999.0 END, sku, region LIMIT 30"""))
+def q_top_urgent(spark, sf_dir):
+    df = V.top_urgent(decisions_df(spark, sf_dir), 30)
+    return round_doubles(df.select("channel", "sku", "region", "decision", "total_stock", "daily_demand",
+                                   "days_of_supply"), ("daily_demand", "days_of_supply"))
+
+
+FAMILY_CASES = {
+    "family_filter_exact": (K.SOUTH, None, "economy"),
+    "family_filter_contains": (K.NORTH, K.ORDER, "ar"),
+    "family_filter_fallback": (K.SOUTH, K.EXPEDITE, "anvil"),
+}
+VIEW_COLS = ("channel", "sku", "region", "product_family", "name", "decision")
+
+
+def _family_sql(region, decision, text) -> str:
+    conds = [f"region = {O.q(region)}"] + ([f"decision = {O.q(decision)}"] if decision else [])
+    cols = ", ".join(VIEW_COLS)
+    t = O.q(text.lower())
+    return O.decisions_sql(f"""
+, v AS (SELECT {cols} FROM {DEC} WHERE {' AND '.join(conds)}),
+tiers AS (
+  SELECT *, 1 AS tier FROM v WHERE lower(product_family) = {t}
+  UNION ALL SELECT *, 2 FROM v WHERE regexp_matches(lower(product_family), {t})
+  UNION ALL SELECT {cols}, 3 FROM {DEC} WHERE regexp_matches(lower(product_family), {t}) OR regexp_matches(lower(name), {t}))
+SELECT {cols} FROM tiers WHERE tier = (SELECT MIN(tier) FROM tiers)""").replace("\n, v AS", ", v AS")
+
+
+def _family_query(region, decision, text) -> Query:
+    def run(spark, sf_dir):
+        dec = decisions_df(spark, sf_dir).select(*VIEW_COLS)
+        return V.search_family(V.filter_view(dec, region, decision), dec, text)
+    return run
+
+
+for _name, (_r, _d, _t) in FAMILY_CASES.items():
+    register(_name, _family_sql(_r, _d, _t))(_family_query(_r, _d, _t))
+
+
+@register("family_facets", O.with_ctes(O.ADAPTER, O.STOCK_LONG) + """
+SELECT DISTINCT channel, product_family FROM stock_long WHERE product_family IS NOT NULL AND product_family <> ''""")
+def q_family_facets(spark, sf_dir):
+    return ST.family_facets(ST.stock_long(adapter(spark, sf_dir).stock_wide()))
+
+
+@register("sorted_view", O.decisions_sql(f"""
+SELECT channel, sku, region, decision, ROUND(daily_demand, 8) AS daily_demand FROM {DEC}
+ORDER BY daily_demand DESC NULLS LAST, sku ASC NULLS LAST"""))
+def q_sorted_view(spark, sf_dir):
+    df = V.sort_view(decisions_df(spark, sf_dir), "daily_demand", False, "sku", True)
+    return round_doubles(df.select("channel", "sku", "region", "decision", "daily_demand"), ("daily_demand",))
+
+
+@register("display_view")
+def q_display_view(spark, sf_dir):
+    return V.display(V.sort_view(decisions_df(spark, sf_dir), "priority", True, "sku", True))
+
+
+# ---------------------------------------------------------------- settings
+SETTINGS_SQL = O.with_ctes(O.ADAPTER)
+
+
+@register("settings_effective", SETTINGS_SQL + """
+SELECT channel, CAST(lead_time AS BIGINT) AS lead_time, CAST(logistics_time AS BIGINT) AS logistics_time, settings_source
+FROM settings_eff""")
+def q_settings_effective(spark, sf_dir):
+    df = settings(spark, adapter(spark, sf_dir))
+    return df.select("channel", F.col("lead_time").cast("bigint").alias("lead_time"),
+                     F.col("logistics_time").cast("bigint").alias("logistics_time"), "settings_source")
+
+
+@register("settings_sync", SETTINGS_SQL + """
+SELECT CAST(NULL AS VARCHAR) AS entry, 90::BIGINT AS lead_time, 30::BIGINT AS logistics_time, 'default' AS note
+UNION ALL
+SELECT channel, CAST(lead_time AS BIGINT), CAST(logistics_time AS BIGINT),
+       CASE WHEN channel = '905' THEN 'slow supplier' ELSE 'default' END FROM settings_eff""")
+def q_settings_sync(spark, sf_dir):
+    td = adapter(spark, sf_dir)
+    df = sync_settings(td.channels(), settings_from_text(spark, settings_json()))
+    return df.select("entry", F.col("lead_time").cast("bigint").alias("lead_time"),
+                     F.col("logistics_time").cast("bigint").alias("logistics_time"), "note")
+
+
+# ---------------------------------------------------------------- accumulate
+OVERRIDE_CHANNELS = ("901", "905")
+OVERRIDE_LEAD, OVERRIDE_LOG = 200, 60
+
+
+def _accumulated(spark, sf_dir) -> DataFrame:
+    td = adapter(spark, sf_dir)
+    erp = td.erp()
+    dem = RP.demand(erp, AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
+    base = RP.replenishment(td.stock_wide(), td.po_file(), dem, settings(spark, td))
+    ovr = spark.createDataFrame([(c, OVERRIDE_LEAD, OVERRIDE_LOG) for c in OVERRIDE_CHANNELS],
+                                "channel string, lead_time int, logistics_time int")
+    chans = td.channels().filter(F.col("channel").isin(*OVERRIDE_CHANNELS))
+    eff = effective_settings(chans, settings_from_text(spark, settings_json()), ovr)
+    new = RP.replenishment(td.stock_wide().filter(F.col("channel").isin(*OVERRIDE_CHANNELS)),
+                           td.po_file().filter(F.col("channel").isin(*OVERRIDE_CHANNELS)),
+                           dem.filter(F.col("channel").isin(*OVERRIDE_CHANNELS)), eff)
+    return WR.replace_channels(base, new)
+
+
+ACCUMULATE_SQL_OVR = f"""
+settings_ovr AS (
+  SELECT channel, CASE WHEN channel IN {O.in_list(OVERRIDE_CHANNELS)} THEN {OVERRIDE_LEAD} ELSE lead_time END AS lead_time,
+         CASE WHEN channel IN {O.in_list(OVERRIDE_CHANNELS)} THEN {OVERRIDE_LOG} ELSE logistics_time END AS logistics_time
+  FROM settings_eff)"""
+
+
+@register("accumulate_replace", O.decision_ctes(ACCUMULATE_SQL_OVR, "settings_ovr") + """
+SELECT channel, sku, region, decision, CAST(lead_time AS BIGINT) AS lead_time, ROUND(order_qty, 8) AS order_qty
+FROM decisions_v""")
+def q_accumulate_replace(spark, sf_dir):
+    df = _accumulated(spark, sf_dir).select("channel", "sku", "region", "decision",
+                                             F.col("lead_time").cast("bigint").alias("lead_time"), "order_qty")
+    return round_doubles(df, ("order_qty",))
+
+
+@register("accumulated_info", O.decisions_sql("""
+SELECT COUNT(*) AS rows, COUNT(DISTINCT channel) AS n_channels,
+       string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels FROM decisions_v"""))
+def q_accumulated_info(spark, sf_dir):
+    info = V.accumulated_info(_accumulated(spark, sf_dir))
+    return info.select("rows", F.size("channels").cast("bigint").alias("n_channels"),
+                       F.concat_ws(",", "channels").alias("channels"))
+
+
+# ---------------------------------------------------------------- quality
+def _demand_files(spark, sf_dir) -> DataFrame:
+    """The three demand outputs as the demand "files" of each channel (the
+    8-30 and 15 files carry WindowType; 30 does not)."""
+    erp = adapter(spark, sf_dir).erp()
+    perf = W.with_averages(W.demand_windows(erp, AS_OF, ("8_30", "15", "30", "30_aligned"), SALES_FROM, SALES_TO),
+                           ("8_30", "15", "30", "30_aligned"))
+    win = F.create_map(F.lit("8_30"), F.lit("8-30"), F.lit("15"), F.lit("15"), F.lit("30"), F.lit("30"))
+    base = perf.filter(F.col("variant").isin("8_30", "15", "30")).select(
+        "channel", F.col("sku").alias("Sku"), F.col("region").alias("Region"), win[F.col("variant")].alias("window"),
+        F.when(F.col("variant") != "30", win[F.col("variant")]).alias("WindowType"),
+        (F.col("variant") != "30").alias("_has_wt"),
+        F.col("avg_main").cast("string").alias("AvgDailyDemand_3Checkins_Avg"))
+    return base
+
+
+@register("quality_completeness", O.decision_ctes() + f"""
+SELECT c.channel, f.file, COALESCE(p.present, FALSE) AS present
+FROM channels c CROSS JOIN (VALUES {', '.join(f"('{x}')" for x in K.REQUIRED_FILES)}) f(file)
+LEFT JOIN (
+  SELECT DISTINCT channel, 'stock.csv' AS file, TRUE AS present FROM stock_file
+  UNION SELECT DISTINCT channel, 'PO.csv', TRUE FROM po_file
+  UNION SELECT DISTINCT channel, 'Sales 8-30.csv', TRUE FROM kd_8_30
+  UNION SELECT DISTINCT channel, 'Sales 15.csv', TRUE FROM kd_15
+  UNION SELECT DISTINCT channel, 'Sales 30.csv', TRUE FROM kd_30) p ON p.channel = c.channel AND p.file = f.file""")
+def q_quality_completeness(spark, sf_dir):
+    td = adapter(spark, sf_dir)
+    dem = RP.demand(td.erp(), AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
+    names = F.create_map(F.lit("8-30"), F.lit("Sales 8-30.csv"), F.lit("15"), F.lit("Sales 15.csv"),
+                         F.lit("30"), F.lit("Sales 30.csv"))
+    files = (td.stock_wide().select("channel", F.lit("stock.csv").alias("file"))
+             .unionByName(td.po_file().select("channel", F.lit("PO.csv").alias("file")))
+             .unionByName(dem.select("channel", names[F.col("window")].alias("file"))))
+    return QC.file_presence(td.channels(), files)
+
+
+@register("quality_window_type", O.decision_ctes() + """
+SELECT channel, "window", COUNT(DISTINCT wt) AS distinct_values, MAX(wt) AS value,
+       COUNT(DISTINCT wt) = 1 AND MAX(wt) <> '' AND MAX(wt) <> "window" AS warn
+FROM (SELECT channel, '8-30' AS "window", '8-30' AS wt FROM fin_8_30 UNION ALL SELECT channel, '15', '15' FROM fin_15)
+GROUP BY channel, "window"
+""")
+def q_quality_window_type(spark, sf_dir):
+    return QC.window_type_status(_demand_files(spark, sf_dir))
+
+
+@register("quality_same_demand", O.decision_ctes() + """
+SELECT a.channel, COUNT(*) AS common_keys, COUNT(*) FILTER (WHERE ROUND(a.value, 6) = ROUND(b.value, 6)) AS equal_keys,
+       COUNT(*) > 0 AND COUNT(*) = COUNT(*) FILTER (WHERE ROUND(a.value, 6) = ROUND(b.value, 6)) AS warn
+FROM kd_8_30 a JOIN kd_30 b USING (channel, sku, region) GROUP BY a.channel""")
+def q_quality_same_demand(spark, sf_dir):
+    return QC.same_demand_status(_demand_files(spark, sf_dir))
+
+
+@register("quality_same_diag", O.with_ctes(O.ADAPTER, O.SALES, O.window_ctes("8_30"), O.window_ctes("30_aligned")) + """
+SELECT a.channel, COUNT(*) AS common_rows,
+       bool_and(a.sample_start IS NOT DISTINCT FROM b.sample_start AND a.sample_days IS NOT DISTINCT FROM b.sample_days
+                AND a.sample_qty IS NOT DISTINCT FROM b.sample_qty) AS same
+FROM (SELECT DISTINCT channel, sku, region, checkin_date, sample_start, sample_days, sample_qty FROM fin_8_30) a
+JOIN (SELECT DISTINCT channel, sku, region, checkin_date, sample_start, sample_days, sample_qty FROM fin_30_aligned) b
+USING (channel, sku, region, checkin_date) GROUP BY a.channel""")
+def q_quality_same_diag(spark, sf_dir):
+    erp = adapter(spark, sf_dir).erp()
+    perf = W.demand_windows(erp, AS_OF, ("8_30", "30_aligned"), SALES_FROM, SALES_TO)
+    win = F.when(F.col("variant") == "8_30", F.lit("8-30")).otherwise(F.lit("30"))
+    files = perf.select("channel", F.col("sku").alias("Sku"), F.col("region").alias("Region"), win.alias("window"),
+                        F.col("checkin_date").alias("CheckinDate"), F.col("sample_start").alias("SampleStart"),
+                        F.col("sample_days").alias("SampleDays"), F.col("sample_qty").alias("SampleQty"))
+    return QC.same_diagnostics_status(files)
+
+
+# ---------------------------------------------------------------- sinks (K1, K2, K4) and streaming
+REPORT_SQL_COLS = ", ".join(
+    f'{("CAST(" + c + " AS BIGINT)") if c in () else (_label_sql(c, K.DECISION_LABELS) if c == "decision" else (f"ROUND({c}, 8)" if c in DECISION_DOUBLES else c))} AS "{h}"'
+    for c, h in WR.REPORT_COLUMNS if c not in ("image_url", "explanation"))
+
+
+@register("report", O.decisions_sql(f"SELECT {REPORT_SQL_COLS} FROM {DEC}"))
+def q_report(spark, sf_dir):
+    rep = WR.report(decisions_df(spark, sf_dir))
+    heads = dict(WR.REPORT_COLUMNS)
+    rep = rep.drop(heads["image_url"], heads["explanation"])
+    return round_doubles(rep, [heads[c] for c in DECISION_DOUBLES if c in heads])
+
+
+@register("report_summary", O.decisions_sql(f"""
+SELECT channel, ROUND(ov, 8) AS order_volume, ROUND(nov, 8) AS north_order_volume, ROUND(sov, 8) AS south_order_volume,
+       ROUND(ev, 8) AS expedite_volume, ROUND(nev, 8) AS north_expedite_volume, ROUND(sev, 8) AS south_expedite_volume,
+       {NORTH} || ':' || CASE WHEN nov >= 69.0 THEN '{WR.BOOKABLE}' ELSE '{WR.NOT_FULL}' END || ', ' || {SOUTH} || ':' ||
+       CASE WHEN sov >= 69.0 THEN '{WR.BOOKABLE}' ELSE '{WR.NOT_FULL}' END AS container_status
+FROM (SELECT channel, {_sum_when("decision = 'order'", 'order_volume')} AS ov,
+             {_sum_when(f"decision = 'order' AND region = {NORTH}", 'order_volume')} AS nov,
+             {_sum_when(f"decision = 'order' AND region = {SOUTH}", 'order_volume')} AS sov,
+             {_sum_when("decision = 'expedite'", 'expedite_volume')} AS ev,
+             {_sum_when(f"decision = 'expedite' AND region = {NORTH}", 'expedite_volume')} AS nev,
+             {_sum_when(f"decision = 'expedite' AND region = {SOUTH}", 'expedite_volume')} AS sev
+      FROM {DEC} GROUP BY channel)"""))
+def q_report_summary(spark, sf_dir):
+    df = WR.report_summary(decisions_df(spark, sf_dir))
+    return round_doubles(df, [c for c in df.columns if "volume" in c])
+
+
+RUN_TS = "20010630_0000"
+
+
+@register("run_log", O.decisions_sql(f"""
+SELECT channel, COUNT(*) AS rows, COUNT(*) FILTER (WHERE decision = 'order') AS order_rows,
+       ROUND({_sum_when(f"decision = 'order' AND region = {NORTH}", 'order_volume')}, 8) AS north_volume,
+       ROUND({_sum_when(f"decision = 'order' AND region = {SOUTH}", 'order_volume')}, 8) AS south_volume,
+       '{RUN_TS}' AS archive FROM {DEC} GROUP BY channel"""))
+def q_run_log(spark, sf_dir):
+    """Archive the decisions (K3), append the run log (K4), read the log back."""
+    scratch = scratch_dir(spark, "runlog")
+    dec = decisions_df(spark, sf_dir)
+    WR.archive(dec, f"{scratch}/archive", RUN_TS)
+    archived = spark.read.parquet(f"{scratch}/archive").filter(F.col("run_ts") == RUN_TS)
+    archived = archived.withColumn("channel", F.col("channel").cast("string"))
+    WR.append_run_log(archived, f"{scratch}/scan_log", RUN_TS)
+    return round_doubles(spark.read.parquet(f"{scratch}/scan_log"), ("north_volume", "south_volume"))
+
+
+def scratch_dir(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the shared checkpoint folder of the session."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+@register("stream_scan", O.decisions_sql())
+def q_stream_scan(spark, sf_dir):
+    """S1/S2 end to end: the channel inputs land as files partitioned by
+    channel; the streaming scan (availableNow) recomputes the touched channels
+    and overwrites their partitions of the decision table, read back here."""
+    td = adapter(spark, sf_dir)
+    scratch = scratch_dir(spark, "stream")
+    land = f"{scratch}/landing"
+    dem = RP.demand(td.erp(), AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
+    for kind, df in (("stock", td.stock_wide()), ("po", td.po_file()), ("demand", dem)):
+        df.write.partitionBy("channel").option("header", True).csv(f"{land}/{kind}")
+    query = SC.stream_scan(spark, land, f"{scratch}/decisions", f"{scratch}/_checkpoint",
+                           settings_from_text(spark, settings_json()), available_now=True)
+    query.awaitTermination()
+    schema = decisions_df(spark, sf_dir).schema
+    out = spark.read.schema(schema).parquet(f"{scratch}/decisions")
+    return decisions_out(out)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

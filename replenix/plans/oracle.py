@@ -303,8 +303,8 @@ po_rows AS (
   FROM po_file)"""
 
 
-def decision_ctes() -> str:
-    parts = [ADAPTER, SALES] + [window_ctes(k) for k in DECISION_VARIANTS] + [key_demand_cte(k) for k in DECISION_VARIANTS]
+def decision_ctes(extra: str = "", settings_cte: str = "settings_eff") -> str:
+    parts = [ADAPTER, SALES, extra] + [window_ctes(k) for k in DECISION_VARIANTS] + [key_demand_cte(k) for k in DECISION_VARIANTS]
     parts += [STOCK_LONG, PO_ROWS, f"""
 assembled AS (
   SELECT channel, sku, region, MAX(on_hand) AS on_hand, MAX(unit_volume) AS unit_volume,
@@ -333,7 +333,7 @@ needs AS (
          COALESCE(s.logistics_time, {K.DEFAULT_LOGISTICS_TIME}) AS logistics_time,
          on_hand + in_transit + in_production AS total_stock,
          greatest(demand_8_30, demand_15, demand_30) AS daily_demand
-  FROM filled f LEFT JOIN settings_eff s USING (channel) WHERE is_discontinued <> 1),
+  FROM filled f LEFT JOIN {settings_cte} s USING (channel) WHERE is_discontinued <> 1),
 needs2 AS (
   SELECT *, daily_demand * lead_time AS lead_time_need, daily_demand * logistics_time AS logistics_need,
          CASE WHEN daily_demand = 0 THEN {q(K.SOURCE_NONE)} ELSE concat_ws('/',
