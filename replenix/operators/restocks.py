@@ -47,12 +47,17 @@ def transfers_in(erp: Erp, channels: Sequence[str] | None = None) -> DataFrame:
     made inner by the route filter C4.  The transfer-type filter (C5) differs
     between windows, so the type is kept as a column here."""
     products = broadcast_if_small(erp.products.withColumnRenamed("Id", "ProductId"))
-    w = broadcast_if_small(erp.warehouses.select(S.try_guid("Id").alias("wid"), "Name"))
-    src = w.select(F.col("wid").alias("_src"), F.col("Name").alias("source_name"))
-    dst = w.select(F.col("wid").alias("_dst"), F.col("Name").alias("target_name"))
-    t = (erp.transfers.withColumn("_src", S.try_guid("SourceWarehouseId"))
+    w = erp.warehouses.select(S.try_guid("Id").alias("wid"), "Name")
+    # the route filter (C4) turns both left joins into inner joins, so the two
+    # warehouse roles are reduced to the route's warehouses before joining
+    src = broadcast_if_small(w.filter(F.col("Name") == K.TRANSFER_SOURCE)
+                             .select(F.col("wid").alias("_src"), F.col("Name").alias("source_name")))
+    dst = broadcast_if_small(w.filter(F.col("Name") == K.TRANSFER_TARGET)
+                             .select(F.col("wid").alias("_dst"), F.col("Name").alias("target_name")))
+    t = (erp.transfers.filter(F.col("TransferJobStatus") == K.TRANSFER_DONE)
+         .withColumn("_src", S.try_guid("SourceWarehouseId"))
          .withColumn("_dst", S.try_guid("TargetWarehouseId")))
-    df = (t.join(products, "ProductId").join(src, "_src", "left").join(dst, "_dst", "left")
+    df = (t.join(products, "ProductId").join(src, "_src").join(dst, "_dst")
           .filter(P.transfer_route("source_name", "target_name", "TransferJobStatus")))
     if channels is not None:
         df = df.filter(F.greatest(*[F.col("Sku").startswith(c) for c in channels]))

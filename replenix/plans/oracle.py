@@ -105,7 +105,7 @@ erp_containers AS (
 erp_transfers AS (
   SELECT 'T' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS Id, l_partkey AS ProductId,
          CASE WHEN l_linestatus = 'F' THEN {q(TD.ROUTE_SOURCE_ID)} ELSE {sguid('l_suppkey')} END AS SourceWarehouseId,
-         {q(TD.ROUTE_TARGET_ID)} AS TargetWarehouseId,
+         CASE WHEN l_linenumber > 0 THEN {q(TD.ROUTE_TARGET_ID)} ELSE {sguid('l_suppkey')} END AS TargetWarehouseId,
          CASE WHEN CAST(l_shipdate AS DATE) <= {AS_OF} THEN l_shipdate END AS CompletedOnUtc,
          CASE WHEN CAST(l_shipdate AS DATE) <= {AS_OF} THEN {q(K.TRANSFER_DONE)} ELSE 'InProgress' END AS TransferJobStatus,
          CASE WHEN l_discount = 0.0 THEN NULL WHEN l_discount >= 0.09 THEN 'Order' ELSE 'Move' END AS TransferType

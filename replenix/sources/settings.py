@@ -72,8 +72,11 @@ def read_settings(spark: SparkSession, root: str, fallbacks: Sequence[str] = LEG
         if path.getFileSystem(conf).exists(path):
             text = spark.read.option("wholetext", True).text(path.toString())
             return parse_settings(text)
-    return spark.createDataFrame([(None, K.DEFAULT_LEAD_TIME, K.DEFAULT_LOGISTICS_TIME, "")], SETTINGS_SCHEMA)
+    return spark.range(1).select(F.lit(None).cast("string").alias("entry"),
+                                 F.lit(K.DEFAULT_LEAD_TIME).alias("lead_time"),
+                                 F.lit(K.DEFAULT_LOGISTICS_TIME).alias("logistics_time"), F.lit("").alias("note"))
 
 
 def settings_from_text(spark: SparkSession, text: str) -> DataFrame:
-    return parse_settings(spark.createDataFrame([(text,)], "value string"))
+    """A settings document given as text (a one-row relation with size statistics)."""
+    return parse_settings(spark.range(1).select(F.lit(text).alias("value")))

@@ -111,8 +111,10 @@ class TpchAdapter:
         for nk in sorted(WAREHOUSE_BY_NATION, reverse=True):
             name = F.when(F.col("s_nationkey") == nk, F.lit(WAREHOUSE_BY_NATION[nk])).otherwise(name)
         suppliers = s.select(supplier_guid(F.col("s_suppkey")).alias("Id"), name.alias("Name"))
-        route = self.spark.createDataFrame(
-            [(ROUTE_SOURCE_ID, K.TRANSFER_SOURCE), (ROUTE_TARGET_ID, K.TRANSFER_TARGET)], "Id string, Name string")
+        # a VALUES relation carries size statistics, so the planner can broadcast it
+        route = self.spark.sql(
+            f"SELECT * FROM VALUES ('{ROUTE_SOURCE_ID}', '{K.TRANSFER_SOURCE}'), "
+            f"('{ROUTE_TARGET_ID}', '{K.TRANSFER_TARGET}') AS t(Id, Name)")
         return suppliers.unionByName(route)
 
     def port_of_supplier(self) -> DataFrame:
@@ -175,7 +177,8 @@ class TpchAdapter:
             F.col("l_partkey").alias("ProductId"),
             F.when(F.col("l_linestatus") == "F", F.lit(ROUTE_SOURCE_ID))
              .otherwise(supplier_guid(F.col("l_suppkey"))).alias("SourceWarehouseId"),
-            F.lit(ROUTE_TARGET_ID).alias("TargetWarehouseId"),
+            F.when(F.col("l_linenumber") > 0, F.lit(ROUTE_TARGET_ID))
+             .otherwise(supplier_guid(F.col("l_suppkey"))).alias("TargetWarehouseId"),
             F.when(done, F.col("l_shipdate")).alias("CompletedOnUtc"),
             F.when(done, F.lit(K.TRANSFER_DONE)).otherwise(F.lit("InProgress")).alias("TransferJobStatus"),
             ttype.alias("TransferType"))
