@@ -46,7 +46,13 @@ def window_type_status(demand: DataFrame, expected: dict[str, str] | None = None
             [], "channel string, window string, distinct_values bigint, value string, warn boolean")
     norm = F.coalesce(S.norm_window_type("WindowType"), F.lit("nan"))
     exp = F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.lit(v.lower()))])[F.col("window")]
-    has_col = F.col("_has_wt") if "_has_wt" in demand.columns else F.lit(True)
+    # only files whose header carries WindowType are checked
+    if "_has_wt" in demand.columns:
+        has_col = F.col("_has_wt")
+    elif "_header" in demand.columns:
+        has_col = F.array_contains(F.split(F.col("_header"), ","), "WindowType")
+    else:
+        has_col = F.lit(True)
     g = (demand.filter(has_col).groupBy("channel", "window")
          .agg(F.count_distinct(norm).alias("distinct_values"), F.max(norm).alias("value")))
     return g.withColumn("warn", (F.col("distinct_values") == 1) & ~F.col("value").isin("") & (F.col("value") != exp))

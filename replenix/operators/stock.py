@@ -51,7 +51,8 @@ def stock_long(stock_wide: DataFrame, region_columns=K.STOCK_COLUMNS, base: str
     keep = [ORDER_COL] if ORDER_COL in df.columns else []
     wide = df.select(
         "channel", F.col("Sku").cast("string").alias("sku"),
-        F.col("Name").cast("string").alias("name"), F.col("ProductFamily").cast("string").alias("product_family"),
+        F.coalesce(F.col("Name").cast("string"), F.lit("")).alias("name"),
+        F.coalesce(F.col("ProductFamily").cast("string"), F.lit("")).alias("product_family"),
         S.to_number("PriceRadarVolume").alias("unit_volume"), S.to_int_flag("IsDiscontinued").alias("is_discontinued"),
         F.col("ImageUrl").alias("image_url"), *keep,
         *[S.to_number(c).alias(r) for c, r in region_columns])

@@ -78,6 +78,7 @@ def read_channel_csv(spark: SparkSession, root: str, file_name: str,
         schema = ", ".join(f"`{c}` string" for c in header)
         df = (spark.read.option("header", True).option("encoding", "UTF-8").schema(schema).csv(files)
               .withColumn("_path", F.col("_metadata.file_path"))
+              .withColumn("_header", F.lit(",".join(header)))
               .withColumn(ORDER_COL, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
                                               F.monotonically_increasing_id())))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
