@@ -32,29 +32,37 @@ def filter_view(df: DataFrame, region: str | None = None, decision: str | None =
 
 
 # C11
-def search_family(view: DataFrame, all_rows: DataFrame, text: str | None, literal: bool = False) -> DataFrame:
+def search_family(rows: DataFrame, text: str | None, region: str | None = None, decision: str | None = None,
+                  literal: bool = False) -> DataFrame:
     """Family search in tiers: (1) case-insensitive exact family within the
-    view; (2) else family contains ``text`` (a regex unless ``literal``)
-    within the view; (3) if still empty, family or name contains it over all
-    rows.  The first non-empty tier wins; still empty gives no rows.
+    region/decision view; (2) else family contains ``text`` (a regex unless
+    ``literal``) within the view; (3) if still empty, family or name contains
+    it over all rows.  The first non-empty tier wins; still empty gives none.
 
-    The tiers are unioned with a tier number and the minimum tier is a scalar
-    subquery, so no data is collected and no global window is used."""
+    Each row gets its tier flags in one projection; the best tier is a scalar
+    subquery (one value), so nothing is collected and no global window is used."""
     t = (text or "").strip()
+    in_view = F.lit(True)
+    if region is not None and region != K.ALL_CHOICE:
+        in_view = in_view & (F.col("region") == region)
+    code = _decision_code(decision)
+    if code is not None:
+        in_view = in_view & (F.col("decision") == code)
     if not t or t == K.ALL_CHOICE:
-        return view
+        return rows.filter(in_view)
     needle = t.lower()
 
     def contains(c):
-        return F.lower(F.col(c)).contains(needle) if literal else F.lower(F.col(c)).rlike(needle)
-
-    fam_lower = F.lower(F.col("product_family"))
-    tiers = (view.filter(fam_lower == needle).withColumn("_tier", F.lit(1))
-             .unionByName(view.filter(F.coalesce(contains("product_family"), F.lit(False))).withColumn("_tier", F.lit(2)))
-             .unionByName(all_rows.filter(F.coalesce(contains("product_family") | contains("name"), F.lit(False)))
-                          .withColumn("_tier", F.lit(3))))
-    best = tiers.select(F.min("_tier")).scalar()
-    return tiers.filter(F.col("_tier") == best).drop("_tier")
+        return F.coalesce(F.lower(F.col(c)).contains(needle) if literal else F.lower(F.col(c)).rlike(needle),
+                          F.lit(False))
+
+    flagged = rows.select("*", (in_view & (F.lower(F.col("product_family")) == needle)).alias("_t1"),
+                          (in_view & contains("product_family")).alias("_t2"),
+                          (contains("product_family") | contains("name")).alias("_t3"))
+    row_tier = F.least(F.when(F.col("_t1"), 1), F.when(F.col("_t2"), 2), F.when(F.col("_t3"), 3))
+    best = flagged.select(F.min(row_tier)).scalar()
+    keep = F.when(best == 1, F.col("_t1")).when(best == 2, F.col("_t2")).when(best == 3, F.col("_t3"))
+    return flagged.filter(F.coalesce(keep, F.lit(False))).drop("_t1", "_t2", "_t3")
 
 
 # C12 + B26 + G4

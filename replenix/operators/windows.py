@@ -61,32 +61,82 @@ def _spec_struct(key: str, spec: WindowSpec) -> Column:
     return F.struct(F.lit(key).alias("variant"), *[F.lit(v).alias(k) for k, v in d.items()])
 
 
-def variant_events(erp: Erp, variants: Sequence[str], channels: Sequence[str] | None = None) -> DataFrame:
-    """Raw restock events, one row per applicable variant, with the variant's
-    reference columns (C5 per variant, E2 where the variant merges)."""
-    specs = [SPECS[v] for v in variants]
-    raw = R.restock_events(erp, with_transfers=any(s.transfers for s in specs), channels=channels)
-    exploded = raw.withColumn("_v", F.explode(F.array(*[_spec_struct(v, SPECS[v]) for v in variants])))
-    v = F.col("_v")
-    is_transfer = F.col("origin") == "Transfer"
-    applicable = (~is_transfer) | (v.transfers & P.not_order_type("transfer_type", keep_null=True)
-                                   & (v.keep_null_type | F.col("transfer_type").isNotNull()))
-    ref = v.ref_style == "reference"
-    ev = exploded.filter(applicable).select(
-        F.col("_v.variant").alias("variant"), F.col("_v.policy").alias("policy"), *KEY, "checkin_date",
-        F.when(ref & is_transfer, F.col("transfer_id")).otherwise(F.col("container_number")).alias("container_number"),
-        F.when(ref & is_transfer, F.col("transfer_type"))
-         .when(is_transfer, F.lit("Transfer")).otherwise(F.col("po_code")).alias("po_code"),
-        F.when(ref, F.when(is_transfer, F.lit("Transfer_From_North")).otherwise(F.lit("PO_Arrival")))
-         .otherwise(F.col("origin")).alias("source_type"),
-        F.col("_v.merge_same_day").alias("_merge"))
-    merge_keys = [k for k in variants if SPECS[k].merge_same_day]
-    plain_keys = [k for k in variants if not SPECS[k].merge_same_day]
+def _merged_day_events(raw: DataFrame) -> DataFrame:
+    """E2 once for all merging variants: one row per key and day with the
+    maximum texts of each event class (PO; transfer of null type; transfer of
+    another type that is not 'Order').  A variant's merged texts are then the
+    greatest of the classes it admits, so the text aggregation runs once over
+    the raw events instead of once per variant."""
+    is_po = F.col("origin") == "PO"
+    is_t = F.col("origin") == "Transfer"
+    t_null = is_t & F.col("transfer_type").isNull()
+    t_kept = is_t & P.not_order_type("transfer_type", keep_null=False)
+    return raw.groupBy(*KEY, "checkin_date").agg(
+        F.max(F.when(is_po, F.col("container_number"))).alias("po_container"),
+        F.max(F.when(is_po, F.col("po_code"))).alias("po_code_max"),
+        F.max(is_po).alias("has_po"),
+        F.max(F.when(t_null, F.col("transfer_id"))).alias("tn_id"),
+        F.max(t_null).alias("has_tn"),
+        F.max(F.when(t_kept, F.col("transfer_id"))).alias("tk_id"),
+        F.max(F.when(t_kept, F.col("transfer_type"))).alias("tk_type"),
+        F.max(t_kept).alias("has_tk"))
+
+
+def variant_events(erp: Erp, variants: Sequence[str], channels: Sequence[str] | None = None,
+                   with_refs: bool = True) -> DataFrame:
+    """Restock events per variant (C5 per variant; E2 where the variant merges)
+    with the variant's reference texts.
+
+    ``with_refs=False`` keeps only key and date: the reference texts change no
+    demand number (same-day events of the 30 window give identical windows
+    whichever gets the lower rank), so the merge is a plain distinct."""
+    specs = {v: SPECS[v] for v in variants}
+    raw = R.restock_events(erp, with_transfers=any(s.transfers for s in specs.values()), channels=channels)
+    null = F.lit(None).cast("string")
     parts = []
-    if merge_keys:
-        parts.append(R.merge_same_day(ev.filter(F.col("variant").isin(*merge_keys)), KEY, VARIANT))
-    if plain_keys:
-        parts.append(ev.filter(F.col("variant").isin(*plain_keys)).drop("_merge"))
+    merging = [k for k, s in specs.items() if s.merge_same_day]
+    plain = [k for k, s in specs.items() if not s.merge_same_day]
+    if merging:
+        m = _merged_day_events(raw) if with_refs else raw.groupBy(*KEY, "checkin_date").agg(
+            F.max(F.col("origin") == "PO").alias("has_po"),
+            F.max((F.col("origin") == "Transfer") & F.col("transfer_type").isNull()).alias("has_tn"),
+            F.max((F.col("origin") == "Transfer") & P.not_order_type("transfer_type", keep_null=False)).alias("has_tk"))
+        m = m.withColumn("_v", F.explode(F.array(*[_spec_struct(k, specs[k]) for k in merging])))
+        v = F.col("_v")
+        t_any = v.transfers & (F.col("has_tk") | (v.keep_null_type & F.col("has_tn")))
+        ref = v.ref_style == "reference"
+        if with_refs:
+            container = F.when(ref, F.greatest(F.col("po_container"), F.when(v.transfers, F.col("tk_id")),
+                                               F.when(v.transfers & v.keep_null_type, F.col("tn_id"))))\
+                         .otherwise(F.col("po_container"))
+            code = F.when(ref, F.greatest(F.col("po_code_max"), F.when(v.transfers, F.col("tk_type"))))\
+                    .otherwise(F.greatest(F.col("po_code_max"), F.when(t_any, F.lit("Transfer"))))
+            source = F.when(ref, F.greatest(F.when(F.col("has_po"), F.lit("PO_Arrival")),
+                                            F.when(t_any, F.lit("Transfer_From_North"))))\
+                      .otherwise(F.greatest(F.when(F.col("has_po"), F.lit("PO")), F.when(t_any, F.lit("Transfer"))))
+        else:
+            container = code = source = null
+        parts.append(m.filter(F.col("has_po") | t_any).select(
+            F.col("_v.variant").alias("variant"), F.col("_v.policy").alias("policy"), *KEY, "checkin_date",
+            container.alias("container_number"), code.alias("po_code"), source.alias("source_type")))
+    if plain:
+        e = raw.withColumn("_v", F.explode(F.array(*[_spec_struct(k, specs[k]) for k in plain])))
+        v = F.col("_v")
+        is_transfer = F.col("origin") == "Transfer"
+        applicable = (~is_transfer) | (v.transfers & P.not_order_type("transfer_type", keep_null=True)
+                                       & (v.keep_null_type | F.col("transfer_type").isNotNull()))
+        ref = v.ref_style == "reference"
+        if with_refs:
+            container = F.when(ref & is_transfer, F.col("transfer_id")).otherwise(F.col("container_number"))
+            code = (F.when(ref & is_transfer, F.col("transfer_type"))
+                    .when(is_transfer, F.lit("Transfer")).otherwise(F.col("po_code")))
+            source = (F.when(ref, F.when(is_transfer, F.lit("Transfer_From_North")).otherwise(F.lit("PO_Arrival")))
+                      .otherwise(F.col("origin")))
+        else:
+            container = code = source = null
+        parts.append(e.filter(applicable).select(
+            F.col("_v.variant").alias("variant"), F.col("_v.policy").alias("policy"), *KEY, "checkin_date",
+            container.alias("container_number"), code.alias("po_code"), source.alias("source_type")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -201,11 +251,11 @@ def key_demand(perf: DataFrame, variants: Sequence[str]) -> DataFrame:
 
 def demand_windows(erp: Erp, as_of: str, variants: Sequence[str] = ("8_30", "15", "30"),
                    date_from: str = K.SALES_FROM, date_to: str | None = K.SALES_TO,
-                   channels: Sequence[str] | None = None, keep: int = 3) -> DataFrame:
+                   channels: Sequence[str] | None = None, keep: int = 3, with_refs: bool = True) -> DataFrame:
     """Window performance rows of all requested variants (before averages)."""
     policies = sorted({SPECS[v].policy for v in variants})
     daily = SL.daily_sales(erp, policies, date_from, date_to, channels)
-    events = variant_events(erp, variants, channels)
+    events = variant_events(erp, variants, channels, with_refs)
     ranked = R.rank_restocks(events, partition=(*VARIANT, *KEY), keep=keep)
     windows = checkin_windows(ranked, as_of, variants)
     return window_performance(windows, daily, as_of, variants)

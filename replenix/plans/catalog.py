@@ -294,7 +294,7 @@ SELECT {cols} FROM tiers WHERE tier = (SELECT MIN(tier) FROM tiers)""").replace(
 def _family_query(region, decision, text) -> Query:
     def run(spark, sf_dir):
         dec = decisions_df(spark, sf_dir).select(*VIEW_COLS)
-        return V.search_family(V.filter_view(dec, region, decision), dec, text)
+        return V.search_family(dec, text, region, decision)
     return run
 
 

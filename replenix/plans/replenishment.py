@@ -30,7 +30,7 @@ def demand(erp: Erp, as_of: str, variants: Sequence[str] = ("8_30", "15", "30"),
 
     A key whose restocks are all too young keeps its row with a null value,
     as the exported demand file does."""
-    perf = W.demand_windows(erp, as_of, variants, date_from, date_to, channels)
+    perf = W.demand_windows(erp, as_of, variants, date_from, date_to, channels, with_refs=False)
     kd = W.key_demand(perf, variants)
     wmap = F.create_map(*[x for k, v in DECISION_WINDOWS.items() if k in variants for x in (F.lit(k), F.lit(v))])
     return kd.select("channel", "sku", "region", wmap[F.col("variant")].alias("window"),

@@ -94,9 +94,13 @@ class TpchAdapter:
         self.sf_dir = sf_dir.rstrip("/")
         self.as_of = as_of
         self._as_of = F.lit(as_of).cast("date")
+        self._tables: dict[str, DataFrame] = {}
 
     def t(self, name: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, name)
+        # one scan definition per table: the schema is read once per adapter
+        if name not in self._tables:
+            self._tables[name] = load(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     # ---- dimensions ---------------------------------------------------------
     def products(self) -> DataFrame:

@@ -27,12 +27,13 @@ def skus(df):
 
 
 def test_f7_family_tiers(spark, result):
-    assert skus(V.search_family(result, result, "sofa")) == ["A"]
-    assert skus(V.search_family(result, result, "sof")) == ["A", "B"]
-    view = V.filter_view(result, region=K.SOUTH)
-    assert skus(V.search_family(view, result, "side")) == ["C"]
-    assert skus(V.search_family(V.filter_view(result, K.NORTH, "下单备货"), result, "zzz")) == []
-    assert skus(V.search_family(result, result, K.ALL_CHOICE)) == ["A", "B", "C", "D"]
+    assert skus(V.search_family(result, "sofa")) == ["A"]
+    assert skus(V.search_family(result, "sof")) == ["A", "B"]
+    assert skus(V.search_family(result, "side", region=K.SOUTH)) == ["C"]
+    assert skus(V.search_family(result, "zzz", K.NORTH, "下单备货")) == []
+    assert skus(V.search_family(result, K.ALL_CHOICE)) == ["A", "B", "C", "D"]
+    assert skus(V.search_family(result, "bed", region=K.SOUTH)) == ["B"]  # tier 3 leaves the view
+    assert skus(V.search_family(result, "sofa.", literal=True)) == []
 
 
 def test_container_and_totals(spark, result):
