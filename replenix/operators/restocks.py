@@ -72,6 +72,41 @@ def transfers_in(erp: Erp, channels: Sequence[str] | None = None) -> DataFrame:
         F.col("TransferType").cast("string").alias("transfer_type"))
 
 
+def restock_day_counts(erp: Erp, with_transfers: bool = True, channels: Sequence[str] | None = None) -> DataFrame:
+    """Restock events counted per (channel, sku, region, day) and class, without
+    materialising line x container pairs: PO lines are counted per (PO, SKU),
+    arrived containers per (PO, region, day); the two aggregates are joined on
+    the PO and their counts multiplied.  A PO with very many lines and
+    containers therefore costs distinct SKUs x arrival days, not lines x
+    containers (and AQE splits a hot PO's join partition).
+
+    Columns: n_po (PO events), n_tnull (transfers of null type), n_tkept
+    (transfers of a type other than 'Order')."""
+    products = broadcast_if_small(erp.products.withColumnRenamed("Id", "ProductId"))
+    lines = erp.purchase_order_lines.join(products, "ProductId")
+    if channels is not None:
+        lines = lines.filter(F.greatest(*[F.col("Sku").startswith(c) for c in channels]))
+    headers = erp.purchase_orders.select(F.col("Id").alias("PurchaseOrderId"))
+    lines = (lines.join(headers, "PurchaseOrderId", "left_semi")
+             .groupBy("PurchaseOrderId", "Sku").agg(F.count(F.lit(1)).alias("n_lines")))
+    cont = (erp.containers.filter(P.arrived("ActualArrivingDate"))
+            .groupBy("PurchaseOrderId", S.region_of_port("ShippedtoportId").alias("region"),
+                     F.to_date("ActualArrivingDate").alias("checkin_date"))
+            .agg(F.count(F.lit(1)).alias("n_cont")))
+    po = lines.join(cont, "PurchaseOrderId").select(
+        S.channel_of("Sku").alias("channel"), F.col("Sku").alias("sku"), "region", "checkin_date",
+        (F.col("n_lines") * F.col("n_cont")).alias("n_po"),
+        F.lit(0).cast("bigint").alias("n_tnull"), F.lit(0).cast("bigint").alias("n_tkept"))
+    if with_transfers:
+        t = transfers_in(erp, channels)
+        t = t.select("channel", "sku", "region", "checkin_date", F.lit(0).cast("bigint").alias("n_po"),
+                     F.col("transfer_type").isNull().cast("bigint").alias("n_tnull"),
+                     P.not_order_type("transfer_type", keep_null=False).cast("bigint").alias("n_tkept"))
+        po = po.unionByName(t.filter((F.col("n_tnull") + F.coalesce("n_tkept", F.lit(0))) > 0).na.fill(0))
+    return (po.groupBy("channel", "sku", "region", "checkin_date")
+            .agg(F.sum("n_po").alias("n_po"), F.sum("n_tnull").alias("n_tnull"), F.sum("n_tkept").alias("n_tkept")))
+
+
 def restock_events(erp: Erp, with_transfers: bool = True, channels: Sequence[str] | None = None) -> DataFrame:
     """H1: UNION ALL of PO arrivals and transfers (raw, not merged)."""
     arrivals = po_arrivals(erp, channels)

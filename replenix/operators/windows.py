@@ -143,6 +143,35 @@ def variant_events(erp: Erp, variants: Sequence[str], channels: Sequence[str] |
     return out
 
 
+def ranked_day_events(erp: Erp, variants: Sequence[str], channels: Sequence[str] | None = None,
+                      keep: int = 3) -> DataFrame:
+    """The newest ``keep`` restock events per key and variant, numbered (rn),
+    from per-day event counts (no reference texts; see ``variant_events``).
+
+    Merging variants rank their event days.  A variant without the same-day
+    merge (30) counts every event: a day with c events takes ranks s+1..s+c
+    where s counts the events of newer days, so at most ``keep`` rows per key
+    are produced however many events share a day."""
+    specs = {v: SPECS[v] for v in variants}
+    counts = R.restock_day_counts(erp, with_transfers=any(s.transfers for s in specs.values()), channels=channels)
+    null = F.lit(None).cast("string")
+    texts = [null.alias("container_number"), null.alias("po_code"), null.alias("source_type")]
+    e = counts.withColumn("_v", F.explode(F.array(*[_spec_struct(k, s) for k, s in specs.items()])))
+    v = F.col("_v")
+    n = (F.col("n_po") + F.when(v.transfers, F.col("n_tkept") + F.when(v.keep_null_type, F.col("n_tnull"))
+                                                                  .otherwise(F.lit(0)))
+         .otherwise(F.lit(0)))
+    e = e.select(F.col("_v.variant").alias("variant"), F.col("_v.policy").alias("policy"), *KEY, "checkin_date",
+                 F.when(v.merge_same_day, F.lit(1)).otherwise(n).alias("n")).filter(n > 0)
+    days = R.rank_restocks(e.withColumn("container_number", null).withColumn("po_code", null)
+                           .withColumn("source_type", null), partition=(*VARIANT, *KEY), keep=keep)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*VARIANT, *KEY).orderBy(F.col("checkin_date").desc())
+                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.withColumn("_before", before).filter(F.col("_before") < keep)
+    ranks = F.sequence((F.col("_before") + 1).cast("int"), F.least(F.col("_before") + F.col("n"), F.lit(keep)).cast("int"))
+    return days.select(*VARIANT, *KEY, "checkin_date", *texts, F.explode(ranks).alias("rn"))
+
+
 def checkin_windows(ranked: DataFrame, as_of: str, variants: Sequence[str]) -> DataFrame:
     """Sample start/end, partial flag for the newest restocks (rn <= 3)."""
     today = F.lit(as_of).cast("date")
@@ -255,8 +284,10 @@ def demand_windows(erp: Erp, as_of: str, variants: Sequence[str] = ("8_30", "15"
     """Window performance rows of all requested variants (before averages)."""
     policies = sorted({SPECS[v].policy for v in variants})
     daily = SL.daily_sales(erp, policies, date_from, date_to, channels)
-    events = variant_events(erp, variants, channels, with_refs)
-    ranked = R.rank_restocks(events, partition=(*VARIANT, *KEY), keep=keep)
+    if with_refs:
+        ranked = R.rank_restocks(variant_events(erp, variants, channels), partition=(*VARIANT, *KEY), keep=keep)
+    else:
+        ranked = ranked_day_events(erp, variants, channels, keep)
     windows = checkin_windows(ranked, as_of, variants)
     return window_performance(windows, daily, as_of, variants)
 

@@ -112,3 +112,19 @@ def test_rank_uses_window_group_limit(spark):
     ranked = R.rank_restocks(W.variant_events(erp, ("8_30",)), partition=(*W.VARIANT, *W.KEY))
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_day_counts_rank_like_events(spark):
+    # one PO with two lines of the SKU and three containers on the newest day: 6 events that day
+    arr = tuple((1, "918-001", f"C{i}", K.NORTH_PORT_ID, C) for i in range(3))
+    arr += ((2, "918-001", "C9", K.NORTH_PORT_ID, "2026-06-01"),)
+    erp = make_erp(spark, arrivals=arr)
+    erp = erp.__class__(**{**erp.__dict__, "purchase_order_lines": erp.purchase_order_lines.unionByName(
+        erp.purchase_order_lines.filter("PurchaseOrderId = 1"))})
+    cols = ["variant", "channel", "sku", "region", "checkin_date", "rn", "sample_days", "sample_qty", "is_partial"]
+    for variant in ("30", "8_30", "15"):
+        a = W.demand_windows(erp, "2026-07-10", (variant,), "2025-01-01", "2099-12-31", with_refs=True)
+        b = W.demand_windows(erp, "2026-07-10", (variant,), "2025-01-01", "2099-12-31", with_refs=False)
+        assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect())), variant
+    b30 = W.demand_windows(erp, "2026-07-10", ("30",), "2025-01-01", "2099-12-31", with_refs=False)
+    assert sorted((str(r.checkin_date), r.rn) for r in b30.collect()) == [(C, 1), (C, 2), (C, 3)]
