@@ -58,7 +58,12 @@ def assemble(stock: DataFrame, po_rows: DataFrame, demand: DataFrame) -> DataFra
         _long(stock, on_hand=F.col("on_hand"), unit_volume=F.col("unit_volume"),
               is_discontinued=F.col("is_discontinued"), name=F.col("name"), product_family=F.col("product_family"),
               image_url=F.col("image_url"), in_stock_file=F.lit(True)),
-        _long(po_rows, transit_qty=F.col("transit_qty"), production_qty=F.col("production_qty")),
+        # purchase-order rows are many: sum them per key first (a hash aggregate
+        # with map-side combine), so the text-carrying aggregate below sees at
+        # most a handful of rows per key
+        _long(po_rows.groupBy(*KEY).agg(F.sum("transit_qty").alias("transit_qty"),
+                                        F.sum("production_qty").alias("production_qty")),
+              transit_qty=F.col("transit_qty"), production_qty=F.col("production_qty")),
         _long(demand_rows(demand), demand_8_30=F.col("demand_8_30"), demand_15=F.col("demand_15"),
               demand_30=F.col("demand_30")),
     ]
