@@ -28,7 +28,7 @@ from .. import constants as K
 from ..operators import quality as QC
 from ..operators import views as V
 from ..operators.settings_ops import sync_settings
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sinks import writers as WR
 from ..streaming import scan as SC
 
@@ -293,7 +293,9 @@ SELECT {cols} FROM tiers WHERE tier = (SELECT MIN(tier) FROM tiers)""").replace(
 
 def _family_query(region, decision, text) -> Query:
     def run(spark, sf_dir):
-        dec = decisions_df(spark, sf_dir).select(*VIEW_COLS)
+        # the search needs the best tier over all rows before it filters, so the
+        # decision result is materialised once (reliable checkpoint) and read twice
+        dec = cut_lineage(decisions_df(spark, sf_dir).select(*VIEW_COLS))
         return V.search_family(dec, text, region, decision)
     return run
 
@@ -396,10 +398,10 @@ def _demand_files(spark, sf_dir) -> DataFrame:
     """The three demand outputs as the demand "files" of each channel (the
     8-30 and 15 files carry WindowType; 30 does not)."""
     erp = adapter(spark, sf_dir).erp()
-    perf = W.with_averages(W.demand_windows(erp, AS_OF, ("8_30", "15", "30", "30_aligned"), SALES_FROM, SALES_TO),
-                           ("8_30", "15", "30", "30_aligned"))
+    variants = ("8_30", "15", "30")
+    perf = W.key_demand(W.demand_windows(erp, AS_OF, variants, SALES_FROM, SALES_TO, with_refs=False), variants)
     win = F.create_map(F.lit("8_30"), F.lit("8-30"), F.lit("15"), F.lit("15"), F.lit("30"), F.lit("30"))
-    base = perf.filter(F.col("variant").isin("8_30", "15", "30")).select(
+    base = perf.select(
         "channel", F.col("sku").alias("Sku"), F.col("region").alias("Region"), win[F.col("variant")].alias("window"),
         F.when(F.col("variant") != "30", win[F.col("variant")]).alias("WindowType"),
         (F.col("variant") != "30").alias("_has_wt"),
