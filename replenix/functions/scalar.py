@@ -188,10 +188,50 @@ def normalize_image_url(col, base: str = K.IMAGE_BASE) -> Column:
 
 
 # B29
+def _tiny_ties(d: int) -> dict[float, str]:
+    """Decimal ties below 1e-3 at ``d`` places (111 values for d <= 5), built
+    by rule: the double nearest to each tie, mapped to Python's formatting of
+    it.  ``format_number`` misrounds exactly these (its digit source switches
+    to scientific notation below 1e-3)."""
+    if d < 3:
+        return {}
+    return {(2 * n + 1) / (2 * 10 ** d): format((2 * n + 1) / (2 * 10 ** d), f".{d}f")
+            for n in range(10 ** (d - 3))}
+
+
+def py_fixed(col, decimals: int) -> Column:
+    """``format(x, '.{d}f')`` as Python prints a double (the binary value
+    rounded half-even), for 0 <= d <= 5: ``format_number`` (DecimalFormat,
+    HALF_EVEN on the exact binary value) without grouping commas, plus the
+    tie table for magnitudes below 1e-3."""
+    x = _c(col).cast("double")
+    d = int(decimals)
+    fast = F.replace(F.format_number(x, d), F.lit(","), F.lit(""))
+    ties = _tiny_ties(d)
+    if not ties:
+        return fast
+    table = F.create_map(*[t for k, v in sorted(ties.items()) for t in (F.lit(k), F.lit(v))])
+    sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    return F.coalesce(F.when(F.abs(x) < 1e-3, F.concat(sign, table[F.abs(x)])), fast)
+
+
+def with_fixed_texts(df, specs: dict) -> "DataFrame":
+    """Add text columns ``name -> (column, decimals[, dash])`` formatted like
+    ``py_fixed``; with ``dash`` a value that is not positive shows '-'."""
+    cols = []
+    for name, spec in specs.items():
+        col, d = spec[0], int(spec[1])
+        text = py_fixed(col, d)
+        if len(spec) > 2 and spec[2]:
+            text = F.when(_c(col) > 0, text).otherwise(F.lit("-"))
+        cols.append(text.alias(name))
+    return df.select("*", *cols)
+
+
 def fmt_fixed(col, decimals: int, dash_when_not_positive: bool = False) -> Column:
-    """Text with fixed decimals, rounded half-even like Python formatting."""
+    """Text with fixed decimals, rounded exactly as Python formats a float."""
     c = _c(col)
-    txt = F.format_string(f"%.{decimals}f", F.bround(c.cast("double"), decimals))
+    txt = py_fixed(c, decimals)
     return F.when(c > 0, txt).otherwise(F.lit("-")) if dash_when_not_positive else txt
 
 
@@ -207,7 +247,9 @@ def decision_label(decision="decision", lang: str = "zh") -> Column:
 
 # B31
 def round6(col) -> Column:
-    return F.round(_c(col).cast("string").try_cast("double"), 6)
+    """Numeric parse, then round to 6 places the way pandas does (x * 1e6,
+    round half to even, / 1e6)."""
+    return F.rint(_c(col).cast("string").try_cast("double") * 1e6) / 1e6
 
 
 # B32

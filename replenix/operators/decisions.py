@@ -17,8 +17,8 @@ from .util import broadcast_if_small
 KEY = ("channel", "sku", "region")
 DEMAND_COLS = {"8-30": "demand_8_30", "15": "demand_15", "30": "demand_30"}
 
-# FIXED VALUES: explanation texts of each decision (java format patterns; the
-# numbers are rounded half-even before formatting).
+# FIXED VALUES: explanation texts of each decision (format patterns; the numbers
+# are formatted as Python formats floats, see functions.scalar.py_fixed).
 TEXT_NO_SALES = "无销售记录，当前库存: 现货%s+在途%s+在产%s"
 TEXT_ORDER = "总库存%s≤%d天需求(%s)，缺口%s，体积%sm³，基于%s"
 TEXT_EXPEDITE = "现货+在途%s≤%d天物流需求(%s)，需催发%s件(物流预估-现货-在途)，催发货体积%sm³"
@@ -90,10 +90,6 @@ def fill_defaults(df: DataFrame) -> DataFrame:
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("demand_8_30", "demand_15", "demand_30")])
 
 
-def _n(c: Column, d: int) -> Column:
-    return S.fmt_fixed(c, d)
-
-
 def decide(df: DataFrame, settings: DataFrame) -> DataFrame:
     """B16-B25 + C9 + D9: needs from the channel's lead/logistics days, then the
     first matching decision: no sales; total <= lead need -> order; on hand +
@@ -124,30 +120,38 @@ def decide(df: DataFrame, settings: DataFrame) -> DataFrame:
     df = (df.withColumn("expedite_qty", exp_qty)
             .withColumn("expedite_volume", F.col("expedite_qty") * F.col("unit_volume"))
             .withColumn("priority", S.priority("decision")))
-    return df.withColumn("explanation", explanation())
+    return with_explanation(df)
 
 
-def explanation() -> Column:
-    """The five explanation texts."""
-    d = F.col("decision")
+def with_explanation(df: DataFrame) -> DataFrame:
+    """The five explanation texts (numbers formatted like Python floats)."""
     total, daily = F.col("total_stock"), F.col("daily_demand")
     near = F.col("on_hand") + F.col("in_transit")
     supply_days = F.when(daily > 0, total / daily).otherwise(F.lit(0.0))
-    lead_days = F.col("lead_time").cast("int")
-    log_days = F.col("logistics_time").cast("int")
-    no_sales = F.format_string(TEXT_NO_SALES, _n(F.col("on_hand"), 0), _n(F.col("in_transit"), 0),
-                               _n(F.col("in_production"), 0))
-    order = F.format_string(TEXT_ORDER, _n(total, 0), lead_days, _n(F.col("lead_time_need"), 1),
-                            _n(F.col("order_qty"), 0), _n(F.col("order_volume"), 4), F.col("demand_source"))
-    expedite = F.format_string(TEXT_EXPEDITE, _n(near, 0), log_days, _n(F.col("logistics_need"), 1),
-                               _n(F.col("expedite_qty"), 0), _n(F.col("expedite_volume"), 4))
-    hold_nothing = F.format_string(TEXT_HOLD_NOTHING_TO_EXPEDITE, _n(near, 0), log_days,
-                                   _n(F.col("logistics_need"), 1), _n(supply_days, 0))
-    hold = F.format_string(TEXT_HOLD, _n(F.col("on_hand"), 0), _n(F.col("in_transit"), 0),
-                           _n(F.col("in_production"), 0), F.col("demand_source"), _n(supply_days, 0))
-    nothing_to_expedite = (near <= F.col("logistics_need")) & (F.col("in_production") == 0)
-    return (F.when(d == K.NO_SALES, no_sales).when(d == K.ORDER, order).when(d == K.EXPEDITE, expedite)
+    t = S.with_fixed_texts(df, {
+        "_t_on_hand": (F.col("on_hand"), 0), "_t_transit": (F.col("in_transit"), 0),
+        "_t_production": (F.col("in_production"), 0), "_t_total": (total, 0), "_t_near": (near, 0),
+        "_t_lead_need": (F.col("lead_time_need"), 1), "_t_log_need": (F.col("logistics_need"), 1),
+        "_t_order_qty": (F.col("order_qty"), 0), "_t_order_vol": (F.col("order_volume"), 4),
+        "_t_exp_qty": (F.col("expedite_qty"), 0), "_t_exp_vol": (F.col("expedite_volume"), 4),
+        "_t_days": (supply_days, 0)})
+    d = F.col("decision")
+    c = F.col
+    lead_days = c("lead_time").cast("int")
+    log_days = c("logistics_time").cast("int")
+    no_sales = F.format_string(TEXT_NO_SALES, c("_t_on_hand"), c("_t_transit"), c("_t_production"))
+    order = F.format_string(TEXT_ORDER, c("_t_total"), lead_days, c("_t_lead_need"), c("_t_order_qty"),
+                            c("_t_order_vol"), c("demand_source"))
+    expedite = F.format_string(TEXT_EXPEDITE, c("_t_near"), log_days, c("_t_log_need"), c("_t_exp_qty"),
+                               c("_t_exp_vol"))
+    hold_nothing = F.format_string(TEXT_HOLD_NOTHING_TO_EXPEDITE, c("_t_near"), log_days, c("_t_log_need"),
+                                   c("_t_days"))
+    hold = F.format_string(TEXT_HOLD, c("_t_on_hand"), c("_t_transit"), c("_t_production"), c("demand_source"),
+                           c("_t_days"))
+    nothing_to_expedite = (near <= c("logistics_need")) & (c("in_production") == 0)
+    text = (F.when(d == K.NO_SALES, no_sales).when(d == K.ORDER, order).when(d == K.EXPEDITE, expedite)
             .when(nothing_to_expedite, hold_nothing).otherwise(hold))
+    return t.withColumn("explanation", text).drop(*[x for x in t.columns if x.startswith("_t_")])
 
 
 DECISION_COLUMNS = ("channel", "sku", "name", "product_family", "region", "on_hand", "in_transit", "in_production",

@@ -88,19 +88,23 @@ def sort_view(df: DataFrame, primary: str | None = None, ascending: bool = True,
 
 # B29
 def display(df: DataFrame) -> DataFrame:
-    """The view's text columns: fixed decimals; quantities not positive as '-'."""
-    f = S.fmt_fixed
-    return df.select(
-        "channel", "sku", "name", "product_family", "region",
-        f(F.col("on_hand"), 0).alias("on_hand"), f(F.col("in_transit"), 0).alias("in_transit"),
-        f(F.col("in_production"), 0).alias("in_production"), f(F.col("total_stock"), 0).alias("total_stock"),
-        f(F.col("demand_8_30"), 3).alias("demand_8_30"), f(F.col("demand_15"), 3).alias("demand_15"),
-        f(F.col("demand_30"), 3).alias("demand_30"), f(F.col("daily_demand"), 3).alias("daily_demand"),
-        "demand_source", f(F.col("lead_time_need"), 1).alias("lead_time_need"),
-        f(F.col("logistics_need"), 1).alias("logistics_need"), S.decision_label().alias("decision"),
-        f(F.col("order_qty"), 0, True).alias("order_qty"), f(F.col("unit_volume"), 5).alias("unit_volume"),
-        f(F.col("order_volume"), 4, True).alias("order_volume"), f(F.col("expedite_qty"), 0, True).alias("expedite_qty"),
-        f(F.col("expedite_volume"), 4, True).alias("expedite_volume"), "explanation")
+    """The view's text columns: fixed decimals as Python prints them;
+    quantities not positive as '-'."""
+    c = F.col
+    specs = {"on_hand": (c("on_hand"), 0), "in_transit": (c("in_transit"), 0),
+             "in_production": (c("in_production"), 0), "total_stock": (c("total_stock"), 0),
+             "demand_8_30": (c("demand_8_30"), 3), "demand_15": (c("demand_15"), 3), "demand_30": (c("demand_30"), 3),
+             "daily_demand": (c("daily_demand"), 3), "lead_time_need": (c("lead_time_need"), 1),
+             "logistics_need": (c("logistics_need"), 1), "order_qty": (c("order_qty"), 0, True),
+             "unit_volume": (c("unit_volume"), 5), "order_volume": (c("order_volume"), 4, True),
+             "expedite_qty": (c("expedite_qty"), 0, True), "expedite_volume": (c("expedite_volume"), 4, True)}
+    base = df.select("channel", "sku", "name", "product_family", "region", "demand_source", "decision", "explanation",
+                     *[v[0].alias(f"_v_{k}") for k, v in specs.items()])
+    t = S.with_fixed_texts(base, {k: (F.col(f"_v_{k}"), *v[1:]) for k, v in specs.items()})
+    return t.select("channel", "sku", "name", "product_family", "region", "on_hand", "in_transit", "in_production",
+                    "total_stock", "demand_8_30", "demand_15", "demand_30", "daily_demand", "demand_source",
+                    "lead_time_need", "logistics_need", S.decision_label().alias("decision"), "order_qty",
+                    "unit_volume", "order_volume", "expedite_qty", "expedite_volume", "explanation")
 
 
 def _vol(decision: str, region: str | None, col: str):

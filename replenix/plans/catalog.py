@@ -41,13 +41,19 @@ def register(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
         _QUERIES[name] = fn
         if sql is not None:
-            _ORACLE[name] = sql
+            _ORACLE[name] = O.swap_round8(sql)
         return fn
     return deco
 
 
-def round_doubles(df: DataFrame, cols, places: int = 8) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if c in cols else F.col(c) for c in df.columns])
+def r8(c) -> "F.Column":
+    """Output normalisation to 8 places (same IEEE steps as the oracle's r8):
+    absorbs last-bit differences of float sums between engines."""
+    return F.floor(F.col(c) * 1e8 + 0.5) / 1e8
+
+
+def round_doubles(df: DataFrame, cols) -> DataFrame:
+    return df.select(*[r8(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def adapter(spark: SparkSession, sf_dir: str) -> TpchAdapter:
@@ -169,7 +175,31 @@ def q_decisions(spark, sf_dir):
     return decisions_out(decisions_df(spark, sf_dir))
 
 
-@register("explanations")
+def _pf(x: str, d: int) -> str:
+    return f"printf('%.{d}f', {x})"
+
+
+SUPPLY_DAYS = "CASE WHEN daily_demand > 0 THEN total_stock / daily_demand ELSE 0.0 END"
+EXPLANATION_SQL = f"""CASE decision
+  WHEN 'no_sales' THEN printf({O.q(D.TEXT_NO_SALES)}, {_pf('on_hand', 0)}, {_pf('in_transit', 0)}, {_pf('in_production', 0)})
+  WHEN 'order' THEN printf({O.q(D.TEXT_ORDER)}, {_pf('total_stock', 0)}, lead_time, {_pf('lead_time_need', 1)},
+                           {_pf('order_qty', 0)}, {_pf('order_volume', 4)}, demand_source)
+  WHEN 'expedite' THEN printf({O.q(D.TEXT_EXPEDITE)}, {_pf('on_hand + in_transit', 0)}, logistics_time,
+                              {_pf('logistics_need', 1)}, {_pf('expedite_qty', 0)}, {_pf('expedite_volume', 4)})
+  ELSE CASE WHEN on_hand + in_transit <= logistics_need AND in_production = 0
+            THEN printf({O.q(D.TEXT_HOLD_NOTHING_TO_EXPEDITE)}, {_pf('on_hand + in_transit', 0)}, logistics_time,
+                        {_pf('logistics_need', 1)}, {_pf(SUPPLY_DAYS, 0)})
+            ELSE printf({O.q(D.TEXT_HOLD)}, {_pf('on_hand', 0)}, {_pf('in_transit', 0)}, {_pf('in_production', 0)},
+                        demand_source, {_pf(SUPPLY_DAYS, 0)}) END
+END"""
+
+
+def _dash(x: str, d: int) -> str:
+    return f"CASE WHEN {x} > 0 THEN {_pf(x, d)} ELSE '-' END"
+
+
+@register("explanations", O.decisions_sql(
+    f"SELECT channel, sku, region, decision, {EXPLANATION_SQL} AS explanation FROM decisions_v"))
 def q_explanations(spark, sf_dir):
     return decisions_df(spark, sf_dir).select("channel", "sku", "region", "decision", "explanation")
 
@@ -318,7 +348,16 @@ def q_sorted_view(spark, sf_dir):
     return round_doubles(df.select("channel", "sku", "region", "decision", "daily_demand"), ("daily_demand",))
 
 
-@register("display_view")
+@register("display_view", O.decisions_sql(f"""
+SELECT channel, sku, name, product_family, region, {_pf('on_hand', 0)} AS on_hand, {_pf('in_transit', 0)} AS in_transit,
+       {_pf('in_production', 0)} AS in_production, {_pf('total_stock', 0)} AS total_stock,
+       {_pf('demand_8_30', 3)} AS demand_8_30, {_pf('demand_15', 3)} AS demand_15, {_pf('demand_30', 3)} AS demand_30,
+       {_pf('daily_demand', 3)} AS daily_demand, demand_source, {_pf('lead_time_need', 1)} AS lead_time_need,
+       {_pf('logistics_need', 1)} AS logistics_need, {_label_sql('decision', K.DECISION_LABELS)} AS decision,
+       {_dash('order_qty', 0)} AS order_qty, {_pf('unit_volume', 5)} AS unit_volume,
+       {_dash('order_volume', 4)} AS order_volume, {_dash('expedite_qty', 0)} AS expedite_qty,
+       {_dash('expedite_volume', 4)} AS expedite_volume, {EXPLANATION_SQL} AS explanation
+FROM decisions_v ORDER BY priority, sku"""))
 def q_display_view(spark, sf_dir):
     return V.display(V.sort_view(decisions_df(spark, sf_dir), "priority", True, "sku", True))
 
@@ -440,8 +479,9 @@ def q_quality_window_type(spark, sf_dir):
 
 
 @register("quality_same_demand", O.decision_ctes() + """
-SELECT a.channel, COUNT(*) AS common_keys, COUNT(*) FILTER (WHERE ROUND(a.value, 6) = ROUND(b.value, 6)) AS equal_keys,
-       COUNT(*) > 0 AND COUNT(*) = COUNT(*) FILTER (WHERE ROUND(a.value, 6) = ROUND(b.value, 6)) AS warn
+SELECT a.channel, COUNT(*) AS common_keys, COUNT(*) FILTER (WHERE round_even(a.value * 1e6, 0) / 1e6 = round_even(b.value * 1e6, 0) / 1e6) AS equal_keys,
+       COUNT(*) > 0 AND COUNT(*) = COUNT(*) FILTER (WHERE round_even(a.value * 1e6, 0) / 1e6
+                                                    = round_even(b.value * 1e6, 0) / 1e6) AS warn
 FROM kd_8_30 a JOIN kd_30 b USING (channel, sku, region) GROUP BY a.channel""")
 def q_quality_same_demand(spark, sf_dir):
     return QC.same_demand_status(_demand_files(spark, sf_dir))

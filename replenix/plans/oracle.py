@@ -248,7 +248,33 @@ def with_ctes(*ctes: str) -> str:
 
 
 def r8(x: str) -> str:
-    return f"ROUND({x}, 8)"
+    """Output normalisation to 8 places with the same IEEE steps as the Spark side."""
+    return f"(floor(({x}) * 1e8 + 0.5) / 1e8)"
+
+
+def swap_round8(sql: str) -> str:
+    """Rewrite every ``ROUND(expr, 8)`` into ``r8(expr)`` (balanced-parenthesis scan)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("ROUND(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + 5
+        while True:
+            ch = sql[k]
+            depth += ch == "("
+            depth -= ch == ")"
+            if depth == 0:
+                break
+            k += 1
+        inner = sql[j + 6:k]
+        if inner.rstrip().endswith(", 8"):
+            expr = inner.rstrip()[:-3]
+            out.append(sql[i:j] + r8(swap_round8(expr)))
+        else:
+            out.append(sql[i:k + 1])
+        i = k + 1
 
 
 def export_select(key: str) -> str:

@@ -146,3 +146,12 @@ def test_fmt_fixed_half_even(spark):
     df = spark.createDataFrame([(2.5, 0.125, -1.0)], "a double, b double, c double")
     r = df.select(S.fmt_fixed("a", 0), S.fmt_fixed("b", 2), S.fmt_fixed("c", 0, True)).collect()[0]
     assert tuple(r) == ("2", "0.12", "-")
+
+
+def test_py_fixed_matches_python_on_ties(spark):
+    vals = [(2 * n + 1) / 2 / 10 ** d for d in range(0, 6) for n in range(0, 400, 7)]
+    vals += [2.675, 1.005, 0.0005, 5e-05, -0.0005, -0.0, 1234567.8915, 9.45, 0.1 * 90]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for d in range(0, 6):
+        got = [r[0] for r in df.select(S.py_fixed("x", d)).collect()]
+        assert got == [format(v, f".{d}f") for v in vals], d
