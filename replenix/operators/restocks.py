@@ -4,7 +4,9 @@ newest first (F1)."""
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,11 @@ from ..functions import scalar as S
 from ..sources.erp import Erp
 from .util import broadcast_if_small
 
+def _any_prefix(channels: Sequence[str]):
+    """A8 for restocks: ``Sku LIKE 'prefix%'`` for any of the channels."""
+    return reduce(operator.or_, [F.col("Sku").startswith(c) for c in channels])
+
+
 EVENT_COLUMNS = ("channel", "sku", "region", "checkin_date", "origin", "container_number", "po_code",
                  "transfer_id", "transfer_type")
 
@@ -27,7 +34,7 @@ def po_arrivals(erp: Erp, channels: Sequence[str] | None = None) -> DataFrame:
     products = broadcast_if_small(erp.products.withColumnRenamed("Id", "ProductId"))
     lines = erp.purchase_order_lines.join(products, "ProductId")
     if channels is not None:
-        lines = lines.filter(F.greatest(*[F.col("Sku").startswith(c) for c in channels]))  # LIKE 'prefix%'
+        lines = lines.filter(_any_prefix(channels))  # LIKE 'prefix%'
     po = erp.purchase_orders.withColumnRenamed("Id", "PurchaseOrderId")
     cont = erp.containers.filter(P.arrived("ActualArrivingDate"))  # C3: the left join becomes inner
     df = po.join(lines, "PurchaseOrderId").join(cont, "PurchaseOrderId", "left").filter(P.arrived("ActualArrivingDate"))
@@ -60,7 +67,7 @@ def transfers_in(erp: Erp, channels: Sequence[str] | None = None) -> DataFrame:
     df = (t.join(products, "ProductId").join(src, "_src").join(dst, "_dst")
           .filter(P.transfer_route("source_name", "target_name", "TransferJobStatus")))
     if channels is not None:
-        df = df.filter(F.greatest(*[F.col("Sku").startswith(c) for c in channels]))
+        df = df.filter(_any_prefix(channels))
     return df.select(
         S.channel_of("Sku").alias("channel"), F.col("Sku").alias("sku"),
         F.lit(K.SOUTH).alias("region"),
@@ -85,7 +92,7 @@ def restock_day_counts(erp: Erp, with_transfers: bool = True, channels: Sequence
     products = broadcast_if_small(erp.products.withColumnRenamed("Id", "ProductId"))
     lines = erp.purchase_order_lines.join(products, "ProductId")
     if channels is not None:
-        lines = lines.filter(F.greatest(*[F.col("Sku").startswith(c) for c in channels]))
+        lines = lines.filter(_any_prefix(channels))
     headers = erp.purchase_orders.select(F.col("Id").alias("PurchaseOrderId"))
     lines = (lines.join(headers, "PurchaseOrderId", "left_semi")
              .groupBy("PurchaseOrderId", "Sku").agg(F.count(F.lit(1)).alias("n_lines")))

@@ -280,8 +280,14 @@ def key_demand(perf: DataFrame, variants: Sequence[str]) -> DataFrame:
 
 def demand_windows(erp: Erp, as_of: str, variants: Sequence[str] = ("8_30", "15", "30"),
                    date_from: str = K.SALES_FROM, date_to: str | None = K.SALES_TO,
-                   channels: Sequence[str] | None = None, keep: int = 3, with_refs: bool = True) -> DataFrame:
-    """Window performance rows of all requested variants (before averages)."""
+                   channels: Sequence[str] | None = None, keep: int = 3, with_refs: bool = True,
+                   sku: str | None = None) -> DataFrame:
+    """Window performance rows of all requested variants (before averages).
+
+    ``sku`` (C7) restricts the product dimension, so sales and restocks of
+    other SKUs are dropped at their first join."""
+    if sku is not None:
+        erp = Erp(**{**erp.__dict__, "products": erp.products.filter(F.col("Sku") == sku)})
     policies = sorted({SPECS[v].policy for v in variants})
     daily = SL.daily_sales(erp, policies, date_from, date_to, channels)
     if with_refs:
@@ -321,8 +327,10 @@ def export_columns(df: DataFrame, variant: str) -> DataFrame:
 
 
 def window_report(erp: Erp, variant: str, as_of: str, date_from: str = K.SALES_FROM,
-                  date_to: str | None = K.SALES_TO, channels: Sequence[str] | None = None) -> DataFrame:
-    perf = demand_windows(erp, as_of, (variant,), date_from, date_to, channels)
+                  date_to: str | None = K.SALES_TO, channels: Sequence[str] | None = None,
+                  sku: str | None = None) -> DataFrame:
+    """K7: one template's export rows (all channels, or ``channels``; one SKU with ``sku``)."""
+    perf = demand_windows(erp, as_of, (variant,), date_from, date_to, channels, sku=sku)
     return export_columns(with_averages(perf, (variant,)), variant)
 
 

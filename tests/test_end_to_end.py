@@ -17,7 +17,7 @@ from helpers import F1_FILES, write_channel
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("part", "supplier", "orders", "lineitem", "nation", "region")
-PARITY = ("daily_sales", "restock_events", "window_8_30", "window_15", "window_30", "window_diagnostic",
+PARITY = ("daily_sales", "restock_events", "window_8_30", "window_15", "window_30", "window_diagnostic", "explanations",
           "reconcile_sales", "stock_long", "open_po", "decisions", "container_check", "top_urgent",
           "family_filter_fallback", "settings_effective", "quality_same_demand")
 

@@ -128,3 +128,13 @@ def test_day_counts_rank_like_events(spark):
         assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect())), variant
     b30 = W.demand_windows(erp, "2026-07-10", ("30",), "2025-01-01", "2099-12-31", with_refs=False)
     assert sorted((str(r.checkin_date), r.rn) for r in b30.collect()) == [(C, 1), (C, 2), (C, 3)]
+
+
+def test_c7_single_sku_and_channel_filter(spark):
+    arr = ((1, "918-001", "C1", K.NORTH_PORT_ID, C), (2, "918-002", "C2", K.NORTH_PORT_ID, C),
+           (3, "996-001", "C3", K.NORTH_PORT_ID, C))
+    erp = make_erp(spark, skus=("918-001", "918-002", "996-001"), arrivals=arr)
+    one = W.window_report(erp, "diagnostic", "2026-09-01", "2025-01-01", sku="918-002").collect()
+    assert [r.sku for r in one] == ["918-002"]
+    chan = W.window_report(erp, "8_30", "2026-09-01", "2025-01-01", channels=["996"]).collect()
+    assert [r.sku for r in chan] == ["996-001"]
