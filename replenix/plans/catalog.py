@@ -57,7 +57,11 @@ def round_doubles(df: DataFrame, cols) -> DataFrame:
 
 
 def adapter(spark: SparkSession, sf_dir: str) -> TpchAdapter:
-    return TpchAdapter(spark, sf_dir)
+    """One adapter per session and folder, so repeated queries reuse its plans."""
+    cache = spark.__dict__.setdefault("_replenix_adapters", {})
+    if sf_dir not in cache:
+        cache[sf_dir] = TpchAdapter(spark, sf_dir)
+    return cache[sf_dir]
 
 
 def settings(spark: SparkSession, td: TpchAdapter) -> DataFrame:

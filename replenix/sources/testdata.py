@@ -86,6 +86,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _memo(fn):
+    """Build each derived table once per adapter (the DataFrame is only a plan)."""
+    name = fn.__name__
+
+    def wrapper(self):
+        if name not in self._memo:
+            self._memo[name] = fn(self)
+        return self._memo[name]
+    wrapper.__name__ = name
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
 class TpchAdapter:
     """Lazily derived ERP and channel inputs over one scale-factor folder."""
 
@@ -95,6 +108,7 @@ class TpchAdapter:
         self.as_of = as_of
         self._as_of = F.lit(as_of).cast("date")
         self._tables: dict[str, DataFrame] = {}
+        self._memo: dict[str, object] = {}
 
     def t(self, name: str) -> DataFrame:
         # one scan definition per table: the schema is read once per adapter
@@ -103,12 +117,14 @@ class TpchAdapter:
         return self._tables[name]
 
     # ---- dimensions ---------------------------------------------------------
+    @_memo
     def products(self) -> DataFrame:
         p = self.t("part")
         ch = channel_of_brand(F.col("p_brand"))
         return p.select(F.col("p_partkey").alias("Id"),
                         F.concat(ch, F.lit("-"), F.col("p_partkey").cast("string")).alias("Sku"))
 
+    @_memo
     def warehouses(self) -> DataFrame:
         s = self.t("supplier")
         name = F.col("s_name")
@@ -121,6 +137,7 @@ class TpchAdapter:
             f"('{ROUTE_TARGET_ID}', '{K.TRANSFER_TARGET}') AS t(Id, Name)")
         return suppliers.unionByName(route)
 
+    @_memo
     def port_of_supplier(self) -> DataFrame:
         s = self.t("supplier")
         nk = F.col("s_nationkey")
@@ -130,12 +147,14 @@ class TpchAdapter:
         return s.select(F.col("s_suppkey").alias("l_suppkey"), port.alias("ShippedtoportId"))
 
     # ---- sales ------------------------------------------------------------
+    @_memo
     def orders(self) -> DataFrame:
         o = self.t("orders").filter(F.to_date("o_orderdate") <= self._as_of)
         paid = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate") + F.expr("INTERVAL 1 DAY"))
         return o.select(F.col("o_orderkey").alias("Id"), paid.alias("PaidDateUtc"),
                         F.col("o_orderdate").alias("DateCreatedUtc"))
 
+    @_memo
     def order_lines(self) -> DataFrame:
         li = self.t("lineitem").filter(F.col("l_returnflag") == "R")
         g = supplier_guid(F.col("l_suppkey"))
@@ -150,10 +169,12 @@ class TpchAdapter:
     def _po_lines_raw(self) -> DataFrame:
         return self.t("lineitem").filter(F.col("l_returnflag") == "N")
 
+    @_memo
     def purchase_orders(self) -> DataFrame:
         return self.t("orders").select(F.col("o_orderkey").alias("Id"),
                                        F.concat(F.lit("PO"), F.col("o_orderkey").cast("string")).alias("PurchaseOrderCode"))
 
+    @_memo
     def purchase_order_lines(self) -> DataFrame:
         return self._po_lines_raw().select(F.col("l_orderkey").alias("PurchaseOrderId"),
                                            F.col("l_partkey").alias("ProductId"))
@@ -163,12 +184,14 @@ class TpchAdapter:
         return F.concat(F.lit("C"), F.col("l_orderkey").cast("string"), F.lit("-"),
                         F.col("l_linenumber").cast("string"))
 
+    @_memo
     def containers(self) -> DataFrame:
         li = self._po_lines_raw().join(self.port_of_supplier(), "l_suppkey")
         arrival = F.when(F.to_date("l_shipdate") <= self._as_of, F.col("l_shipdate"))
         return li.select(F.col("l_orderkey").alias("PurchaseOrderId"), self._container_number().alias("ContainerNumber"),
                          "ShippedtoportId", arrival.alias("ActualArrivingDate"))
 
+    @_memo
     def transfers(self) -> DataFrame:
         li = self.t("lineitem").filter(F.col("l_returnflag") == "A")
         done = F.to_date("l_shipdate") <= self._as_of
@@ -187,6 +210,7 @@ class TpchAdapter:
             F.when(done, F.lit(K.TRANSFER_DONE)).otherwise(F.lit("InProgress")).alias("TransferJobStatus"),
             ttype.alias("TransferType"))
 
+    @_memo
     def erp(self) -> Erp:
         return Erp(orders=self.orders(), order_lines=self.order_lines(), products=self.products(),
                    warehouses=self.warehouses(), purchase_orders=self.purchase_orders(),
@@ -194,6 +218,7 @@ class TpchAdapter:
                    transfers=self.transfers())
 
     # ---- channel inputs (what stock.csv / PO.csv hold) ------------------------
+    @_memo
     def stock_wide(self) -> DataFrame:
         """Columns of ``stock.csv``, one row per part."""
         p = self.t("part")
@@ -208,6 +233,7 @@ class TpchAdapter:
             F.concat(F.lit("img\\"), F.col("p_type"), F.lit("/"), F.col("p_name"), F.lit(" #"),
                      F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("ImagePath"))
 
+    @_memo
     def po_file(self) -> DataFrame:
         """Columns of ``PO.csv`` over all purchase-order lines (open and checked in)."""
         li = self._po_lines_raw().join(self.port_of_supplier(), "l_suppkey")
@@ -226,5 +252,6 @@ class TpchAdapter:
                          F.col("l_quantity").cast("string").alias("QuantityOrdered"),
                          checkin.alias("CheckinDate"), container.alias("ContainerNumber"))
 
+    @_memo
     def channels(self) -> DataFrame:
         return self.t("part").select(channel_of_brand(F.col("p_brand")).alias("channel")).distinct()
