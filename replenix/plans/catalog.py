@@ -208,7 +208,7 @@ def q_explanations(spark, sf_dir):
     return decisions_df(spark, sf_dir).select("channel", "sku", "region", "decision", "explanation")
 
 
-@register("image_urls")
+@register("image_urls", O.image_urls_sql())
 def q_image_urls(spark, sf_dir):
     return ST.image_lookup(ST.stock_long(adapter(spark, sf_dir).stock_wide()))
 

@@ -114,7 +114,8 @@ stock_file AS (
   SELECT {channel_of_brand('p_brand')} AS channel, {channel_of_brand('p_brand')} || '-' || CAST(p_partkey AS VARCHAR) AS Sku,
          p_name AS Name, p_type AS ProductFamily, p_size / 1000.0::DOUBLE AS unit_volume,
          CASE WHEN p_size = 50 THEN 1 WHEN p_size = 49 THEN 2 ELSE 0 END AS is_discontinued,
-         CAST(p_size - 20 AS DOUBLE) AS SouthIslandStock, CAST(floor(p_retailprice / 100) - 12 AS DOUBLE) AS NorthIslandStock
+         CAST(p_size - 20 AS DOUBLE) AS SouthIslandStock, CAST(floor(p_retailprice / 100) - 12 AS DOUBLE) AS NorthIslandStock,
+         'img\\' || p_type || '/' || p_name || ' #' || CAST(p_partkey AS VARCHAR) || '.jpg' AS ImagePath
   FROM part),
 po_file AS (
   SELECT left(p.Sku, 3) AS channel, p.Sku, {region_of_port('sp.ShippedtoportId')} AS Region, l_quantity AS QuantityOrdered,
@@ -396,3 +397,22 @@ DECISION_OUT = ("channel, sku, name, product_family, region, on_hand, in_transit
 
 def decisions_sql(select: str = f"SELECT {DECISION_OUT} FROM decisions_v") -> str:
     return decision_ctes() + "\n" + select
+
+
+URL_PARTS = "'^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)(.*)$'"
+
+
+def image_urls_sql() -> str:
+    """Per SKU the image URL of its path, percent-quoted like
+    Python's quote(path, safe='/:%') (url_encode quotes like safe='')."""
+    raw = "trim(COALESCE(ImagePath, ''))"
+    full = (f"CASE WHEN {raw} = '' THEN '' WHEN lower({raw}) LIKE 'http%' THEN {raw} "
+            f"ELSE {q(K.IMAGE_BASE)} || regexp_replace(replace({raw}, '\\', '/'), '^/+', '') END")
+    quoted = "replace(replace(replace(url_encode(path), '%2F', '/'), '%3A', ':'), '%25', '%')"
+    return with_ctes(ADAPTER) + f"""
+SELECT channel, sku, image_url FROM (
+  SELECT channel, Sku AS sku, CASE WHEN u = '' THEN '' ELSE head || {quoted} || tail END AS image_url
+  FROM (SELECT channel, Sku, u, regexp_extract(u, {URL_PARTS}, 1) AS head, regexp_extract(u, {URL_PARTS}, 2) AS path,
+               regexp_extract(u, {URL_PARTS}, 3) AS tail
+        FROM (SELECT channel, Sku, {full} AS u FROM stock_file)))
+WHERE image_url <> ''"""
