@@ -44,12 +44,15 @@ def parse_settings(doc_text: DataFrame, text_col: str = "value",
     is_obj = F.schema_of_variant(root_default).startswith("OBJECT")
     has_root_timing = (F.try_variant_get(F.col("doc"), "$.LeadTime", "variant").isNotNull()
                        | F.try_variant_get(F.col("doc"), "$.LogisticsTime", "variant").isNotNull())
-    # A legacy document with root-level timing and no channels map becomes the default
-    default_src = (F.when(is_obj, root_default)
-                   .when(chans.isNull() & has_root_timing, F.col("doc")))
-    d_lead = F.coalesce(_int_field(default_src, "LeadTime"), F.lit(default_lead))
-    d_log = F.coalesce(_int_field(default_src, "LogisticsTime"), F.lit(default_logistics))
-    d_note = F.coalesce(F.when(is_obj, _note(default_src)), F.lit(""))
+    # the default entry, normalised against the built-in values
+    d_lead = F.coalesce(F.when(is_obj, _int_field(root_default, "LeadTime")), F.lit(default_lead))
+    d_log = F.coalesce(F.when(is_obj, _int_field(root_default, "LogisticsTime")), F.lit(default_logistics))
+    d_note = F.coalesce(F.when(is_obj, _note(root_default)), F.lit(""))
+    # With no channels map, root-level timing becomes the default (falling back to the above)
+    legacy = chans.isNull() & has_root_timing
+    d_lead = F.when(legacy, F.coalesce(_int_field(F.col("doc"), "LeadTime"), d_lead)).otherwise(d_lead)
+    d_log = F.when(legacy, F.coalesce(_int_field(F.col("doc"), "LogisticsTime"), d_log)).otherwise(d_log)
+    d_note = F.when(legacy, F.coalesce(_note(F.col("doc")), d_note)).otherwise(d_note)
     base = df.select(d_lead.alias("d_lead"), d_log.alias("d_log"), d_note.alias("d_note"), chans.alias("chans"))
     default_row = base.select(F.lit(None).cast("string").alias("entry"), F.col("d_lead").alias("lead_time"),
                               F.col("d_log").alias("logistics_time"), F.col("d_note").alias("note"))

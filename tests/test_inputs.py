@@ -155,3 +155,12 @@ def test_py_fixed_matches_python_on_ties(spark):
     for d in range(0, 6):
         got = [r[0] for r in df.select(S.py_fixed("x", d)).collect()]
         assert got == [format(v, f".{d}f") for v in vals], d
+
+
+def test_f6_legacy_root_over_default_object(spark):
+    doc = {"default": {"LeadTime": 80, "LogisticsTime": 25}, "LeadTime": 70}
+    rows = settings_from_text(spark, json.dumps(doc)).collect()
+    assert [(r.entry, r.lead_time, r.logistics_time) for r in rows] == [(None, 70, 25)]
+    doc = {"default": {"LeadTime": 80}, "channels": {"a": {}}, "LeadTime": 70}
+    rows = {r.entry: r.lead_time for r in settings_from_text(spark, json.dumps(doc)).collect()}
+    assert rows == {None: 80, "a": 80}
