@@ -11,26 +11,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from .. import constants as K
+from ..functions import scalar as S
 from ..operators import decisions as D
 from ..operators import purchase as PU
+from ..operators import quality as QC
 from ..operators import restocks as R
 from ..operators import sales as SL
 from ..operators import stock as ST
+from ..operators import views as V
 from ..operators import windows as W
-from ..operators.settings_ops import effective_settings
+from ..operators.settings_ops import effective_settings, sync_settings
+from ..session import checkpoint_dir, cut_lineage
+from ..sinks import writers as WR
 from ..sources.settings import settings_from_text
 from ..sources.testdata import AS_OF, SALES_FROM, SALES_TO, TpchAdapter, settings_json
+from ..streaming import scan as SC
 from . import oracle as O
 from . import replenishment as RP
-from .. import constants as K
-from ..operators import quality as QC
-from ..operators import views as V
-from ..operators.settings_ops import sync_settings
-from ..session import checkpoint_dir, cut_lineage
-from ..sinks import writers as WR
-from ..streaming import scan as SC
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -143,7 +142,6 @@ def q_demand_by_key(spark, sf_dir):
     td = adapter(spark, sf_dir)
     dem = RP.demand(td.erp(), AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
     a = D.assemble(ST.stock_long(td.stock_wide()), PU.po_rows(td.po_file()), dem)
-    from ..functions import scalar as S
     out = a.select("channel", "sku", "region", "demand_8_30", "demand_15", "demand_30",
                    S.daily_demand().alias("daily_demand"), S.source_tag().alias("source_tag"))
     return round_doubles(out, ("demand_30", "daily_demand"))
