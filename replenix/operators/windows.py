@@ -206,19 +206,37 @@ def checkin_windows(ranked: DataFrame, as_of: str, variants: Sequence[str]) -> D
                          per_variant(partial).alias("is_partial"))
 
 
-def window_performance(windows: DataFrame, daily: DataFrame, as_of: str, variants: Sequence[str]) -> DataFrame:
-    """D5/D6 + E3/E4: left range join with daily sales of the same key and the
-    variant's date policy, ``order_date BETWEEN sample_start AND sample_end``.
+RANGE_JOIN = "days"  # "days": windows exploded to their days; "residual": range test after the key join
 
-    The equi keys (policy, channel, sku, region) drive a shuffled sort-merge
-    join; the range test is a residual condition.  Daily rows per key are
-    bounded by the number of days, so a hot SKU stays bounded here."""
+
+def window_performance(windows: DataFrame, daily: DataFrame, as_of: str, variants: Sequence[str],
+                       range_join: str | None = None) -> DataFrame:
+    """D5/D6 + E3/E4: left join of each window with the daily sales of its key
+    and date policy, ``order_date BETWEEN sample_start AND sample_end``.
+
+    ``days`` (default): each window becomes its days (at most 30, an empty
+    window keeps one null day) and joins on (policy, channel, sku, region,
+    order_date), exactly the daily aggregate's keys, so the large side is not
+    shuffled again and a hot SKU spreads over its days.  ``residual``: a
+    sort-merge join on (policy, channel, sku, region) with the range as a
+    residual test (daily rows per key are bounded by the number of days)."""
     today = F.lit(as_of).cast("date")
+    mode = range_join or RANGE_JOIN
     d = daily.select(F.col("policy").alias("_p"), F.col("channel").alias("_c"), F.col("sku").alias("_s"),
                      F.col("region").alias("_r"), "order_date", "daily_qty")
-    cond = ((windows.policy == d._p) & (windows.channel == d._c) & (windows.sku == d._s)
-            & (windows.region == d._r) & d.order_date.between(windows.sample_start, windows.sample_end))
-    joined = windows.join(d, cond, "left")
+    if mode == "days":
+        days = F.when(F.col("sample_end") >= F.col("sample_start"),
+                      F.sequence(F.col("sample_start"), F.col("sample_end")))
+        w = windows.withColumn("_day", F.explode_outer(days))
+        cond = ((w.policy == d._p) & (w.channel == d._c) & (w.sku == d._s) & (w.region == d._r)
+                & (w._day == d.order_date))
+        # one clustering of the (small) window-day rows serves the window
+        # aggregate, the averages over a key's windows and the key demand
+        joined = w.join(d, cond, "left").drop("_day").repartition(*VARIANT, *KEY)
+    else:
+        cond = ((windows.policy == d._p) & (windows.channel == d._c) & (windows.sku == d._s)
+                & (windows.region == d._r) & d.order_date.between(windows.sample_start, windows.sample_end))
+        joined = windows.join(d, cond, "left")
     specs = {v: SPECS[v] for v in variants}
     positive_rule = [k for k, s in specs.items() if s.days_with_sales_rule == "positive"]
     counts = (F.when(F.col("variant").isin(*positive_rule), F.col("daily_qty") > 0)
