@@ -15,14 +15,20 @@ from ..sources.erp import Erp
 from .util import broadcast_if_small
 
 
-def order_lines(erp: Erp, valid_json_only: bool = True) -> DataFrame:
-    """Orders ⋈ OrderLines ⋈ Products (inner, equi)."""
+def order_lines(erp: Erp, valid_json_only: bool = True, channels: Sequence[str] | None = None) -> DataFrame:
+    """Orders ⋈ OrderLines ⋈ Products (inner, equi).
+
+    Lines meet the (small, size-checked broadcast) products first, so a channel
+    restriction (A8: ``LEFT(sku, 3) IN (...)``) shrinks them before the large
+    lines ⋈ orders join."""
     lines = erp.order_lines
     if valid_json_only:
         lines = lines.filter(P.valid_snapshot("StockSnapshotJson"))  # C14, before the big join
     orders = erp.orders.withColumnRenamed("Id", "OrderId")
-    products = broadcast_if_small(erp.products.withColumnRenamed("Id", "ProductId"))
-    return lines.join(orders, "OrderId").join(products, "ProductId")
+    products = erp.products.withColumnRenamed("Id", "ProductId")
+    if channels is not None:
+        products = products.filter(S.channel_of("Sku").isin(*channels))
+    return lines.join(broadcast_if_small(products), "ProductId").join(orders, "OrderId")
 
 
 def with_warehouse(df: DataFrame, warehouses: DataFrame) -> DataFrame:
@@ -47,10 +53,8 @@ def sales_lines(erp: Erp, policies: Sequence[str] = ("paid",), date_from: str =
         any_cond = any_cond | c
     # Push the union of the date filters to the Orders scan before joining.
     erp_f = Erp(**{**erp.__dict__, "orders": erp.orders.filter(any_cond)})
-    df = with_warehouse(order_lines(erp_f), erp.warehouses)
+    df = with_warehouse(order_lines(erp_f, channels=channels), erp.warehouses)
     df = df.filter(P.not_excluded("warehouse_name", excluded))  # C2, makes D2 inner
-    if channels is not None:
-        df = df.filter(S.channel_of("Sku").isin(*channels))  # A8: LEFT(sku, 3) IN (...)
     dated = F.array(*[
         F.struct(F.lit(p).alias("policy"), S.sale_date("PaidDateUtc", "DateCreatedUtc", p).alias("order_date"),
                  c.alias("_keep"))
