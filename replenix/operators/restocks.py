@@ -114,8 +114,54 @@ def restock_day_counts(erp: Erp, with_transfers: bool = True, channels: Sequence
             .agg(F.sum("n_po").alias("n_po"), F.sum("n_tnull").alias("n_tnull"), F.sum("n_tkept").alias("n_tkept")))
 
 
+def po_event_candidates(erp: Erp, channels: Sequence[str] | None = None, top: int | None = None) -> DataFrame:
+    """PO arrival events as needed by the windows, without materialising all
+    line x container pairs of a PO.
+
+    ``top=None`` (for windows that merge same-day events): one row per (PO,
+    SKU, region, day) carrying the PO's largest container number of that day —
+    the MAX the merge takes anyway.  ``top=N`` (for the window that keeps
+    same-day events apart): only the N smallest containers of each (PO,
+    region, day), each repeated min(lines of the SKU, N) times; any other
+    event of that SKU has N events of the same PO and day ranked before it, so
+    the newest-N selection is unchanged."""
+    products = broadcast_if_small(erp.products.withColumnRenamed("Id", "ProductId"))
+    lines = erp.purchase_order_lines.join(products, "ProductId")
+    if channels is not None:
+        lines = lines.filter(_any_prefix(channels))
+    lines = lines.groupBy("PurchaseOrderId", "Sku").agg(F.count(F.lit(1)).alias("n_lines"))
+    headers = erp.purchase_orders.select(F.col("Id").alias("PurchaseOrderId"),
+                                         F.col("PurchaseOrderCode").cast("string").alias("po_code"))
+    cont = erp.containers.filter(P.arrived("ActualArrivingDate")).select(
+        "PurchaseOrderId", S.region_of_port("ShippedtoportId").alias("region"),
+        F.to_date("ActualArrivingDate").alias("checkin_date"),
+        F.col("ContainerNumber").cast("string").alias("container_number"))
+    group = ("PurchaseOrderId", "region", "checkin_date")
+    if top is None:
+        cont = cont.groupBy(*group).agg(F.max("container_number").alias("container_number"))
+    else:
+        w = Window.partitionBy(*group).orderBy(F.col("container_number").asc_nulls_last())
+        cont = cont.withColumn("_c", F.row_number().over(w)).filter(F.col("_c") <= top).drop("_c")
+    j = lines.join(headers, "PurchaseOrderId").join(cont, "PurchaseOrderId")
+    if top is not None:
+        j = j.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n_lines"), F.lit(top)).cast("int"))))
+    return j.select(
+        S.channel_of("Sku").alias("channel"), F.col("Sku").alias("sku"), "region", "checkin_date",
+        F.lit("PO").alias("origin"), "container_number", "po_code",
+        F.lit(None).cast("string").alias("transfer_id"), F.lit(None).cast("string").alias("transfer_type"))
+
+
+def restock_candidates(erp: Erp, with_transfers: bool = True, channels: Sequence[str] | None = None,
+                       top: int | None = None) -> DataFrame:
+    """H1 for the windows: PO event candidates (see ``po_event_candidates``)
+    and completed transfers (one event per transfer, no pairs)."""
+    po = po_event_candidates(erp, channels, top)
+    return po.unionByName(transfers_in(erp, channels)) if with_transfers else po
+
+
 def restock_events(erp: Erp, with_transfers: bool = True, channels: Sequence[str] | None = None) -> DataFrame:
-    """H1: UNION ALL of PO arrivals and transfers (raw, not merged)."""
+    """H1: UNION ALL of PO arrivals and transfers, every raw event (the event
+    list itself; the windows use ``restock_candidates``)."""
     arrivals = po_arrivals(erp, channels)
     if not with_transfers:
         return arrivals

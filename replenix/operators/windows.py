@@ -83,7 +83,7 @@ def _merged_day_events(raw: DataFrame) -> DataFrame:
 
 
 def variant_events(erp: Erp, variants: Sequence[str], channels: Sequence[str] | None = None,
-                   with_refs: bool = True) -> DataFrame:
+                   with_refs: bool = True, keep: int = 3) -> DataFrame:
     """Restock events per variant (C5 per variant; E2 where the variant merges)
     with the variant's reference texts.
 
@@ -91,12 +91,12 @@ def variant_events(erp: Erp, variants: Sequence[str], channels: Sequence[str] |
     demand number (same-day events of the 30 window give identical windows
     whichever gets the lower rank), so the merge is a plain distinct."""
     specs = {v: SPECS[v] for v in variants}
-    raw = R.restock_events(erp, with_transfers=any(s.transfers for s in specs.values()), channels=channels)
     null = F.lit(None).cast("string")
     parts = []
     merging = [k for k, s in specs.items() if s.merge_same_day]
     plain = [k for k, s in specs.items() if not s.merge_same_day]
     if merging:
+        raw = R.restock_candidates(erp, any(specs[k].transfers for k in merging), channels, top=None)
         m = _merged_day_events(raw) if with_refs else raw.groupBy(*KEY, "checkin_date").agg(
             F.max(F.col("origin") == "PO").alias("has_po"),
             F.max((F.col("origin") == "Transfer") & F.col("transfer_type").isNull()).alias("has_tn"),
@@ -120,6 +120,7 @@ def variant_events(erp: Erp, variants: Sequence[str], channels: Sequence[str] |
             F.col("_v.variant").alias("variant"), F.col("_v.policy").alias("policy"), *KEY, "checkin_date",
             container.alias("container_number"), code.alias("po_code"), source.alias("source_type")))
     if plain:
+        raw = R.restock_candidates(erp, any(specs[k].transfers for k in plain), channels, top=keep)
         e = raw.withColumn("_v", F.explode(F.array(*[_spec_struct(k, specs[k]) for k in plain])))
         v = F.col("_v")
         is_transfer = F.col("origin") == "Transfer"
@@ -309,7 +310,8 @@ def demand_windows(erp: Erp, as_of: str, variants: Sequence[str] = ("8_30", "15"
     policies = sorted({SPECS[v].policy for v in variants})
     daily = SL.daily_sales(erp, policies, date_from, date_to, channels)
     if with_refs:
-        ranked = R.rank_restocks(variant_events(erp, variants, channels), partition=(*VARIANT, *KEY), keep=keep)
+        ranked = R.rank_restocks(variant_events(erp, variants, channels, keep=keep), partition=(*VARIANT, *KEY),
+                                 keep=keep)
     else:
         ranked = ranked_day_events(erp, variants, channels, keep)
     windows = checkin_windows(ranked, as_of, variants)

@@ -138,3 +138,21 @@ def test_c7_single_sku_and_channel_filter(spark):
     assert [r.sku for r in one] == ["918-002"]
     chan = W.window_report(erp, "8_30", "2026-09-01", "2025-01-01", channels=["996"]).collect()
     assert [r.sku for r in chan] == ["996-001"]
+
+
+def test_top3_candidates_equal_brute_force(spark):
+    # PO 1: two lines of the SKU, five containers on the newest day; PO 2: two smaller containers that day
+    arr = tuple((1, "918-001", f"C{i}", K.NORTH_PORT_ID, C) for i in (5, 3, 9, 4, 7))
+    arr += ((2, "918-001", "C1", K.NORTH_PORT_ID, C), (2, "918-001", "C8", K.NORTH_PORT_ID, C),
+            (3, "918-001", "C0", K.NORTH_PORT_ID, "2026-06-01"))
+    erp = make_erp(spark, arrivals=arr)
+    erp = erp.__class__(**{**erp.__dict__, "purchase_order_lines": erp.purchase_order_lines.unionByName(
+        erp.purchase_order_lines.filter("PurchaseOrderId = 1"))})
+    fast = R.rank_restocks(W.variant_events(erp, ("30",)), partition=(*W.VARIANT, *W.KEY), keep=3)
+    raw = R.restock_events(erp).select(*W.KEY, "checkin_date", "container_number", "po_code",
+                                       F.col("origin").alias("source_type"))
+    brute = R.rank_restocks(raw, keep=3)
+    cols = ["checkin_date", "container_number", "po_code", "rn"]
+    got = sorted(map(tuple, fast.select(*cols).collect()))
+    assert got == sorted(map(tuple, brute.select(*cols).collect()))
+    assert [c for _, c, _, _ in got] == ["C1", "C3", "C3"]
