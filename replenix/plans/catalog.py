@@ -140,7 +140,7 @@ SELECT channel, sku, region, demand_8_30, demand_15, ROUND(demand_30, 8) AS dema
 FROM filled""")
 def q_demand_by_key(spark, sf_dir):
     td = adapter(spark, sf_dir)
-    dem = RP.demand(td.erp(), AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
+    dem = _demand(td)
     a = D.assemble(ST.stock_long(td.stock_wide()), PU.po_rows(td.po_file()), dem)
     out = a.select("channel", "sku", "region", "demand_8_30", "demand_15", "demand_30",
                    S.daily_demand().alias("daily_demand"), S.source_tag().alias("source_tag"))
@@ -150,7 +150,7 @@ def q_demand_by_key(spark, sf_dir):
 @register("key_spine", O.decision_ctes() + "\nSELECT channel, sku, region FROM assembled")
 def q_key_spine(spark, sf_dir):
     td = adapter(spark, sf_dir)
-    dem = RP.demand(td.erp(), AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
+    dem = _demand(td)
     return D.key_spine(ST.stock_long(td.stock_wide()), PU.po_rows(td.po_file()), dem)
 
 
@@ -159,11 +159,19 @@ DECISION_DOUBLES = ("demand_30", "daily_demand", "lead_time_need", "logistics_ne
 DECISION_OUT_COLS = [c for c in D.DECISION_COLUMNS if c not in ("image_url", "explanation")]
 
 
+def _demand(td: TpchAdapter) -> DataFrame:
+    if "demand" not in td._memo:
+        td._memo["demand"] = RP.demand(td.erp(), AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
+    return td._memo["demand"]
+
+
 def decisions_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: P1 demand (three windows) -> P2 decisions, all channels."""
+    """The flagship: P1 demand (three windows) -> P2 decisions, all channels.
+    The plan is built once per adapter and shared by the dependent queries."""
     td = adapter(spark, sf_dir)
-    dem = RP.demand(td.erp(), AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
-    return RP.replenishment(td.stock_wide(), td.po_file(), dem, settings(spark, td))
+    if "decisions" not in td._memo:
+        td._memo["decisions"] = RP.replenishment(td.stock_wide(), td.po_file(), _demand(td), settings(spark, td))
+    return td._memo["decisions"]
 
 
 def decisions_out(df: DataFrame) -> DataFrame:
@@ -284,7 +292,7 @@ SELECT COUNT(*) AS rows, COUNT(*) FILTER (WHERE decision = 'order') AS order_row
 FROM {DEC}"""))
 def q_run_summary(spark, sf_dir):
     td = adapter(spark, sf_dir)
-    dem = RP.demand(td.erp(), AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
+    dem = _demand(td)
     dec = RP.replenishment(td.stock_wide(), td.po_file(), dem, settings(spark, td))
     dropped = RP.discontinued_dropped(td.stock_wide(), td.po_file(), dem)
     out = V.run_summary(dec, dropped)
@@ -461,7 +469,7 @@ LEFT JOIN (
   UNION SELECT DISTINCT channel, 'Sales 30.csv', TRUE FROM kd_30) p ON p.channel = c.channel AND p.file = f.file""")
 def q_quality_completeness(spark, sf_dir):
     td = adapter(spark, sf_dir)
-    dem = RP.demand(td.erp(), AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
+    dem = _demand(td)
     names = F.create_map(F.lit("8-30"), F.lit("Sales 8-30.csv"), F.lit("15"), F.lit("Sales 15.csv"),
                          F.lit("30"), F.lit("Sales 30.csv"))
     files = (td.stock_wide().select("channel", F.lit("stock.csv").alias("file"))
@@ -569,7 +577,7 @@ def q_stream_scan(spark, sf_dir):
     td = adapter(spark, sf_dir)
     scratch = scratch_dir(spark, "stream")
     land = f"{scratch}/landing"
-    dem = RP.demand(td.erp(), AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
+    dem = _demand(td)
     for kind, df in (("stock", td.stock_wide()), ("po", td.po_file()), ("demand", dem)):
         df.write.partitionBy("channel").option("header", True).csv(f"{land}/{kind}")
     query = SC.stream_scan(spark, land, f"{scratch}/decisions", f"{scratch}/_checkpoint",
