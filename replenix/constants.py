@@ -53,8 +53,9 @@ CONTAINER_THRESHOLD = 69.0
 SALES_FROM = "2025-01-01"
 SALES_TO = "2099-12-31"
 
-# FIXED VALUES: image base for relative image paths.
-IMAGE_BASE = "https://ierpapi.ifurniture.co.nz/"
+# Image host prefixed to relative image paths: deployment configuration, passed
+# as ``image_base`` / ``base`` to the readers and operators; this is a neutral default.
+IMAGE_BASE = "https://erp-images.example/"
 
 # --- Decisions -----------------------------------------------------------------
 # Internal codes are English; labels are the ones shown in reports.
