@@ -98,13 +98,11 @@ def decide(df: DataFrame, settings: DataFrame) -> DataFrame:
     df = df.filter(P.not_discontinued("is_discontinued")).join(s, "channel", "left")
     lead = F.coalesce("lead_time", F.lit(K.DEFAULT_LEAD_TIME))
     logi = F.coalesce("logistics_time", F.lit(K.DEFAULT_LOGISTICS_TIME))
-    df = (df.withColumn("lead_time", lead).withColumn("logistics_time", logi)
-            .withColumn("total_stock", S.total_stock())
-            .withColumn("daily_demand", S.daily_demand())
-            .withColumn("demand_source", S.demand_source())
-            .withColumn("source_tag", S.source_tag())
-            .withColumn("lead_time_need", F.col("daily_demand") * F.col("lead_time"))
-            .withColumn("logistics_need", F.col("daily_demand") * F.col("logistics_time")))
+    df = df.withColumns({"lead_time": lead, "logistics_time": logi, "total_stock": S.total_stock(),
+                         "daily_demand": S.daily_demand(), "demand_source": S.demand_source(),
+                         "source_tag": S.source_tag()})
+    df = df.withColumns({"lead_time_need": F.col("daily_demand") * F.col("lead_time"),
+                         "logistics_need": F.col("daily_demand") * F.col("logistics_time")})
     total, daily = F.col("total_stock"), F.col("daily_demand")
     near = F.col("on_hand") + F.col("in_transit")
     production = F.col("in_production")
@@ -115,11 +113,10 @@ def decide(df: DataFrame, settings: DataFrame) -> DataFrame:
     df = df.withColumn("decision", dec)
     d = F.col("decision")
     order_qty = F.when(d == K.ORDER, F.greatest(F.lit(0.0), F.col("lead_time_need") - total)).otherwise(F.lit(0.0))
-    df = df.withColumn("order_qty", order_qty).withColumn("order_volume", F.col("order_qty") * F.col("unit_volume"))
     exp_qty = F.when(d == K.EXPEDITE, F.greatest(F.lit(0.0), F.col("logistics_need") - near)).otherwise(F.lit(0.0))
-    df = (df.withColumn("expedite_qty", exp_qty)
-            .withColumn("expedite_volume", F.col("expedite_qty") * F.col("unit_volume"))
-            .withColumn("priority", S.priority("decision")))
+    df = df.withColumns({"order_qty": order_qty, "expedite_qty": exp_qty, "priority": S.priority("decision")})
+    df = df.withColumns({"order_volume": F.col("order_qty") * F.col("unit_volume"),
+                         "expedite_volume": F.col("expedite_qty") * F.col("unit_volume")})
     return with_explanation(df)
 
 

@@ -254,9 +254,9 @@ def window_performance(windows: DataFrame, daily: DataFrame, as_of: str, variant
                     F.greatest(F.datediff(F.least(today, F.date_add(c, 30)), c), F.lit(0))).otherwise(F.lit(30))
     days = F.when(is30, days30).otherwise(S.day_span("sample_start", "sample_end"))
     out = grouped.withColumn("sample_days", days.cast("bigint"))
-    return (out.withColumn("single_avg_dec", F.when(~is30, S.decimal6("sample_qty", "sample_days")))
-               .withColumn("single_avg_f", F.when(is30, F.col("sample_qty") / F.nullif(F.col("sample_days").cast("double"),
-                                                                                          F.lit(0.0)))))
+    return out.withColumns({
+        "single_avg_dec": F.when(~is30, S.decimal6("sample_qty", "sample_days")),
+        "single_avg_f": F.when(is30, F.col("sample_qty") / F.nullif(F.col("sample_days").cast("double"), F.lit(0.0)))})
 
 
 def _main_avg_expr(variants: Sequence[str], mature: Column, all_: Column, float_all: Column) -> Column:
@@ -280,11 +280,10 @@ def with_averages(perf: DataFrame, variants: Sequence[str]) -> DataFrame:
     all_ = F.avg("single_avg_dec").over(w).cast("decimal(18,6)").cast("double")
     weighted = S.decimal6(F.sum("sample_qty").over(w), F.sum("sample_days").over(w)).cast("double")
     float_all = F.avg("single_avg_f").over(w)
-    return (perf.withColumn("avg_mature", mature).withColumn("avg_all", all_)
-                .withColumn("avg_weighted", weighted).withColumn("avg_float", float_all)
-                .withColumn("avg_main", _main_avg_expr(variants, F.col("avg_mature"), F.col("avg_all"),
-                                                      F.col("avg_float")))
-                .withColumn("single_avg", F.coalesce(F.col("single_avg_dec").cast("double"), F.col("single_avg_f"))))
+    out = perf.withColumns({"avg_mature": mature, "avg_all": all_, "avg_weighted": weighted, "avg_float": float_all})
+    return out.withColumns({
+        "avg_main": _main_avg_expr(variants, F.col("avg_mature"), F.col("avg_all"), F.col("avg_float")),
+        "single_avg": F.coalesce(F.col("single_avg_dec").cast("double"), F.col("single_avg_f"))})
 
 
 def key_demand(perf: DataFrame, variants: Sequence[str]) -> DataFrame:
