@@ -73,11 +73,27 @@ def top_urgent(df: DataFrame, n: int = 30) -> DataFrame:
     return act.orderBy(F.col("days_of_supply").asc(), "sku", "region").limit(n)
 
 
+# FIXED VALUES: display headings of the view that a user may sort by, and our column for each.
+SORT_HEADINGS = {
+    "SKU": "sku", "Name": "name", "ProductFamily": "product_family", "地区": "region", "在库库存": "on_hand",
+    "在途库存": "in_transit", "在产库存": "in_production", "总量库存": "total_stock", "8-30天": "demand_8_30",
+    "15天": "demand_15", "30天": "demand_30", "采用需求": "daily_demand", "需求来源": "demand_source",
+    "LT预估": "lead_time_need", "物流预估": "logistics_need", "决策建议": "decision", "建议订货量": "order_qty",
+    "体积系数": "unit_volume", "备货体积": "order_volume", "催发货数量": "expedite_qty",
+    "催发货体积": "expedite_volume", "详细说明": "explanation", "渠道": "channel",
+}
+
+
+def _sort_column(name: str | None) -> str | None:
+    return SORT_HEADINGS.get(name, name) if name else None
+
+
 # G2
 def sort_view(df: DataFrame, primary: str | None = None, ascending: bool = True, secondary: str | None = None,
               ascending2: bool = True) -> DataFrame:
     """User sort on one or two columns, nulls last; the same column twice
     drops the secondary."""
+    primary, secondary = _sort_column(primary), _sort_column(secondary)
     keys = []
     if primary:
         keys.append(F.col(primary).asc_nulls_last() if ascending else F.col(primary).desc_nulls_last())
@@ -197,3 +213,24 @@ def active_only(df: DataFrame) -> DataFrame:
 def per_decision(df: DataFrame, decisions: Sequence[str]) -> DataFrame:
     """The rows of the given decisions."""
     return df.filter(F.col("decision").isin(*decisions))
+
+
+def view(df: DataFrame, region: str | None = None, decision: str | None = None, family: str | None = None,
+         primary: str | None = None, ascending: bool = True, secondary: str | None = None,
+         ascending2: bool = True, literal: bool = False) -> DataFrame:
+    """The view of a decision result: region/decision filters (C10), tiered
+    family search (C11, its fallback tier searches the whole result) and the
+    user sort (G2); lazy, nothing is collected."""
+    rows = search_family(df, family, region, decision, literal)
+    return sort_view(rows, primary, ascending, secondary, ascending2)
+
+
+def totals(df: DataFrame, threshold: float = K.CONTAINER_THRESHOLD) -> DataFrame:
+    """The totals shown with a view: rows, order and expedite rows, order and
+    expedite volumes per region and in total, container status per region."""
+    s = run_summary(df)
+    t = float(threshold)
+    return s.select("rows", F.col("order_rows"), F.col("expedite_rows"), "order_volume", "north_order_volume",
+                    "south_order_volume", "expedite_volume", "north_expedite_volume", "south_expedite_volume",
+                    (F.col("north_order_volume") >= t).alias("north_bookable"),
+                    (F.col("south_order_volume") >= t).alias("south_bookable"))

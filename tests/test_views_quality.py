@@ -86,3 +86,10 @@ def test_same_demand_check(spark):
     assert st == {"918": True, "996": False}
     rep = QC.quality_report(same.drop("WindowType")).collect()
     assert [(r.channel, r.check) for r in rep] == [("918", "same_demand")]
+
+
+def test_view_and_totals(spark, result):
+    v = V.view(result, region=K.NORTH, family="sof", primary="总量库存", ascending=False)
+    assert [r.sku for r in v.collect()] == ["B", "A"]
+    t = V.totals(result).collect()[0]
+    assert (t.rows, t.order_rows, t.north_order_volume, t.north_bookable) == (4, 2, 70.0, True)
