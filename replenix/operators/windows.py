@@ -56,6 +56,11 @@ KEY = ("channel", "sku", "region")
 VARIANT = ("variant", "policy")
 
 
+def _today(as_of: str | None) -> Column:
+    """The report date; ``None`` means the current date."""
+    return F.current_date() if as_of is None else F.lit(as_of).cast("date")
+
+
 def _spec_struct(key: str, spec: WindowSpec) -> Column:
     d = asdict(spec)
     return F.struct(F.lit(key).alias("variant"), *[F.lit(v).alias(k) for k, v in d.items()])
@@ -173,9 +178,9 @@ def ranked_day_events(erp: Erp, variants: Sequence[str], channels: Sequence[str]
     return days.select(*VARIANT, *KEY, "checkin_date", *texts, F.explode(ranks).alias("rn"))
 
 
-def checkin_windows(ranked: DataFrame, as_of: str, variants: Sequence[str]) -> DataFrame:
+def checkin_windows(ranked: DataFrame, as_of: str | None, variants: Sequence[str]) -> DataFrame:
     """Sample start/end, partial flag for the newest restocks (rn <= 3)."""
-    today = F.lit(as_of).cast("date")
+    today = _today(as_of)
     c = F.col("checkin_date")
     specs = {v: SPECS[v] for v in variants}
 
@@ -210,7 +215,7 @@ def checkin_windows(ranked: DataFrame, as_of: str, variants: Sequence[str]) -> D
 RANGE_JOIN = "days"  # "days": windows exploded to their days; "residual": range test after the key join
 
 
-def window_performance(windows: DataFrame, daily: DataFrame, as_of: str, variants: Sequence[str],
+def window_performance(windows: DataFrame, daily: DataFrame, as_of: str | None, variants: Sequence[str],
                        range_join: str | None = None) -> DataFrame:
     """D5/D6 + E3/E4: left join of each window with the daily sales of its key
     and date policy, ``order_date BETWEEN sample_start AND sample_end``.
@@ -221,7 +226,7 @@ def window_performance(windows: DataFrame, daily: DataFrame, as_of: str, variant
     shuffled again and a hot SKU spreads over its days.  ``residual``: a
     sort-merge join on (policy, channel, sku, region) with the range as a
     residual test (daily rows per key are bounded by the number of days)."""
-    today = F.lit(as_of).cast("date")
+    today = _today(as_of)
     mode = range_join or RANGE_JOIN
     d = daily.select(F.col("policy").alias("_p"), F.col("channel").alias("_c"), F.col("sku").alias("_s"),
                      F.col("region").alias("_r"), "order_date", "daily_qty")
@@ -296,7 +301,7 @@ def key_demand(perf: DataFrame, variants: Sequence[str]) -> DataFrame:
             .agg(_main_avg_expr(variants, mature, all_, float_all).alias("avg_main")))
 
 
-def demand_windows(erp: Erp, as_of: str, variants: Sequence[str] = ("8_30", "15", "30"),
+def demand_windows(erp: Erp, as_of: str | None, variants: Sequence[str] = ("8_30", "15", "30"),
                    date_from: str = K.SALES_FROM, date_to: str | None = K.SALES_TO,
                    channels: Sequence[str] | None = None, keep: int = 3, with_refs: bool = True,
                    sku: str | None = None) -> DataFrame:
@@ -345,7 +350,7 @@ def export_columns(df: DataFrame, variant: str) -> DataFrame:
     return df.filter(F.col("variant") == variant).select(*cols)
 
 
-def window_report(erp: Erp, variant: str, as_of: str, date_from: str = K.SALES_FROM,
+def window_report(erp: Erp, variant: str, as_of: str | None, date_from: str = K.SALES_FROM,
                   date_to: str | None = K.SALES_TO, channels: Sequence[str] | None = None,
                   sku: str | None = None) -> DataFrame:
     """K7: one template's export rows (all channels, or ``channels``; one SKU with ``sku``)."""

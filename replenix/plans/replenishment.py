@@ -24,7 +24,7 @@ from ..sources.erp import Erp
 DECISION_WINDOWS = {"8_30": "8-30", "15": "15", "30": "30"}
 
 
-def demand(erp: Erp, as_of: str, variants: Sequence[str] = ("8_30", "15", "30"), date_from: str = K.SALES_FROM,
+def demand(erp: Erp, as_of: str | None, variants: Sequence[str] = ("8_30", "15", "30"), date_from: str = K.SALES_FROM,
            date_to: str | None = K.SALES_TO, channels: Sequence[str] | None = None) -> DataFrame:
     """P1 for the decision step: long rows (channel, sku, region, window, value).
 
