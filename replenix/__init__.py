@@ -6,3 +6,6 @@ views and aggregates, data-quality checks, sinks and a streaming scan.
 """
 
 __version__ = "0.1.0"
+
+from .plans.replenishment import demand, replenishment  # noqa: E402,F401
+from .session import build_session  # noqa: E402,F401
