@@ -22,8 +22,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or list(HEADLINE)
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus),
-                          extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
+    extra = {"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")}
+    if os.environ.get("BENCH_EVENT_LOG"):  # stage timings for scripts/stage_times.py
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus), extra=extra)
     qs = catalog.queries()
     # warm-up: JIT and file listing, not timed
     qs["stock_long"](spark, sf_dir).write.format("noop").mode("overwrite").save()
