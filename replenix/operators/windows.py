@@ -61,9 +61,18 @@ def _today(as_of: str | None) -> Column:
     return F.current_date() if as_of is None else F.lit(as_of).cast("date")
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
 def _spec_struct(key: str, spec: WindowSpec) -> Column:
-    d = asdict(spec)
-    return F.struct(F.lit(key).alias("variant"), *[F.lit(v).alias(k) for k, v in d.items()])
+    """The variant's parameters as a constant struct (one SQL expression)."""
+    fields = {"variant": key, **asdict(spec)}
+    return F.expr("named_struct(" + ", ".join(f"'{k}', {_sql_literal(v)}" for k, v in fields.items()) + ")")
 
 
 def _merged_day_events(raw: DataFrame) -> DataFrame:
