@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, formatting, mixing, neardup, packing, quality, rules, toxicity, vectors
+from . import attribution, formatting, mixing, neardup, packing, passages, quality, rules, toxicity, vectors
 from .shared import table
 
 WORDS = F.lit(r"[^\x20\x09-\x0D]+")
@@ -17,6 +17,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count("text", WORDS).alias("n_words"))
     return mixing.mix(docs, size="n_words").select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -53,6 +57,7 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules,
+        "op2_repeated_passages": repeated_passages,
         "op3_source_mix": source_mix,
         "op4_near_duplicates": near_duplicates,
         "op5_near_vectors": near_vectors,
