@@ -202,7 +202,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, te
     members = cut(in_blocks(members, "root", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes)), "cls")
                   .select("root", "cls", "rid", "bi", "bj"), "members")
     texts = docs.select(row_id(text).alias("rid"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    packed = texts.join(members, "rid").groupBy("root", "bi", "bj").agg(F.collect_list(F.struct("cls", "text")).alias("m"))
+    packed = texts.join(members.hint("merge"), "rid").groupBy("root", "bi", "bj").agg(F.collect_list(F.struct("cls", "text")).alias("m"))
 
     def compare(batches):
         for b in batches:
