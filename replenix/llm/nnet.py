@@ -39,14 +39,14 @@ class Cnn:
         self.bias = np.float32(0)
         self.tables = None
 
-    def start_from_counts(self, ids: np.ndarray, lo: np.ndarray, y: np.ndarray, prior: float = 8.0) -> None:
+    def start_from_counts(self, docs: list[np.ndarray], y: np.ndarray, prior: float = 8.0) -> None:
         """Let the first dimension begin as the shrunken log-odds of a word's documents,
         read by the first filter of width one: pooling then finds telling words at once."""
-        rows = np.repeat(np.arange(len(lo) - 1), np.diff(lo))
-        pairs = np.unique((rows[:, None] * self.buckets + ids).ravel())
-        doc, word = pairs // self.buckets, pairs % self.buckets
-        seen = np.bincount(word, minlength=self.buckets)
-        hit = np.bincount(word, weights=y[doc], minlength=self.buckets)
+        seen, hit = np.zeros(self.buckets), np.zeros(self.buckets)
+        for ids, label in zip(docs, y.tolist(), strict=True):
+            words = np.unique(ids)
+            seen[words] += 1
+            hit[words] += label
         base = min(max(y.mean(), 1e-3), 1 - 1e-3)
         rate = (hit + prior * base) / (seen + prior)
         self.emb[:, 0] = np.clip(np.log(rate / (1 - rate)) - np.log(base / (1 - base)), -3, 6) * (seen > 0)
@@ -101,6 +101,13 @@ class Cnn:
         x, _ = self.pooled(ids, lo, self._tables())
         return 1 / (1 + np.exp(-(x @ self.dense + self.bias).astype(float)))
 
+    def score_rows(self, docs: list[np.ndarray], batch: int = 64) -> np.ndarray:
+        out = [np.zeros(0)]
+        for k in range(0, len(docs), batch):
+            some = docs[k:k + batch]
+            out.append(self.score(np.concatenate(some), np.concatenate([[0], np.cumsum([len(d) for d in some])])))
+        return np.concatenate(out)
+
     def train(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 7) -> None:
         """Adagrad on the log loss, in an order fixed by ``seed``."""
         rng = np.random.default_rng(seed)

@@ -55,24 +55,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, labe
     got = map_arrow(rows, run, f"doc_id {kind}, y int, lang string, ids binary").collect()
     if not got:
         return None
-    got = list({(r["doc_id"], bytes(r["ids"])): r for r in got}.values())
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["ids"])))
-    words = [np.frombuffer(r["ids"], np.int32).reshape(-1, 3) for r in got]
-    y = np.array([r["y"] for r in got])
+    got = sorted({(r["doc_id"], bytes(r["ids"])): (r["y"], r["lang"]) for r in got}.items(), key=lambda x: x[0])  # repeated rows train once
+    words = [np.frombuffer(ids, np.int32).reshape(-1, 3) for (_, ids), _ in got]
+    y = np.array([v[0] for _, v in got])
     check = np.arange(len(got)) % 5 == 4
     net = Cnn(buckets)
     train = np.flatnonzero(~check) if (~check).any() else np.arange(len(got))
     own = [words[i] for i in train]
-    lo = lambda rows: np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     if y[train].min() != y[train].max():
-        net.start_from_counts(np.concatenate(own), lo(own), y[train])
+        net.start_from_counts(own, y[train])
     net.train(own, y[train], epochs=epochs, rate=0.03)
     cut = {}
-    for name in {r["lang"] for r in got}:
-        at = [i for i in np.flatnonzero(check) if got[i]["lang"] == name]
+    for name in {v[1] for _, v in got}:
+        at = [i for i in np.flatnonzero(check) if got[i][1][1] == name]
         if at:
-            some = [words[i] for i in at]
-            cut[name] = best_threshold(net.score(np.concatenate(some), lo(some)), y[at])
+            cut[name] = best_threshold(net.score_rows([words[i] for i in at]), y[at])
     return Model(net, cut)
 
 
