@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import attribution, formatting, mixing, neardup, packing, passages, quality, rules, toxicity, vectors
 from .shared import cut, table
 
-WORDS = F.lit(r"[^\x20\x09-\x0D]+")
+WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count("text", WORDS).alias("n_words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count("text", F.lit(WORDS)).alias("n_words"))
     return mixing.mix(cut(docs, "sizes"), size="n_words").select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
