@@ -73,8 +73,19 @@ SOURCE_NONE = "无销售数据"
 
 # FIXED VALUES: the five per-channel input files.
 REQUIRED_FILES = ("stock.csv", "PO.csv", "Sales 8-30.csv", "Sales 15.csv", "Sales 30.csv")
+REQUIRED_COLUMNS = {
+    "stock.csv": ("Sku", "PriceRadarVolume", "IsDiscontinued", "SouthIslandStock", "NorthIslandStock"),
+    "PO.csv": ("Sku", "Region", "QuantityOrdered", "CheckinDate"),
+    "Sales 8-30.csv": ("Sku", "Region", "AvgDailyDemand_3Checkins_Avg"),
+    "Sales 15.csv": ("Sku", "Region", "AvgDailyDemand_3Checkins_Avg"),
+    "Sales 30.csv": ("Sku", "Region", "AvgDailyDemand_3Checkins_Avg"),
+}
 DEMAND_FILES = (("8-30", "Sales 8-30.csv"), ("15", "Sales 15.csv"), ("30", "Sales 30.csv"))
 
+# FIXED VALUES: cells that a CSV reader of data frames takes for missing.
+NULL_MARKERS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
 # FIXED VALUES: tokens that mean "empty" in a CSV cell (after trim + lower).
 EMPTY_TOKENS = ("", "nan", "nat", "none", "null")
 

@@ -65,11 +65,19 @@ def try_guid(col) -> Column:
 
 
 # B7
-def has_prefix(sku, prefix: str, exact3: bool = False) -> Column:
-    s = _c(sku)
-    if exact3:
-        return F.left(s, F.lit(3)) == F.lit(prefix)
-    return s.startswith(prefix)
+def strip(col) -> Column:
+    """Trim white space of any kind, not only blanks."""
+    return F.regexp_replace(_c(col).cast("string"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+# a plain decimal number; cast would also take 12f, 12d, inf and nan
+NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def parse_number(col) -> Column:
+    """The number that a cell holds, null for any other text."""
+    s = strip(col)
+    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
 
 
 def channel_of(sku, width: int = 3) -> Column:
@@ -91,14 +99,11 @@ def qty_div_days(qty, days) -> Column:
 
 # B13
 def to_number(col, default: float = 0.0) -> Column:
-    """Lenient numeric parse: blanks around are fine, true/false are 1/0,
-    NaN and unparsable text become ``default``."""
-    s = F.lower(F.trim(_c(col).cast("string")))
-    v = (F.when(s == "true", F.lit(1.0))
-         .when(s == "false", F.lit(0.0))
-         .otherwise(F.expr("try_cast(NULL AS double)")))
-    parsed = F.coalesce(v, s.try_cast("double"))
-    return F.coalesce(F.nanvl(parsed, F.lit(None).cast("double")), F.lit(float(default)))
+    """Lenient numeric parse: white space around is fine, true/false are 1/0; NaN,
+    infinities and unparsable text become ``default``."""
+    s = F.lower(strip(col))
+    v = F.when(s == "true", F.lit(1.0)).when(s == "false", F.lit(0.0)).otherwise(parse_number(col))
+    return F.coalesce(v, F.lit(float(default)))
 
 
 def to_int_flag(col) -> Column:
@@ -109,7 +114,7 @@ def to_int_flag(col) -> Column:
 # B15
 def is_empty(col) -> Column:
     c = _c(col)
-    return c.isNull() | F.lower(F.trim(c.cast("string"))).isin(*K.EMPTY_TOKENS)
+    return c.isNull() | F.lower(strip(c)).isin(*K.EMPTY_TOKENS)
 
 
 # B16
@@ -249,7 +254,7 @@ def decision_label(decision="decision", lang: str = "zh") -> Column:
 def round6(col) -> Column:
     """Numeric parse, then round to 6 places the way pandas does (x * 1e6,
     round half to even, / 1e6)."""
-    return F.rint(_c(col).cast("string").try_cast("double") * 1e6) / 1e6
+    return F.rint(parse_number(col) * 1e6) / 1e6
 
 
 # B32
@@ -259,7 +264,7 @@ def container_gap(volume, threshold: float = K.CONTAINER_THRESHOLD) -> Column:
 
 # B33
 def norm_window_type(col) -> Column:
-    return F.lower(F.trim(_c(col).cast("string")))
+    return F.lower(strip(col))
 
 
 def decimal6(numerator, denominator) -> Column:

@@ -159,5 +159,5 @@ DECISION_COLUMNS = ("channel", "sku", "name", "product_family", "region", "on_ha
 
 
 def default_order(df: DataFrame) -> DataFrame:
-    """G1: priority, SKU (region added to break ties)."""
-    return df.orderBy("priority", "sku", "region")
+    """G1: priority, SKU (region and channel added to break ties)."""
+    return df.orderBy("priority", "sku", "region", "channel")

@@ -17,7 +17,7 @@ def po_rows(po: DataFrame) -> DataFrame:
     if "channel" not in po.columns:
         po = po.withColumn("channel", S.channel_of("Sku"))
     open_ = P.not_checked_in("CheckinDate")
-    qty = F.col("QuantityOrdered").cast("string").try_cast("double")
+    qty = S.parse_number("QuantityOrdered")  # nan and other text: null
     if "ContainerNumber" in po.columns:
         transit = open_ & P.has_container("ContainerNumber")
         production = open_ & ~P.has_container("ContainerNumber")

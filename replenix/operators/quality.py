@@ -35,6 +35,11 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
+def _has_column(demand: DataFrame, name: str):
+    """Whether a row's file has the column; without file headers, all have."""
+    return F.array_contains(F.split(F.col("_header"), ","), name) if "_header" in demand.columns else F.lit(True)
+
+
 # J3
 def window_type_status(demand: DataFrame, expected: dict[str, str] | None = None) -> DataFrame:
     """Per (channel, window) of the demand files that carry WindowType: the
@@ -47,12 +52,7 @@ def window_type_status(demand: DataFrame, expected: dict[str, str] | None = None
     norm = F.coalesce(S.norm_window_type("WindowType"), F.lit("nan"))
     exp = F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.lit(v.lower()))])[F.col("window")]
     # only files whose header carries WindowType are checked
-    if "_has_wt" in demand.columns:
-        has_col = F.col("_has_wt")
-    elif "_header" in demand.columns:
-        has_col = F.array_contains(F.split(F.col("_header"), ","), "WindowType")
-    else:
-        has_col = F.lit(True)
+    has_col = _has_column(demand, "WindowType")
     g = (demand.filter(has_col).groupBy("channel", "window")
          .agg(F.count_distinct(norm).alias("distinct_values"), F.max(norm).alias("value")))
     return g.withColumn("warn", (F.col("distinct_values") == 1) & ~F.col("value").isin("") & (F.col("value") != exp))
@@ -86,6 +86,8 @@ def same_diagnostics_status(demand: DataFrame, diag: Sequence[str] = DIAG_COLUMN
     key = ["channel", "Sku", "Region"] + (["CheckinDate"] if "CheckinDate" in demand.columns else [])
     if not cols:
         return demand.sparkSession.createDataFrame([], "channel string, common_rows bigint, same boolean")
+    for c in cols:  # both files must carry the columns
+        demand = demand.filter(_has_column(demand, c))
     a = demand.filter(F.col("window") == "8-30").select(*key, *cols).distinct()
     b = demand.filter(F.col("window") == "30").select(*key, *[F.col(c).alias(f"{c}_30") for c in cols]).distinct()
     j = a.join(b, key)

@@ -168,15 +168,6 @@ def restock_events(erp: Erp, with_transfers: bool = True, channels: Sequence[str
     return arrivals.unionByName(transfers_in(erp, channels))
 
 
-def merge_same_day(events: DataFrame, keys: Sequence[str] = ("channel", "sku", "region"),
-                   extra_keys: Sequence[str] = ()) -> DataFrame:
-    """One event per key and day; MAX of container, code and source text."""
-    return (events.groupBy(*extra_keys, *keys, "checkin_date")
-            .agg(F.max("container_number").alias("container_number"),
-                 F.max("po_code").alias("po_code"),
-                 F.max("source_type").alias("source_type")))
-
-
 def rank_order():
     return (F.col("checkin_date").desc(), F.col("container_number").asc_nulls_last(),
             F.col("po_code").asc_nulls_last(), F.col("source_type").asc_nulls_last())

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when the optimizer's size estimate proves it small.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# A side is broadcast only when the optimizer's size estimate proves it small.  The
+# estimate of a scan is its compressed file size, so the limit leaves room for growth.
+BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 
 
 def plan_size_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan (file sizes for scans), without running a job."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - Spark Connect or an unknown plan: no estimate
+    plan = getattr(df, "_jdf", None)  # Spark Connect has none
+    if plan is None:
         return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -70,7 +70,7 @@ def top_urgent(df: DataFrame, n: int = 30) -> DataFrame:
     """Active rows (order/expedite) with the fewest days of supply (a top-N
     report: Spark plans it as TakeOrderedAndProject, no full sort)."""
     act = df.filter(P.is_active("decision")).withColumn("days_of_supply", S.days_of_supply())
-    return act.orderBy(F.col("days_of_supply").asc(), "sku", "region").limit(n)
+    return act.orderBy(F.col("days_of_supply").asc(), "sku", "region", "channel").limit(n)
 
 
 # FIXED VALUES: display headings of the view that a user may sort by, and our column for each.
@@ -159,9 +159,13 @@ def region_totals(df: DataFrame, threshold: float = K.CONTAINER_THRESHOLD) -> Da
 
 # E8
 def expedite_totals(df: DataFrame) -> DataFrame:
-    """Expedite volume per region and in total (rollup: the total row has a null region)."""
-    return (df.filter(F.col("decision") == K.EXPEDITE).rollup("region")
-            .agg(F.sum("expedite_volume").alias("expedite_volume"), F.sum("expedite_qty").alias("expedite_qty")))
+    """Expedite volume and quantity: north, south and (null region) all; 0 where
+    there is nothing to expedite."""
+    cols = ("expedite_volume", "expedite_qty")
+    g = df.agg(*[_vol(K.EXPEDITE, r, c).alias(f"{k}_{c}") for k, r in (("n", K.NORTH), ("s", K.SOUTH), ("t", None)) for c in cols])
+    rows = [F.struct(F.lit(r).cast("string").alias("region"), *[F.col(f"{k}_{c}").alias(c) for c in cols])
+            for k, r in (("n", K.NORTH), ("s", K.SOUTH), ("t", None))]
+    return g.select(F.inline(F.array(*rows)))
 
 
 # E9
@@ -174,8 +178,10 @@ def decision_badges(df: DataFrame) -> DataFrame:
 # E10 + B30
 def decision_distribution(df: DataFrame) -> DataFrame:
     """Rows per decision and their percent of all rows (total as a scalar subquery)."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    return df.groupBy("decision").agg(F.count(F.lit(1)).alias("rows")).select(
+    g = df.groupBy("decision").agg(F.count(F.lit(1)).alias("rows"))
+    # the total of the few grouped rows: the input is read once
+    total = F.sum("rows").over(Window.partitionBy(F.lit(1)))
+    return g.select(
         "decision", S.decision_label("decision").alias("label"), S.decision_label("decision", "en").alias("label_en"),
         "rows", (F.col("rows") * 100.0 / total).alias("percent"))
 

@@ -105,23 +105,23 @@ RECONCILE_FROM, RECONCILE_TO = "2000-01-01", "2000-12-31"
 
 
 @register("reconcile_sales", O.with_ctes(O.ADAPTER) + f"""
-SELECT left(p.Sku, 3) AS channel, p.Sku AS sku,
-       CASE WHEN trim(w.Name) IN {O.in_list(('CHCH Gerald Connelly', 'GC', 'treffers', 'CHCH Treffers'))}
-            THEN '南岛' ELSE '北岛' END AS region,
-       SUM(ol.Quantity) AS total_qty, COUNT(DISTINCT CAST(o.DateCreatedUtc AS DATE)) AS order_days
-FROM erp_orders o JOIN erp_order_lines ol ON ol.OrderId = o.Id JOIN erp_products p ON ol.ProductId = p.Id
-LEFT JOIN erp_warehouses w ON {O.WAREHOUSE_OF_LINE} = {O.try_guid('w.Id')}
-WHERE CAST(o.DateCreatedUtc AS DATE) BETWEEN DATE '{RECONCILE_FROM}' AND DATE '{RECONCILE_TO}'
-GROUP BY ALL""")
+SELECT substr(sku, 1, 3) AS channel, sku, region, SUM(qty) AS total_qty, COUNT(DISTINCT day) AS order_days FROM (
+  SELECT (SELECT Sku FROM erp_products WHERE Id = ol.ProductId) AS sku, ol.Quantity AS qty, days.day,
+         CASE WHEN EXISTS (SELECT 1 FROM erp_warehouses w WHERE {O.try_guid('w.Id')} = {O.WAREHOUSE_OF_LINE}
+                           AND trim(w.Name) IN {O.in_list(K.SOUTH_WAREHOUSES)}) THEN {O.q(K.SOUTH)} ELSE {O.q(K.NORTH)} END AS region
+  FROM erp_order_lines ol JOIN (SELECT Id, CAST(DateCreatedUtc AS DATE) AS day FROM erp_orders) days ON days.Id = ol.OrderId
+  WHERE days.day >= DATE '{RECONCILE_FROM}' AND days.day <= DATE '{RECONCILE_TO}') lines
+WHERE sku IS NOT NULL GROUP BY 1, 2, 3""")
 def q_reconcile(spark, sf_dir):
     return SL.reconcile_sales(adapter(spark, sf_dir).erp(), RECONCILE_FROM, RECONCILE_TO)
 
 
 # ---------------------------------------------------------------- P2 layers
-@register("stock_long", O.with_ctes(O.ADAPTER, O.STOCK_LONG) + "\nSELECT * FROM stock_long")
+@register("stock_long", O.with_ctes(O.ADAPTER, O.STOCK_LONG) + f"""
+SELECT s.*, COALESCE(img.image_url, '') AS image_url FROM stock_long s LEFT JOIN
+(SELECT channel, sku, max(image_url) AS image_url FROM ({O.image_urls_sql()}) GROUP BY ALL) img USING (channel, sku)""")
 def q_stock_long(spark, sf_dir):
-    df = ST.stock_long(adapter(spark, sf_dir).stock_wide())
-    return df.select("channel", "sku", "region", "on_hand", "unit_volume", "is_discontinued", "name", "product_family")
+    return ST.stock_long(adapter(spark, sf_dir).stock_wide())
 
 
 @register("open_po", O.with_ctes(O.ADAPTER, O.PO_ROWS) + """
@@ -156,7 +156,6 @@ def q_key_spine(spark, sf_dir):
 
 DECISION_DOUBLES = ("demand_30", "daily_demand", "lead_time_need", "logistics_need", "order_qty", "order_volume",
                     "expedite_qty", "expedite_volume")
-DECISION_OUT_COLS = [c for c in D.DECISION_COLUMNS if c not in ("image_url", "explanation")]
 
 
 def _demand(td: TpchAdapter) -> DataFrame:
@@ -174,17 +173,6 @@ def decisions_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return td._memo["decisions"]
 
 
-def decisions_out(df: DataFrame) -> DataFrame:
-    out = df.select(*[F.col(c).cast("bigint").alias(c) if c in ("lead_time", "logistics_time", "priority")
-                      else F.col(c) for c in DECISION_OUT_COLS])
-    return round_doubles(out, DECISION_DOUBLES)
-
-
-@register("decisions", O.decisions_sql())
-def q_decisions(spark, sf_dir):
-    return decisions_out(decisions_df(spark, sf_dir))
-
-
 def _pf(x: str, d: int) -> str:
     return f"printf('%.{d}f', {x})"
 
@@ -208,6 +196,24 @@ def _dash(x: str, d: int) -> str:
     return f"CASE WHEN {x} > 0 THEN {_pf(x, d)} ELSE '-' END"
 
 
+def decisions_out(df: DataFrame) -> DataFrame:
+    out = df.select(*[F.col(c).cast("bigint").alias(c) if c in ("lead_time", "logistics_time", "priority")
+                      else (F.coalesce(c, F.lit("")).alias(c) if c == "image_url" else F.col(c)) for c in D.DECISION_COLUMNS])
+    return round_doubles(out, DECISION_DOUBLES)
+
+
+# image URL per SKU: keys of SKUs without stock or without an image have none
+IMAGES = f"(SELECT channel, sku, max(image_url) AS image_url FROM ({O.image_urls_sql()}) GROUP BY ALL)"
+FULL_SQL = O.decisions_sql(f"""
+SELECT v.* EXCLUDE (image_url), COALESCE(v.image_url, '') AS image_url FROM (
+SELECT {O.DECISION_OUT}, {EXPLANATION_SQL} AS explanation, image_url FROM decisions_v LEFT JOIN {IMAGES} img USING (channel, sku)) v""")
+
+
+@register("decisions", FULL_SQL)
+def q_decisions(spark, sf_dir):
+    return decisions_out(decisions_df(spark, sf_dir))
+
+
 @register("explanations", O.decisions_sql(
     f"SELECT channel, sku, region, decision, {EXPLANATION_SQL} AS explanation FROM decisions_v"))
 def q_explanations(spark, sf_dir):
@@ -250,8 +256,9 @@ def q_region_totals(spark, sf_dir):
 
 
 @register("expedite_totals", O.decisions_sql(f"""
-SELECT region, ROUND(SUM(expedite_volume), 8) AS expedite_volume, ROUND(SUM(expedite_qty), 8) AS expedite_qty
-FROM {DEC} WHERE decision = 'expedite' GROUP BY ROLLUP (region)"""))
+SELECT r.region, ROUND(COALESCE(SUM(d.expedite_volume), 0.0), 8) AS expedite_volume, ROUND(COALESCE(SUM(d.expedite_qty), 0.0), 8) AS expedite_qty
+FROM (VALUES ({NORTH}), ({SOUTH}), (NULL)) r(region)
+LEFT JOIN (SELECT * FROM {DEC} WHERE decision = 'expedite') d ON r.region IS NULL OR d.region = r.region GROUP BY r.region"""))
 def q_expedite_totals(spark, sf_dir):
     return round_doubles(V.expedite_totals(decisions_df(spark, sf_dir)), ("expedite_volume", "expedite_qty"))
 
@@ -303,7 +310,7 @@ def q_run_summary(spark, sf_dir):
 SELECT channel, sku, region, decision, total_stock, ROUND(daily_demand, 8) AS daily_demand,
        ROUND(CASE WHEN daily_demand > 0 THEN total_stock / daily_demand ELSE 999.0 END, 8) AS days_of_supply
 FROM {DEC} WHERE decision IN ('order', 'expedite')
-ORDER BY CASE WHEN daily_demand > 0 THEN total_stock / daily_demand ELSE 999.0 END, sku, region LIMIT 30"""))
+ORDER BY CASE WHEN daily_demand > 0 THEN total_stock / daily_demand ELSE 999.0 END, sku, region, channel LIMIT 30"""))
 def q_top_urgent(spark, sf_dir):
     df = V.top_urgent(decisions_df(spark, sf_dir), 30)
     return round_doubles(df.select("channel", "sku", "region", "decision", "total_stock", "daily_demand",
@@ -453,7 +460,7 @@ def _demand_files(spark, sf_dir) -> DataFrame:
     base = perf.select(
         "channel", F.col("sku").alias("Sku"), F.col("region").alias("Region"), win[F.col("variant")].alias("window"),
         F.when(F.col("variant") != "30", win[F.col("variant")]).alias("WindowType"),
-        (F.col("variant") != "30").alias("_has_wt"),
+        F.when(F.col("variant") != "30", "Sku,Region,WindowType").otherwise("Sku,Region").alias("_header"),
         F.col("avg_main").cast("string").alias("AvgDailyDemand_3Checkins_Avg"))
     return base
 
@@ -515,16 +522,17 @@ def q_quality_same_diag(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sinks (K1, K2, K4) and streaming
+_REPORT_TEXT = {"image_url": "COALESCE(image_url, '')", "explanation": EXPLANATION_SQL}
 REPORT_SQL_COLS = ", ".join(
-    f'{("CAST(" + c + " AS BIGINT)") if c in () else (_label_sql(c, K.DECISION_LABELS) if c == "decision" else (f"ROUND({c}, 8)" if c in DECISION_DOUBLES else c))} AS "{h}"'
-    for c, h in WR.REPORT_COLUMNS if c not in ("image_url", "explanation"))
+    f'{_label_sql(c, K.DECISION_LABELS) if c == "decision" else (f"ROUND({c}, 8)" if c in DECISION_DOUBLES else _REPORT_TEXT.get(c, c))} AS "{h}"'
+    for c, h in WR.REPORT_COLUMNS)
 
 
-@register("report", O.decisions_sql(f"SELECT {REPORT_SQL_COLS} FROM {DEC}"))
+@register("report", O.decisions_sql(f"SELECT {REPORT_SQL_COLS} FROM {DEC} LEFT JOIN {IMAGES} img USING (channel, sku)"))
 def q_report(spark, sf_dir):
     rep = WR.report(decisions_df(spark, sf_dir))
     heads = dict(WR.REPORT_COLUMNS)
-    rep = rep.drop(heads["image_url"], heads["explanation"])
+    rep = rep.withColumn(heads["image_url"], F.coalesce(F.col(heads["image_url"]), F.lit("")))
     return round_doubles(rep, [heads[c] for c in DECISION_DOUBLES if c in heads])
 
 
@@ -569,7 +577,7 @@ def scratch_dir(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-@register("stream_scan", O.decisions_sql())
+@register("stream_scan", FULL_SQL)
 def q_stream_scan(spark, sf_dir):
     """S1/S2 end to end: the channel inputs land as files partitioned by
     channel; the streaming scan (availableNow) recomputes the touched channels

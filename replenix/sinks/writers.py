@@ -3,6 +3,8 @@ replace-by-channel accumulate step (H3)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +69,9 @@ def run_log_rows(df: DataFrame, run_ts: str) -> DataFrame:
 
 
 def append_run_log(df: DataFrame, path: str, run_ts: str) -> None:
-    run_log_rows(df, run_ts).write.mode("append").parquet(path)
+    """One folder per run stamp or batch, so a retried one replaces its own rows."""
+    (run_log_rows(df, run_ts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("archive").parquet(path))
 
 
 def archive(df: DataFrame, path: str, run_ts: str, fmt: str = "parquet") -> None:
@@ -77,14 +81,23 @@ def archive(df: DataFrame, path: str, run_ts: str, fmt: str = "parquet") -> None
        .option("partitionOverwriteMode", "dynamic").partitionBy("channel", "run_ts").format(fmt).save(path))
 
 
-def replace_channels(old: DataFrame, new: DataFrame) -> DataFrame:
-    """H3: the accumulated result with the channels of ``new`` replaced."""
+def replace_channels(old: DataFrame, new: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
+    """H3: the accumulated result with ``channels`` replaced by what ``new`` has of them
+    (nothing, if the new result is empty).  Without the list, the channels of ``new``."""
+    if channels is not None:
+        return old.filter(~F.coalesce(F.col("channel").isin(*channels), F.lit(False))).unionByName(new)
     keep = old.join(new.select("channel").distinct(), "channel", "left_anti")
     return keep.unionByName(new)
 
 
-def write_decisions(df: DataFrame, path: str) -> None:
+def write_decisions(df: DataFrame, path: str, channels: Sequence[str] = ()) -> None:
     """H3 as a table write: dynamic overwrite of the channel partitions present
-    in ``df``; other channels stay.  Idempotent, so a retried batch is safe."""
+    in ``df``; other channels stay.  The partitions of ``channels`` go first, so a
+    channel whose new result is empty has no old rows left.  A retried batch ends alike."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for c in channels:
+        old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/channel={escape(c)}")
+        old.getFileSystem(conf).delete(old, True)
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("channel").parquet(path))

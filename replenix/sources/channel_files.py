@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import scalar as S
 from ..operators.stock import ORDER_COL
 
 
@@ -76,14 +77,41 @@ def read_channel_csv(spark: SparkSession, root: str, file_name: str,
     out = None
     for header, files in groups.items():
         schema = ", ".join(f"`{c}` string" for c in header)
-        df = (spark.read.option("header", True).option("encoding", "UTF-8").schema(schema).csv(files)
+        df = (spark.read.options(header=True, encoding="UTF-8", quote='"', escape='"', multiLine=True).schema(schema).csv(files))
+        df = (df.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin(*K.NULL_MARKERS), F.col(f"`{c}`")).alias(c) for c in header], "_metadata")
               .withColumn("_path", F.col("_metadata.file_path"))
               .withColumn("_header", F.lit(",".join(header)))
               .withColumn(ORDER_COL, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                                              F.monotonically_increasing_id())))
+                                              F.monotonically_increasing_id()))
+              .drop("_metadata"))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    channel = F.regexp_extract(F.col("_path"), r"([^/]+)/[^/]+$", 1)
-    return out.withColumn("channel", channel).drop("_path")
+    return out.withColumn("channel", folder_name("_path")).drop("_path")
+
+
+def folder_name(path: str, pattern: str = r"([^/]+)/[^/]+$"):
+    """The folder of a file path as it is called: paths are percent-encoded."""
+    return F.url_decode(F.replace(F.regexp_extract(F.col(path), pattern, 1), F.lit("+"), F.lit("%2B")))
+
+
+def gate(spark: SparkSession, root: str, channels: Sequence[str] | None = None) -> tuple[list[str], list[tuple[str, str]]]:
+    """J1 and J2 before the analysis: the channels that have all five files with all
+    required columns, and (channel, problem) rows of the others, which are refused."""
+    good, bad = [], []
+    for ch in list_channels(spark, root) if channels is None else channels:
+        found = []
+        for name in K.REQUIRED_FILES:
+            path = f"{root.rstrip('/')}/{ch}/{name}"
+            fs, p = _fs(spark, path)
+            if not fs.exists(p):
+                found.append((ch, f"{name} is missing"))
+                continue
+            lacks = [c for c in K.REQUIRED_COLUMNS[name] if c not in _header(spark, path)]
+            if lacks:
+                found.append((ch, f"{name} lacks {', '.join(lacks)}"))
+        bad += found
+        if not found:
+            good.append(ch)
+    return good, bad
 
 
 def read_stock(spark: SparkSession, root: str, channels: Sequence[str] | None = None) -> DataFrame:
@@ -93,7 +121,7 @@ def read_stock(spark: SparkSession, root: str, channels: Sequence[str] | None =
 
 def read_po(spark: SparkSession, root: str, channels: Sequence[str] | None = None) -> DataFrame:
     """A3: PO.csv."""
-    return read_channel_csv(spark, root, "PO.csv", channels).drop(ORDER_COL)
+    return read_channel_csv(spark, root, "PO.csv", channels)
 
 
 def read_demand(spark: SparkSession, root: str, channels: Sequence[str] | None = None,
@@ -102,14 +130,13 @@ def read_demand(spark: SparkSession, root: str, channels: Sequence[str] | None =
     (and the file's own columns, e.g. ``WindowType``, when present)."""
     out = None
     for window, name in windows:
-        df = read_channel_csv(spark, root, name, channels).drop(ORDER_COL).withColumn("window", F.lit(window))
+        df = read_channel_csv(spark, root, name, channels).withColumn("window", F.lit(window))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
 def demand_long(raw: DataFrame) -> DataFrame:
     """Demand rows for the decision step: numeric value (bad text -> null)."""
-    v = F.col("AvgDailyDemand_3Checkins_Avg").cast("string").try_cast("double")
     return raw.filter(F.col("Sku").isNotNull() & F.col("Region").isNotNull()).select(
         "channel", F.col("Sku").alias("sku"), F.col("Region").alias("region"), "window",
-        F.nanvl(v, F.lit(None).cast("double")).alias("value"))
+        S.parse_number("AvgDailyDemand_3Checkins_Avg").alias("value"))

@@ -66,15 +66,17 @@ def parse_settings(doc_text: DataFrame, text_col: str = "value",
 
 
 def read_settings(spark: SparkSession, root: str, fallbacks: Sequence[str] = LEGACY_FILES) -> DataFrame:
-    """``root/channels_settings.json``; when it is missing, the first
-    legacy file that exists.  No file at all gives only the built-in default."""
+    """``root/channels_settings.json``; when it is missing or no
+    JSON object, the first legacy file that is one.  No file at all gives only the built-in default."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in (SETTINGS_FILE, *fallbacks):
         path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
         if path.getFileSystem(conf).exists(path):
             text = spark.read.option("wholetext", True).text(path.toString())
-            return parse_settings(text)
+            kind = text.select(F.schema_of_variant(F.try_parse_json("value"))).first()
+            if kind and (kind[0] or "").startswith("OBJECT"):
+                return parse_settings(text)
     return spark.range(1).select(F.lit(None).cast("string").alias("entry"),
                                  F.lit(K.DEFAULT_LEAD_TIME).alias("lead_time"),
                                  F.lit(K.DEFAULT_LOGISTICS_TIME).alias("logistics_time"), F.lit("").alias("note"))

@@ -18,10 +18,14 @@ Two input layouts are supported:
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import scalar as S
 from ..operators.settings_ops import effective_settings
 from ..plans import replenishment as RP
 from ..sinks import writers as WR
@@ -41,24 +45,47 @@ def touched_channels(spark: SparkSession, root: str, layout: str = "landing") ->
     else:
         base = root.rstrip("/").split("/")[-1]
         ch = F.regexp_extract("path", "/" + base.replace(".", r"\.") + r"/([^/]+)/", 1)
-    return files.select(ch.alias("channel")).filter((F.col("channel") != "") & ~F.col("channel").rlike(r"^[._]"))
+    files = files.select(ch.alias("raw")).select(F.url_decode(F.replace("raw", F.lit("+"), F.lit("%2B"))).alias("channel"))
+    return files.filter((F.col("channel") != "") & ~F.col("channel").rlike(r"^[._]"))
 
 
 def read_landing(spark: SparkSession, root: str, kind: str, channels: list[str]) -> DataFrame:
     """One landing input, reading only the folders of the given channels; the
     channel is taken from the folder name as text (no type inference)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = []
-    for c in channels:
-        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}/channel={c}")
-        if p.getFileSystem(conf).exists(p):
-            paths.append(p.toString())
-    reader = spark.read.option("header", True).option("inferSchema", False)
+    paths = [f for c in channels for f in newest_files(spark, root, kind, c)]
+    reader = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=True)
     if not paths:
         return reader.csv(f"{root}/{kind}").limit(0).withColumn("channel", F.lit(None).cast("string"))
     df = reader.csv(paths)
-    return df.withColumn("channel", F.regexp_extract(F.col("_metadata.file_path"), r"/channel=([^/]+)/", 1))
+    return df.select("*", F.col("_metadata.file_path").alias("_path")).withColumn(
+        "channel", CF.folder_name("_path", r"/channel=([^/]+)/")).drop("_path")
+
+
+def newest_files(spark: SparkSession, root: str, kind: str, channel: str) -> list[str]:
+    """The files of the last landing of one input of a channel: those of one write share
+    the id in ``part-<n>-<id>``; any other file is a landing of its own.  Earlier
+    landings are superseded, not added."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    p = jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}/channel={escape(channel)}")
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return []
+    landings: dict[str, list] = {}
+    for s in fs.listStatus(p):
+        name = s.getPath().getName()
+        if s.isFile() and not name.startswith((".", "_")):
+            m = re.match(r"part-[0-9]+-([0-9a-f-]{36})", name)
+            landings.setdefault(m[1] if m else name, []).append((s.getModificationTime(), s.getPath().toString()))
+    newest = max(landings.values(), key=max, default=[])
+    return sorted(path for _, path in newest)
+
+
+def complete_channels(spark: SparkSession, root: str, channels: list[str], layout: str) -> list[str]:
+    """The channels whose inputs are all there; the others wait for theirs."""
+    if layout == "landing":
+        return [c for c in channels if all(newest_files(spark, root, k, c) for k in LANDING_KINDS)]
+    return CF.gate(spark, root, channels)[0]
 
 
 def decisions_for(spark: SparkSession, root: str, channels: list[str], settings: DataFrame,
@@ -70,7 +97,7 @@ def decisions_for(spark: SparkSession, root: str, channels: list[str], settings:
         stock = read_landing(spark, root, "stock", channels)
         po = read_landing(spark, root, "po", channels)
         dem = read_landing(spark, root, "demand", channels).select(
-            "channel", "sku", "region", "window", F.col("value").try_cast("double").alias("value"))
+            "channel", "sku", "region", "window", S.parse_number("value").alias("value"))
     else:
         stock = CF.read_stock(spark, root, channels)
         po = CF.read_po(spark, root, channels)
@@ -78,22 +105,27 @@ def decisions_for(spark: SparkSession, root: str, channels: list[str], settings:
     return RP.replenishment(stock, po, dem, eff)
 
 
-def stream_scan(spark: SparkSession, root: str, out: str, checkpoint: str, settings: DataFrame,
+def stream_scan(spark: SparkSession, root: str, out: str, checkpoint: str, settings: DataFrame | Callable[[], DataFrame],
                 layout: str = "landing", every_minutes: int | None = 60, available_now: bool = False,
-                log_path: str | None = None) -> StreamingQuery:
+                log_path: str | None = None, archive_path: str | None = None) -> StreamingQuery:
     """Start the scan.  ``every_minutes`` is clamped to at least 1 (as the
-    source application does)."""
+    source application does).  ``settings`` may be a function, which every batch calls
+    anew (``lambda: read_settings(spark, root)``).  A channel with missing inputs is left
+    out of the batch; its rows stay as they are.  ``archive_path`` keeps each batch's
+    result."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
         # the touched channel names: a bounded list (one per channel folder)
-        chans = sorted({r.channel for r in batch.select("channel").distinct().collect()})
+        chans = complete_channels(spark, root, sorted({r.channel for r in batch.select("channel").distinct().collect()}), layout)
         if not chans:
             return
-        dec = decisions_for(spark, root, chans, settings, layout)
-        WR.write_decisions(dec, out)
+        dec = decisions_for(spark, root, chans, settings() if callable(settings) else settings, layout)
+        WR.write_decisions(dec, out, chans)
+        done = spark.read.schema(dec.schema).parquet(out).filter(F.col("channel").isin(*chans))
+        if archive_path:
+            WR.archive(done, archive_path, f"batch_{batch_id}")
         if log_path:
-            WR.append_run_log(spark.read.parquet(out).filter(F.col("channel").isin(*chans)), log_path,
-                              f"batch_{batch_id}")
+            WR.append_run_log(done, log_path, f"batch_{batch_id}")
 
     w = touched_channels(spark, root, layout).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if available_now:

@@ -42,7 +42,7 @@ def test_container_and_totals(spark, result):
     tot = {r.region: r for r in V.region_totals(result).collect()}
     assert tot[K.NORTH].bookable and not tot[K.SOUTH].bookable and tot[K.SOUTH].order_volume == 0.0
     ex = {r.region: r.expedite_volume for r in V.expedite_totals(result).collect()}
-    assert ex == {K.SOUTH: 1.5, None: 1.5}
+    assert ex == {K.NORTH: 0.0, K.SOUTH: 1.5, None: 1.5}
     dist = {r.decision: r.percent for r in V.decision_distribution(result).collect()}
     assert dist[K.ORDER] == 50.0
     s = V.run_summary(result).collect()[0]
