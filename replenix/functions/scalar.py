@@ -47,7 +47,8 @@ def sale_date(paid, created, policy: str = "paid") -> Column:
 
 # B4
 def json_first_warehouse(col) -> Column:
-    return F.get_json_object(_c(col), "$[0].WarehouseId")
+    """The first warehouse id of a stock snapshot; null unless the text is valid JSON."""
+    return F.try_variant_get(F.try_parse_json(_c(col)), "$[0].WarehouseId", "string")
 
 
 # B5

@@ -3,27 +3,54 @@ daily quantity per date, SKU and region (E1)."""
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import predicates as P
 from ..functions import scalar as S
 from ..sources.erp import Erp
-from .util import broadcast_if_small
+from .util import BROADCAST_LIMIT_BYTES, broadcast_if_small, plan_size_bytes
 
 
-def order_lines(erp: Erp, valid_json_only: bool = True, channels: Sequence[str] | None = None) -> DataFrame:
-    """Orders ⋈ OrderLines ⋈ Products (inner, equi).
+#: copies of the warehouse relation where it is too large, or of unknown size, to broadcast
+WAREHOUSE_SPREAD = 32
+
+
+def located_lines(erp: Erp, known_only: bool = True, excluded: Sequence[str] = K.EXCLUDED_WAREHOUSES) -> DataFrame:
+    """Order lines with the name of the warehouse in their stock snapshot.
+
+    The id is taken from the JSON at the scan, so no later shuffle carries the text.
+    ``known_only`` keeps lines of a valid snapshot (C14) and a known warehouse that is
+    not excluded (C2); otherwise every line stays.  A few dozen warehouses share all
+    lines: where they are not broadcast, each is dealt over WAREHOUSE_SPREAD parts."""
+    w = erp.warehouses.select(S.try_guid("Id").alias("_wid"), F.col("Name").alias("warehouse_name"))
+    lines = erp.order_lines.select("OrderId", "ProductId", "Quantity",
+                                   S.try_guid(S.json_first_warehouse("StockSnapshotJson")).alias("_wid"))
+    if known_only:  # an id is found in valid JSON arrays only
+        w = w.filter(P.not_excluded("warehouse_name", excluded))
+        lines = lines.filter(F.col("_wid").isNotNull())
+    on, how = ["_wid"], "inner" if known_only else "left"
+    size = plan_size_bytes(w)
+    if size is not None and size <= BROADCAST_LIMIT_BYTES:
+        w = F.broadcast(w)
+    else:
+        on = ["_wid", "_part"]
+        lines = lines.withColumn("_part", F.pmod(F.xxhash64("OrderId", "ProductId"), F.lit(WAREHOUSE_SPREAD)))
+        w = w.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(WAREHOUSE_SPREAD - 1).cast("bigint"))))
+    return lines.join(w, on, how).drop(*on)
+
+
+def order_lines(erp: Erp, lines: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
+    """Lines ⋈ Products ⋈ Orders (inner, equi).
 
     Lines meet the (small, size-checked broadcast) products first, so a channel
     restriction (A8: ``LEFT(sku, 3) IN (...)``) shrinks them before the large
     lines ⋈ orders join."""
-    lines = erp.order_lines
-    if valid_json_only:
-        lines = lines.filter(P.valid_snapshot("StockSnapshotJson"))  # C14, before the big join
     orders = erp.orders.withColumnRenamed("Id", "OrderId")
     products = erp.products.withColumnRenamed("Id", "ProductId")
     if channels is not None:
@@ -31,11 +58,12 @@ def order_lines(erp: Erp, valid_json_only: bool = True, channels: Sequence[str]
     return lines.join(broadcast_if_small(products), "ProductId").join(orders, "OrderId")
 
 
-def with_warehouse(df: DataFrame, warehouses: DataFrame) -> DataFrame:
-    """Left join on the warehouse id taken from the stock snapshot JSON."""
-    w = broadcast_if_small(warehouses.select(S.try_guid("Id").alias("_wid"), F.col("Name").alias("warehouse_name")))
-    keyed = df.withColumn("_wid", S.try_guid(S.json_first_warehouse("StockSnapshotJson")))
-    return keyed.join(w, "_wid", "left").drop("_wid")
+def sold_between(policy: str, date_from: str, date_to: str | None) -> Column:
+    """C1 on the stored columns, without ``coalesce``: a test that a scan can take."""
+    created = P.in_dates(F.to_date("DateCreatedUtc"), date_from, date_to)
+    if policy == "created":
+        return created
+    return P.in_dates(F.to_date("PaidDateUtc"), date_from, date_to) | (F.col("PaidDateUtc").isNull() & created)
 
 
 def sales_lines(erp: Erp, policies: Sequence[str] = ("paid",), date_from: str = K.SALES_FROM,
@@ -44,23 +72,17 @@ def sales_lines(erp: Erp, policies: Sequence[str] = ("paid",), date_from: str =
     """Sale lines with one row per requested date policy (B3) and the policy's
     own date filter (C1): ``paid`` uses ``between(date_from, date_to)`` on
     coalesce(paid, created); ``created`` uses ``created >= date_from``."""
-    conds = []
-    for policy in policies:
-        d = S.sale_date("PaidDateUtc", "DateCreatedUtc", policy)
-        conds.append(P.in_dates(d, date_from, date_to if policy == "paid" else None))
-    any_cond = conds[0]
-    for c in conds[1:]:
-        any_cond = any_cond | c
-    # Push the union of the date filters to the Orders scan before joining.
-    erp_f = Erp(**{**erp.__dict__, "orders": erp.orders.filter(any_cond)})
-    df = with_warehouse(order_lines(erp_f, channels=channels), erp.warehouses)
-    df = df.filter(P.not_excluded("warehouse_name", excluded))  # C2, makes D2 inner
+    conds = [sold_between(p, date_from, date_to if p == "paid" else None) for p in policies]
+    # the union of the date filters goes to the Orders scan before joining
+    erp_f = Erp(**{**erp.__dict__, "orders": erp.orders.filter(reduce(operator.or_, conds))})
+    located = located_lines(erp, excluded=excluded)
+    lines = located.select("OrderId", "ProductId", "Quantity", S.region_of_warehouse("warehouse_name").alias("region"))
+    df = order_lines(erp_f, lines, channels)
     dated = F.array(*[
         F.struct(F.lit(p).alias("policy"), S.sale_date("PaidDateUtc", "DateCreatedUtc", p).alias("order_date"),
                  c.alias("_keep"))
         for p, c in zip(policies, conds)])
-    out = (df.select(S.channel_of("Sku").alias("channel"), F.col("Sku").alias("sku"),
-                     S.region_of_warehouse("warehouse_name").alias("region"),
+    out = (df.select(S.channel_of("Sku").alias("channel"), F.col("Sku").alias("sku"), "region",
                      F.col("Quantity").alias("qty"), F.explode(dated).alias("_d"))
            .filter(F.col("_d._keep"))
            .select("_d.policy", "channel", "sku", "region", "_d.order_date", "qty"))
@@ -83,8 +105,7 @@ def reconcile_sales(erp: Erp, date_lo: str, date_hi: str, sku: str | None = None
     and region, ignoring restocks (created date; unknown warehouse = north)."""
     d = F.to_date("DateCreatedUtc")
     orders = erp.orders.filter(d.between(F.lit(date_lo).cast("date"), F.lit(date_hi).cast("date")))
-    df = with_warehouse(order_lines(Erp(**{**erp.__dict__, "orders": orders}), valid_json_only=False),
-                        erp.warehouses)
+    df = order_lines(Erp(**{**erp.__dict__, "orders": orders}), located_lines(erp, known_only=False))
     df = P.for_sku(df, sku, "Sku")  # C7
     region = F.when(F.trim("warehouse_name").isin(*K.SOUTH_WAREHOUSES), F.lit(K.SOUTH)).otherwise(F.lit(K.NORTH))
     return (df.groupBy(S.channel_of("Sku").alias("channel"), F.col("Sku").alias("sku"), region.alias("region"))
