@@ -11,8 +11,9 @@ decimal is a DOUBLE).
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from .. import constants as K
-from ..operators.windows import SPECS, WindowSpec
 from ..sources import testdata as TD
 
 AS_OF = f"DATE '{TD.AS_OF}'"
@@ -170,9 +171,29 @@ raw_events AS (
   WHERE wt.Name = {q(K.TRANSFER_TARGET)} AND ws.Name = {q(K.TRANSFER_SOURCE)} AND t.TransferJobStatus = {q(K.TRANSFER_DONE)})"""
 
 
+def _variant(name, daily, start, end, **other) -> SimpleNamespace:
+    """One window as the oracle states it, apart from the engine's own table."""
+    usual = dict(transfers=True, keep_null_type=True, merge_same_day=True, ref_style="plain", kind="day_window",
+                 partial_rule="between", main_avg="mature", days_with_sales_rule="range")
+    return SimpleNamespace(name=name, policy=daily, start_offset=start, end_offset=end, **(usual | other))
+
+
+# FIXED VALUES: window text, sale date, first and last sales day after the check-in.
+SPECS = {
+    "8_30": _variant("8-30", "paid", 8, 30),
+    "15": _variant("15", "paid", 1, 15, ref_style="reference"),
+    "30": _variant("30", "created", 1, 30, keep_null_type=False, merge_same_day=False, kind="thirty",
+                   partial_rule="none", main_avg="float_all"),
+    "diagnostic": _variant("8-30", "created", 8, 30, keep_null_type=False, partial_rule="before_end", main_avg="all",
+                           days_with_sales_rule="positive"),
+    "po_only": _variant("8-30", "paid", 8, 30, transfers=False),
+    "30_aligned": _variant("30", "paid", 1, 30),
+}
+
+
 def window_ctes(key: str) -> str:
     """CTEs ev_, rk_, cw_, perf_, fin_ for one variant (as the template computes it)."""
-    s: WindowSpec = SPECS[key]
+    s = SPECS[key]
     k = key
     applicable = "origin = 'PO'"
     if s.transfers:
