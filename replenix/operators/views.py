@@ -66,10 +66,13 @@ def search_family(rows: DataFrame, text: str | None, region: str | None = None,
 
 
 # C12 + B26 + G4
-def top_urgent(df: DataFrame, n: int = 30) -> DataFrame:
-    """Active rows (order/expedite) with the fewest days of supply (a top-N
-    report: Spark plans it as TakeOrderedAndProject, no full sort)."""
+def top_urgent(df: DataFrame, n: int = 30, by_channel: bool = False) -> DataFrame:
+    """Active rows (order/expedite) with the fewest days of supply, over all or
+    of each channel (a top-N report: no full sort, at most n rows a key and task)."""
     act = df.filter(P.is_active("decision")).withColumn("days_of_supply", S.days_of_supply())
+    if by_channel:
+        w = Window.partitionBy("channel").orderBy(F.col("days_of_supply").asc(), "sku", "region")
+        return act.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
     return act.orderBy(F.col("days_of_supply").asc(), "sku", "region", "channel").limit(n)
 
 
@@ -123,6 +126,10 @@ def display(df: DataFrame) -> DataFrame:
                     "unit_volume", "order_volume", "expedite_qty", "expedite_volume", "explanation")
 
 
+def _keys(by_channel: bool) -> list[str]:
+    return ["channel"] if by_channel else []
+
+
 def _vol(decision: str, region: str | None, col: str):
     cond = F.col("decision") == decision
     if region is not None:
@@ -134,7 +141,7 @@ def _vol(decision: str, region: str | None, col: str):
 def container_check(df: DataFrame, threshold: float = K.CONTAINER_THRESHOLD, by_channel: bool = True) -> DataFrame:
     """Order volume per region against the container threshold (per channel
     or over all channels), with the gap still missing (B32)."""
-    keys = ["channel"] if by_channel else []
+    keys = _keys(by_channel)
     g = df.groupBy(*keys).agg(_vol(K.ORDER, K.NORTH, "order_volume").alias("north_order_volume"),
                               _vol(K.ORDER, K.SOUTH, "order_volume").alias("south_order_volume"),
                               _vol(K.ORDER, None, "order_volume").alias("total_order_volume"))
@@ -146,14 +153,15 @@ def container_check(df: DataFrame, threshold: float = K.CONTAINER_THRESHOLD, by_
                     S.container_gap("south_order_volume", t).alias("south_gap"))
 
 
-def region_totals(df: DataFrame, threshold: float = K.CONTAINER_THRESHOLD) -> DataFrame:
+def region_totals(df: DataFrame, threshold: float = K.CONTAINER_THRESHOLD, by_channel: bool = False) -> DataFrame:
     """Order volume per region (both regions always present) vs threshold."""
+    keys = _keys(by_channel)
     regions = F.explode(F.array(F.lit(K.NORTH), F.lit(K.SOUTH))).alias("region")
-    g = container_check(df, threshold, by_channel=False)
-    return g.select(regions, "north_order_volume", "south_order_volume").select(
-        "region", F.when(F.col("region") == K.NORTH, F.col("north_order_volume"))
+    g = container_check(df, threshold, by_channel)
+    return g.select(*keys, regions, "north_order_volume", "south_order_volume").select(
+        *keys, "region", F.when(F.col("region") == K.NORTH, F.col("north_order_volume"))
                    .otherwise(F.col("south_order_volume")).alias("order_volume")).select(
-        "region", "order_volume", F.lit(float(threshold)).alias("threshold"),
+        *keys, "region", "order_volume", F.lit(float(threshold)).alias("threshold"),
         (F.col("order_volume") >= float(threshold)).alias("bookable"))
 
 
@@ -169,30 +177,31 @@ def expedite_totals(df: DataFrame) -> DataFrame:
 
 
 # E9
-def decision_badges(df: DataFrame) -> DataFrame:
-    return df.groupBy("decision").agg(F.count(F.lit(1)).alias("rows"), F.sum("order_volume").alias("order_volume"),
+def decision_badges(df: DataFrame, by_channel: bool = False) -> DataFrame:
+    return df.groupBy(*_keys(by_channel), "decision").agg(F.count(F.lit(1)).alias("rows"), F.sum("order_volume").alias("order_volume"),
                                       F.sum("expedite_qty").alias("expedite_qty"),
                                       F.sum("expedite_volume").alias("expedite_volume"))
 
 
 # E10 + B30
-def decision_distribution(df: DataFrame) -> DataFrame:
-    """Rows per decision and their percent of all rows (total as a scalar subquery)."""
-    g = df.groupBy("decision").agg(F.count(F.lit(1)).alias("rows"))
+def decision_distribution(df: DataFrame, by_channel: bool = False) -> DataFrame:
+    """Rows per decision and their percent of all rows, or of the channel's."""
+    keys = _keys(by_channel)
+    g = df.groupBy(*keys, "decision").agg(F.count(F.lit(1)).alias("rows"))
     # the total of the few grouped rows: the input is read once
-    total = F.sum("rows").over(Window.partitionBy(F.lit(1)))
+    total = F.sum("rows").over(Window.partitionBy(*(keys or [F.lit(1)])))
     return g.select(
-        "decision", S.decision_label("decision").alias("label"), S.decision_label("decision", "en").alias("label_en"),
+        *keys, "decision", S.decision_label("decision").alias("label"), S.decision_label("decision", "en").alias("label_en"),
         "rows", (F.col("rows") * 100.0 / total).alias("percent"))
 
 
 # E12
-def run_summary(df: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
-    """One row: rows per decision, order quantity, volumes per region,
+def run_summary(df: DataFrame, dropped: DataFrame | None = None, by_channel: bool = False) -> DataFrame:
+    """One row, or one per channel: rows per decision, order quantity, volumes per region,
     discontinued rows dropped (counted where C9 drops them)."""
     cnt = {d: F.count(F.when(F.col("decision") == d, F.lit(1))).alias(f"{d}_rows")
            for d in (K.ORDER, K.EXPEDITE, K.HOLD, K.NO_SALES)}
-    out = df.agg(F.count(F.lit(1)).alias("rows"), *cnt.values(),
+    out = df.groupBy(*_keys(by_channel)).agg(F.count(F.lit(1)).alias("rows"), *cnt.values(),
                  F.coalesce(F.sum(F.when(F.col("decision") == K.ORDER, F.col("order_qty"))), F.lit(0.0)).alias("order_qty"),
                  _vol(K.ORDER, None, "order_volume").alias("order_volume"),
                  _vol(K.ORDER, K.NORTH, "order_volume").alias("north_order_volume"),

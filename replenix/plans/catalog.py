@@ -79,6 +79,16 @@ def q_restock_events(spark, sf_dir):
     return R.restock_events(adapter(spark, sf_dir).erp())
 
 
+@register("restock_day_counts", O.with_ctes(O.ADAPTER, O.SALES) + """
+SELECT channel, sku, region, checkin_date, COUNT(*) FILTER (WHERE origin = 'PO') AS n_po,
+       COUNT(*) FILTER (WHERE origin = 'Transfer' AND transfer_type IS NULL) AS n_tnull,
+       COUNT(*) FILTER (WHERE origin = 'Transfer' AND transfer_type <> 'Order') AS n_tkept
+FROM raw_events WHERE origin = 'PO' OR transfer_type IS DISTINCT FROM 'Order' GROUP BY ALL""")
+def q_restock_day_counts(spark, sf_dir):
+    """H1 counted: events per key and day, without the line x container pairs."""
+    return R.restock_day_counts(adapter(spark, sf_dir).erp())
+
+
 @register("restock_ranked", O.with_ctes(O.ADAPTER, O.SALES, *[O.window_ctes(k) for k in O.DECISION_VARIANTS]) + "\n" +
           "\nUNION ALL\n".join(
               f"SELECT '{k}' AS variant, channel, sku, region, checkin_date, container_number, po_code, source_type, "
@@ -101,6 +111,7 @@ def _window_query(key: str) -> Query:
 for _k in ("8_30", "15", "30", "30_aligned", "diagnostic", "po_only"):
     register(f"window_{_k}", O.window_sql(_k))(_window_query(_k))
 
+EMPTIED = "905"  # the channel that replace_channel_empty clears
 RECONCILE_FROM, RECONCILE_TO = "2000-01-01", "2000-12-31"
 
 
@@ -246,6 +257,15 @@ def q_container_check(spark, sf_dir):
                               "south_gap"))
 
 
+@register("region_totals_by_channel", O.decisions_sql(f"""
+SELECT c.channel, r.region, ROUND(COALESCE(SUM(d.order_volume), 0.0), 8) AS order_volume, 69.0::DOUBLE AS threshold,
+       COALESCE(SUM(d.order_volume), 0.0) >= 69.0 AS bookable
+FROM (SELECT DISTINCT channel FROM {DEC}) c, (VALUES ({NORTH}), ({SOUTH})) r(region)
+LEFT JOIN {DEC} d ON d.channel = c.channel AND d.region = r.region AND d.decision = 'order' GROUP BY ALL"""))
+def q_region_totals_by_channel(spark, sf_dir):
+    return round_doubles(V.region_totals(decisions_df(spark, sf_dir), by_channel=True), ("order_volume",))
+
+
 @register("region_totals", O.decisions_sql(f"""
 SELECT region, ROUND(v, 8) AS order_volume, 69.0::DOUBLE AS threshold, v >= 69.0 AS bookable FROM (
   SELECT {NORTH} AS region, {_sum_when(f"decision = 'order' AND region = {NORTH}", 'order_volume')} AS v FROM {DEC}
@@ -272,6 +292,15 @@ def q_decision_badges(spark, sf_dir):
                          ("order_volume", "expedite_qty", "expedite_volume"))
 
 
+@register("decision_badges_by_channel", O.decisions_sql(f"""
+SELECT channel, decision, COUNT(*) AS rows, ROUND(SUM(order_volume), 8) AS order_volume,
+       ROUND(SUM(expedite_qty), 8) AS expedite_qty, ROUND(SUM(expedite_volume), 8) AS expedite_volume
+FROM {DEC} GROUP BY channel, decision"""))
+def q_decision_badges_by_channel(spark, sf_dir):
+    return round_doubles(V.decision_badges(decisions_df(spark, sf_dir), by_channel=True),
+                         ("order_volume", "expedite_qty", "expedite_volume"))
+
+
 def _label_sql(col: str, labels: dict) -> str:
     return "CASE " + " ".join(f"WHEN {col} = {O.q(k)} THEN {O.q(v)}" for k, v in labels.items()) + " END"
 
@@ -284,6 +313,27 @@ def q_decision_distribution(spark, sf_dir):
     return round_doubles(V.decision_distribution(decisions_df(spark, sf_dir)), ("percent",))
 
 
+@register("decision_distribution_by_channel", O.decisions_sql(f"""
+SELECT channel, decision, {_label_sql('decision', K.DECISION_LABELS)} AS label,
+       {_label_sql('decision', K.DECISION_LABELS_EN)} AS label_en, COUNT(*) AS rows,
+       ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (PARTITION BY channel), 8) AS percent
+FROM {DEC} GROUP BY channel, decision"""))
+def q_decision_distribution_by_channel(spark, sf_dir):
+    return round_doubles(V.decision_distribution(decisions_df(spark, sf_dir), by_channel=True), ("percent",))
+
+
+@register("run_summary_by_channel", O.decisions_sql(f"""
+SELECT channel, COUNT(*) AS rows, COUNT(*) FILTER (WHERE decision = 'order') AS order_rows,
+       COUNT(*) FILTER (WHERE decision = 'expedite') AS expedite_rows,
+       ROUND({_sum_when("decision = 'order'", 'order_qty')}, 8) AS order_qty,
+       ROUND({_sum_when("decision = 'expedite'", 'expedite_volume')}, 8) AS expedite_volume
+FROM {DEC} GROUP BY channel"""))
+def q_run_summary_by_channel(spark, sf_dir):
+    out = V.run_summary(decisions_df(spark, sf_dir), by_channel=True)
+    return round_doubles(out.select("channel", "rows", "order_rows", "expedite_rows", "order_qty", "expedite_volume"),
+                         ("order_qty", "expedite_volume"))
+
+
 @register("run_summary", O.decisions_sql(f"""
 SELECT COUNT(*) AS rows, COUNT(*) FILTER (WHERE decision = 'order') AS order_rows,
        COUNT(*) FILTER (WHERE decision = 'expedite') AS expedite_rows,
@@ -317,6 +367,33 @@ def q_top_urgent(spark, sf_dir):
                                    "days_of_supply"), ("daily_demand", "days_of_supply"))
 
 
+@register("top_urgent_by_channel", O.decisions_sql(f"""
+SELECT channel, sku, region, decision, total_stock, ROUND(daily_demand, 8) AS daily_demand, ROUND(days, 8) AS days_of_supply
+FROM (SELECT *, CASE WHEN daily_demand > 0 THEN total_stock / daily_demand ELSE 999.0 END AS days,
+             ROW_NUMBER() OVER (PARTITION BY channel ORDER BY CASE WHEN daily_demand > 0 THEN total_stock / daily_demand
+                                ELSE 999.0 END, sku, region) AS n FROM {DEC} WHERE decision IN ('order', 'expedite'))
+WHERE n <= 30"""))
+def q_top_urgent_by_channel(spark, sf_dir):
+    df = V.top_urgent(decisions_df(spark, sf_dir), 30, by_channel=True)
+    return round_doubles(df.select("channel", "sku", "region", "decision", "total_stock", "daily_demand",
+                                   "days_of_supply"), ("daily_demand", "days_of_supply"))
+
+
+@register("active_rows", O.decisions_sql(f"SELECT channel, sku, region, decision FROM {DEC} WHERE decision IN ('order', 'expedite')"))
+def q_active_rows(spark, sf_dir):
+    return V.per_decision(decisions_df(spark, sf_dir), (K.ORDER, K.EXPEDITE)).select("channel", "sku", "region", "decision")
+
+
+@register("replace_channel_empty", O.decisions_sql(f"SELECT channel, sku, region, decision FROM {DEC} WHERE channel <> '{EMPTIED}'"))
+def q_replace_channel_empty(spark, sf_dir):
+    """H3 as a table: a channel whose new result is empty keeps no old rows."""
+    out = f"{scratch_dir(spark, 'replace')}/decisions"
+    dec = decisions_df(spark, sf_dir).select("channel", "sku", "region", "decision")
+    WR.write_decisions(dec, out)
+    WR.write_decisions(dec.limit(0), out, [EMPTIED])
+    return spark.read.schema(dec.schema).parquet(out)
+
+
 FAMILY_CASES = {
     "family_filter_exact": (K.SOUTH, None, "economy"),
     "family_filter_contains": (K.NORTH, K.ORDER, "ar"),

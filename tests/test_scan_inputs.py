@@ -106,3 +106,68 @@ def test_broadcast_hint_by_size(spark, tmp_dir):
     hinted = lambda limit: "ResolvedHint" in broadcast_if_small(df, limit)._jdf.queryExecution().logical().toString() \
         or "UnresolvedHint" in broadcast_if_small(df, limit)._jdf.queryExecution().logical().toString()
     assert hinted(1 << 20) and not hinted(1)
+
+
+def _erp_files(spark, path):
+    """A parquet ERP with one warehouse of each kind."""
+    from replenix.sources.erp import Erp
+    wid = "aaaaaaaa-0000-4000-8000-00000000000{}"
+    names = [K.SOUTH_WAREHOUSES[0], K.EXCLUDED_WAREHOUSES[0], "elsewhere"]
+    tables = {
+        "orders": ([(i, None if i % 2 else "2025-03-02", "2025-03-01" if i < 8 else "2020-01-01") for i in range(10)],
+                   "Id long, PaidDateUtc string, DateCreatedUtc string"),
+        "order_lines": ([(i, 1, 1.0, s) for i in range(10) for s in (
+            *('[{"WarehouseId":"' + wid.format(k).upper() + '"}]' for k in range(4)), "n/a", "[]",
+            '[{"WarehouseId":"' + wid.format(0) + '"}', '{"WarehouseId":"' + wid.format(0) + '"}', None)],
+            "OrderId long, ProductId long, Quantity double, StockSnapshotJson string"),
+        "products": ([(1, "918-1")], "Id long, Sku string"),
+        "warehouses": ([(wid.format(k), n) for k, n in enumerate(names)], "Id string, Name string"),
+    }
+    out = {}
+    for name, (rows, schema) in tables.items():
+        df = spark.createDataFrame(rows, schema)
+        for c in ("PaidDateUtc", "DateCreatedUtc"):
+            if c in df.columns:
+                df = df.withColumn(c, F.col(c).cast("timestamp"))
+        df.write.parquet(f"{path}/{name}")
+        out[name] = spark.read.parquet(f"{path}/{name}")
+    other = spark.range(0)
+    return Erp(**out, purchase_orders=other, purchase_order_lines=other, containers=other, transfers=other)
+
+
+def test_sales_plan_and_spread_join(spark, tmp_dir, monkeypatch):
+    from replenix.operators import sales as SL
+    erp = _erp_files(spark, tmp_dir)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")  # the whole list of pushed filters
+
+    def result():
+        got = SL.daily_sales(erp, ("paid", "created"), "2025-01-01", "2099-12-31")
+        return got, sorted((r.policy, r.region, str(r.order_date), r.daily_qty) for r in got.collect())
+
+    df, rows = result()
+    # south and, for the unknown name, north; orders 8 (paid 2025) and 9 (unpaid, created 2020) by the paid date
+    assert rows == [("created", r, "2025-03-01", 8.0) for r in sorted((K.NORTH, K.SOUTH))] + sorted(
+        [("paid", r, d, n) for r in (K.NORTH, K.SOUTH) for d, n in (("2025-03-01", 4.0), ("2025-03-02", 5.0))])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "StockSnapshotJson" in x]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = [x.split("PushedFilters:")[1] for x in plan.splitlines() if "FileScan" in x and "DateCreatedUtc" in x]
+    assert pushed and all("GreaterThanOrEqual(PaidDateUtc" in x and "GreaterThanOrEqual(DateCreatedUtc" in x for x in pushed)
+    monkeypatch.setattr(SL, "BROADCAST_LIMIT_BYTES", -1)
+    assert result()[1] == rows
+    left = SL.reconcile_sales(erp, "2025-01-01", "2025-12-31").collect()
+    assert sorted((r.region, r.total_qty) for r in left) == sorted([(K.NORTH, 64.0), (K.SOUTH, 8.0)])
+
+
+def test_views_by_channel(spark):
+    rows = [("a", "s1", K.NORTH, K.ORDER, 5.0, 1.0, 10.0, 70.0, 0.0, 0.0), ("b", "s1", K.NORTH, K.ORDER, 3.0, 1.0, 9.0, 1.0, 0.0, 0.0),
+            ("b", "s2", K.SOUTH, K.EXPEDITE, 2.0, 1.0, 0.0, 0.0, 4.0, 2.0), ("b", "s3", K.SOUTH, K.HOLD, 2.0, 1.0, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "channel string, sku string, region string, decision string, total_stock double, daily_demand double, "
+                                     "order_qty double, order_volume double, expedite_qty double, expedite_volume double")
+    assert {(r.channel, r.sku) for r in V.top_urgent(df, 1, by_channel=True).collect()} == {("a", "s1"), ("b", "s2")}
+    assert {(r.channel, r.decision): round(r.percent, 3) for r in V.decision_distribution(df, by_channel=True).collect()} == {
+        ("a", K.ORDER): 100.0, ("b", K.ORDER): 33.333, ("b", K.EXPEDITE): 33.333, ("b", K.HOLD): 33.333}
+    assert {(r.channel, r.region): r.bookable for r in V.region_totals(df, by_channel=True).collect()} == {
+        ("a", K.NORTH): True, ("a", K.SOUTH): False, ("b", K.NORTH): False, ("b", K.SOUTH): False}
+    assert {r.channel: (r.rows, r.order_rows) for r in V.run_summary(df, by_channel=True).collect()} == {"a": (1, 1), "b": (3, 1)}
+    assert V.run_summary(df.limit(0)).collect()[0].rows == 0
