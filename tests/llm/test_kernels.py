@@ -154,3 +154,33 @@ def test_classifiers_learn():
     got = net.score_rows(docs[300:])
     assert ((got > 0.5) == y[300:]).mean() > 0.95 and ((got >= 0) & (got <= 1)).all()
     assert nnet.best_threshold(np.array([0.1]), np.array([0])) == 0.5
+
+
+def plain_chains(x, y, gap=0.25, most_gap=48):
+    """Score of the best chain, from all pairs of anchors."""
+    order, best = sorted(range(len(x)), key=lambda i: (x[i], y[i])), {}
+    for i in order:
+        steps = [best[j] + min(passages.SEED, x[i] - x[j], y[i] - y[j]) - gap * abs(x[i] - x[j] - y[i] + y[j]) for j in best
+                 if 0 < x[i] - x[j] <= most_gap and 0 < y[i] - y[j] <= most_gap]
+        best[i] = max([passages.SEED, *steps])
+    return max(best.values())
+
+
+def test_chains_see_every_predecessor_inside_the_gap():
+    rng = random.Random(9)
+    for _ in range(200):
+        n, wide = rng.randint(1, 40), rng.choice([60, 400])
+        x, y = [rng.randint(0, wide) for _ in range(n)], [rng.randint(0, wide) for _ in range(n)]
+        first = passages.chains(x, y)[0]
+        steps = [min(passages.SEED, x[j] - x[i], y[j] - y[i]) - 0.25 * abs(x[j] - x[i] - y[j] + y[i]) for i, j in zip(first, first[1:], strict=False)]
+        assert passages.SEED + sum(steps) == plain_chains(x, y)
+    # 200 shared words, 60 others, 60 shared words
+    x = list(range(0, 200, 8)) + list(range(260, 320, 8))
+    assert passages.chains(x, x) == [list(range(25)), list(range(25, 33))]
+
+
+def test_two_passages_of_one_chain():
+    a = np.arange(200)
+    b = a.copy()
+    b[80:110] = -1 - np.arange(30)
+    assert sorted(passages.alignments(a, b, -8, 8, 0, 190)) == [(0, 80, 0, 80, 80), (110, 200, 110, 200, 90)]
