@@ -261,3 +261,36 @@ def test_classifiers(spark, nothing):
         assert module.score(odd_docs(spark), None).where("score between 0 and 1").count() == len(ODD) + 2
     scored = toxicity.score(odd_docs(spark), toxicity.fit(odd_docs(spark), few), ["doc_id"])
     assert scored.where("doc_id in (0, 1)").select("score").distinct().count() == 1
+
+
+def test_passages_that_no_first_document_covers(spark):
+    odd = lambda k, n=60: " ".join(f"o{k}x{i}" for i in range(n))
+    words = lambda k, i, j: " ".join(f"s{k}w{w}" for w in range(i, j))
+    pieces = [(0, 26), (14, 44), (30, 54)]  # each run of words is in one of them, and none is a passage
+    some = lambda k: [(k + n, f"{odd(k + n)} {words(1, *p)} {odd(k + n, 40)}") for n, p in enumerate(pieces)]
+    rows = some(0) + [(10, f"{odd(10)} {words(1, 0, 54)} end")] + some(20) + [(30, f"{words(1, 0, 54)} {odd(30)}")] + some(40)
+    # earlier occurrences of the passage's words in the source
+    rows += [(50, " ".join(f"{words(5, *p)} {odd(60 + n)}" for n, p in enumerate(pieces[::-1])) + f" {words(5, 0, 54)}"), (51, f"{odd(51)} {words(5, 0, 54)}")]
+    got = {(r.doc_id, r.src_doc_id): r for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(30, 10), (51, 50)}
+    assert got[30, 10].n_words == 54 and got[51, 50].n_words == 54
+    # by a text id as well
+    named = spark.createDataFrame([(f"d{k:02d}", t) for k, t in rows], "doc_id string, text string")
+    assert {(r.doc_id, r.src_doc_id) for r in passages.passages(named).collect()} == {("d30", "d10"), ("d51", "d50")}
+
+
+def test_links_over_batches_and_ranges(spark):
+    rows = [(i % 4 - 1, 0, i % 50, i) for i in range(2000)]
+    table_ = spark.createDataFrame(rows, "seed long, ctx long, doc_id long, place long")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            got = passages.anchor_table(table_).select("doc_id", "src").distinct().collect()
+            held = {}
+            for seed, _, doc, _ in rows:
+                held.setdefault(seed, set()).add(doc)
+            steps = {(b, a) for d in held.values() for a, b in itertools.pairwise(sorted(d))}
+            assert steps <= {tuple(r) for r in got}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
