@@ -294,3 +294,37 @@ def test_links_over_batches_and_ranges(spark):
             assert steps <= {tuple(r) for r in got}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def edited(rng, w, share):
+    """``w`` with a share of the words replaced, dropped or doubled by a new one."""
+    out, at = [], set(rng.choice(len(w), round(share * len(w)), replace=False).tolist())
+    for i, x in enumerate(w):
+        kind = rng.integers(0, 3) if i in at else 3
+        out += {0: [f"e{rng.integers(1 << 40)}"], 1: [], 2: [x, f"e{rng.integers(1 << 40)}"], 3: [x]}[int(kind)]
+    return out
+
+
+def test_passages_with_edits(spark):
+    rng = np.random.default_rng(11)
+    new = lambda n: [f"n{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows = []
+
+    def pair(p, q):
+        rows.extend([(len(rows) + k, " ".join([*new(40), *x, *new(40)])) for k, x in enumerate((p, q))])
+        return len(rows) - 1
+
+    p = new(56)
+    eighth = pair(p, [f"z{i}" if i % 8 == 7 else x for i, x in enumerate(p)])  # similarity 0.875, runs of seven words
+    p = new(50)
+    two = pair(p, [f"z{i}" if i in (16, 33) else x for i, x in enumerate(p)])
+    many = {share: [] for share in (0.05, 0.1, 0.2)}
+    for share, ids in many.items():
+        for _ in range(200):
+            p = new(60)
+            ids.append(pair(p, edited(rng, p, share)))
+    got = {(r.doc_id, r.src_doc_id) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {share: np.mean([(i, i - 1) in got for i in ids]) for share, ids in many.items()}
+    print("recall of edited passages:", recall)
+    assert {(eighth, eighth - 1), (two, two - 1)} <= got
+    assert recall[0.05] >= 0.98 and recall[0.1] >= 0.95
