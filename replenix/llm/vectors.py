@@ -40,9 +40,9 @@ def planes(number: int, dim: int) -> np.ndarray:
 
 
 def pass_count(rows: int, block: int, cosine: float, miss: float) -> int:
-    """So many passes that a pair at the cosine is missed by all with chance ``miss``:
-    it shares a hash with chance p, and a block with p to the number of hashes that
-    tell the blocks apart."""
+    """So many passes that a pair at the cosine is missed by all with chance ``miss`` if
+    signs split the rows evenly: it shares a hash with chance p, and a block with p to
+    the number of hashes that tell the blocks apart.  ``near_edges`` begins with it."""
     p = 1 - math.acos(cosine) / math.pi
     shared = p ** max(1.0, math.log2(max(rows / block, 2)))
     return max(4, math.ceil(math.log(miss) / math.log(1 - shared)))
@@ -66,10 +66,18 @@ def classes_of(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return map_arrow(vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")), run, f"vec_id {kind}, cls long, raw binary")
 
 
-def sorted_passes(classes: DataFrame, cosine: float, passes: int, block: int, window: int) -> DataFrame:
-    """Edges (a, b): in each pass the classes are ordered by the concatenated signs of
-    random projections; each block of ``block`` neighbours and the ``window`` next ones
-    is compared, and a spanning forest of its pairs at the cosine is kept."""
+def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading bits, of BITS, that two keys have in common."""
+    return BITS - np.frexp((a ^ b).astype(float))[1]
+
+
+def sorted_passes(classes: DataFrame, cosine: float, passes: int, block: int, window: int, first: int = 0) -> DataFrame:
+    """Edges (a, b): in each pass, from number ``first`` on, the classes are ordered by the
+    concatenated signs of random projections; each block of ``block`` neighbours and the
+    ``window`` next ones is compared, and a spanning forest of its pairs at the cosine is kept.
+
+    Other rows have pass and depth: the bits that class a shares with the one ``window``
+    places before or after it (-1: there is none), beyond which all are neighbours."""
 
     def project(batches):
         for b in batches:
@@ -78,7 +86,7 @@ def sorted_passes(classes: DataFrame, cosine: float, passes: int, block: int, wi
             for dim in np.unique(size):
                 at = np.flatnonzero(size == dim)
                 x = unit([raw[i] for i in at])
-                for k in range(passes):
+                for k in range(first, first + passes):
                     bits = (x @ planes(k, int(dim)) > 0).astype(np.int64)
                     key = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                     n = len(at)
@@ -97,27 +105,86 @@ def sorted_passes(classes: DataFrame, cosine: float, passes: int, block: int, wi
         offsets.append((r["part"], before - r["low"]))
         before += r["n"]
     if not offsets:
-        return classes.sparkSession.createDataFrame([], "a long, b long")
+        return classes.sparkSession.createDataFrame([], "a long, b long, pass int, depth int")
     small = classes.sparkSession.createDataFrame(offsets, "part long, add long")  # one row for each of the partitions
     ranked = ordered.withColumn("part", part).join(F.broadcast(small), "part").withColumn("rank", F.col("place").bitwiseAND((1 << 33) - 1) + F.col("add"))
     own = F.floor(F.col("rank") / block)
     blocks = ranked.withColumn("block", F.explode(F.when((F.col("rank") % block < window) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))))
-    groups = blocks.groupBy("block", "pass", "dim").agg(F.collect_list(F.struct("cls", "raw")).alias("m"))
+    groups = blocks.groupBy("block", "pass", "dim").agg(F.collect_list(F.struct("cls", "raw", "rank", "key")).alias("m"))
+
+    def compare(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                m = b.column(3).slice(k, 1).flatten()
+                m = m.take(pa.array(np.argsort(m.field(2).to_numpy())))
+                cls, rank, key, x = m.field(0).to_numpy(), m.field(2).to_numpy(), m.field(3).to_numpy(), unit(m.field(1).to_pylist())
+                r, c = forest(x @ x.T >= cosine)
+                own, n = int((rank // block == b.column(0)[k].as_py()).sum()), len(cls)
+                depth = shared_bits(key[:n - window], key[window:]) if n > window else np.zeros(0, np.int64)
+                later = np.full(own, -1)
+                later[:min(own, len(depth))] = depth[:own]
+                a = np.concatenate([cls[r], cls[:own], cls[window:]])
+                bits = np.concatenate([later, depth]).astype(np.int32)
+                free = np.arange(len(a)) < len(r)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(a), pa.array(np.concatenate([cls[c], np.zeros(len(bits), np.int64)]), mask=~free),
+                    pa.array(np.full(len(a), b.column(1)[k].as_py(), np.int32)), pa.array(np.concatenate([np.zeros(len(r), np.int32), bits]), mask=free)],
+                    ["a", "b", "pass", "depth"])
+
+    return cut(map_arrow(groups, compare, "a long, b long, pass int, depth int"), "near", batch=16)
+
+
+def all_pairs(classes: DataFrame, cosine: float, block: int) -> DataFrame:
+    """Edges (a, b): spanning forests of all pairs at the cosine, in pairs of blocks."""
+    rows = classes.select("cls", "raw", F.length("raw").alias("dim"))
+    dealt = in_blocks(rows.join(rows.groupBy("dim").agg(F.count("*").alias("n")), "dim"), "dim", F.ceil(F.col("n") / block), "cls")
+    groups = dealt.groupBy("dim", "bi", "bj").agg(F.collect_list(F.struct("cls", "raw")).alias("m"))
 
     def compare(batches):
         for b in batches:
-            a, z = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(b.num_rows):
                 m = b.column(3).slice(k, 1).flatten()
                 cls, x = m.field(0).to_numpy(), unit(m.field(1).to_pylist())
                 r, c = forest(x @ x.T >= cosine)
-                a.append(cls[r])
-                z.append(cls[c])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(z))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(cls[r]), pa.array(cls[c])], ["a", "b"])
 
     return cut(map_arrow(groups, compare, "a long, b long"), "near", batch=16)
 
 
+def near_edges(classes: DataFrame, cosine: float, miss: float, block: int, window: int, rounds: int = 4) -> DataFrame:
+    """Edges (a, b) that connect the pairs at the cosine, each missed with chance ``miss``
+    at most.
+
+    A pair that shares more bits than ``sorted_passes`` measures around one of its ends
+    is compared, so a pass misses it with chance 1 - p ** (depth + 1).  Classes for which
+    the passes together stay above ``miss`` go into more passes among themselves (a pair
+    with a class that is done is done), or, once that writes more rows than it or after
+    ``rounds``, into ``all_pairs``."""
+    p = 1 - math.acos(cosine) / math.pi
+    left, done, n = classes.select("cls", "raw", F.lit(0.0).alias("owed")), 0, classes.count()
+    need, edges = pass_count(n, window, cosine, miss), []
+    for turn in range(rounds):
+        if turn and (not n or turn == rounds - 1 or need * block >= n):
+            break
+        made = sorted_passes(left, cosine, need, block, window, done)
+        edges.append(made.where("depth is null").select("a", "b"))
+        depth = made.where("depth is not null").groupBy("a", "pass").agg(F.max("depth").alias("d"))
+        chance = F.when(F.col("d") < 0, F.lit(-1e9)).when(F.col("d") >= BITS, F.lit(0.0)).otherwise(F.log(1 - F.pow(F.lit(p), F.col("d") + 1)))
+        own = depth.groupBy(F.col("a").alias("cls")).agg(F.sum(chance).alias("got"))
+        left = cut(left.join(own, "cls").withColumn("owed", F.col("owed") + F.col("got")).where(F.col("owed") > math.log(miss)), "left")
+        more = F.ceil((math.log(miss) - F.col("owed")) * need / F.least("got", F.lit(-1e-9)))
+        done += need
+        n, need = left.agg(F.count("*"), F.percentile_approx(more, 0.9)).first()
+        need = max(int(need or 0), 4)
+        left = left.select("cls", "raw", "owed")
+    if n:
+        edges.append(all_pairs(left, cosine, block))
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    return out
+
+
 def link_counts(classes: DataFrame, found: DataFrame, cosine: float, block: int) -> DataFrame:
     """cls, links: the vectors of other classes of its component at the cosine, counted
     exactly, in pairs of blocks."""
@@ -152,7 +219,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Equal vectors are one class.  Passes over the classes, sorted by concatenated random
     hashes, find the components: neighbours in a bounded window are compared in double
     precision, and the pairs of all passes are united.  A pair at the cosine is missed
-    by every pass with chance ``miss`` at most, by ``pass_count``; a pair missed matters
+    by every pass with chance ``miss`` at most, as measured where its neighbours part
+    (``near_edges``): crowded vectors go through more passes or all their pairs; a pair missed matters
     only if nothing else connects its ends, because the links within a component are
     then counted over all its pairs, in pairs of blocks: the window caps no partner.
 
@@ -162,9 +230,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rows are vectors like others.  Empty table: no rows; other columns are ignored."""
     rows = cut(classes_of(vectors, id_col, vec_col), "vectors")
     classes = cut(rows.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("raw").alias("raw")), "classes")
-    passes = pass_count(classes.count(), block, cosine, miss)
     # classes of one direction and rounding meet in the first pass as others do
-    found = cut(components(sorted_passes(classes, cosine, passes, block, window)), "found")
+    found = cut(components(near_edges(classes, cosine, miss, block, window)), "found")
     links = link_counts(classes.select("cls", "copies", "raw"), found, cosine, block)
     named = found.withColumnRenamed("node", "cls").join(classes.select("cls", "least"), "cls")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -328,3 +328,28 @@ def test_passages_with_edits(spark):
     print("recall of edited passages:", recall)
     assert {(eighth, eighth - 1), (two, two - 1)} <= got
     assert recall[0.05] >= 0.98 and recall[0.1] >= 0.95
+
+
+def test_vectors_in_a_crowded_cone(spark):
+    rng = np.random.default_rng(21)
+    middle = rng.standard_normal(64)
+    middle /= np.linalg.norm(middle)
+
+    def near(v, cosine):
+        r = rng.standard_normal(64)
+        r -= r @ v * v
+        return cosine * v + np.sqrt(1 - cosine ** 2) * r / np.linalg.norm(r)
+
+    crowd = [near(middle, 0.949) for _ in range(2400)]  # any two at about 0.90
+    vs = crowd + [near(v, 0.952) for v in crowd[:300]] + list(rng.standard_normal((600, 64)))
+    u = np.array(vs) / np.linalg.norm(vs, axis=1)[:, None]
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vectors.near_vectors(df, block=64, window=16).collect()}
+    assert [got[i].n_links for i in range(len(vs))] == links.sum(1).tolist()
+
+
+def test_shared_bits():
+    a = np.array([0, 5, 1 << 47, 5])
+    assert vectors.shared_bits(a, np.array([0, 4, 0, 5])).tolist() == [48, 47, 0, 48]
