@@ -31,11 +31,11 @@ def sample_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, label: str = "toxic", most_rows: int = 6000,
-        most_words: int = 2048, buckets: int = 1 << 16, epochs: int = 3) -> Model | None:
+        buckets: int = 1 << 16, epochs: int = 3) -> Model | None:
     """Train on at most ``most_rows`` labelled rows (bounded sample by hash of doc_id, of
-    those for which ``usable`` over the labels holds) and ``most_words`` words of each.
+    those for which ``usable`` over the labels holds), each text whole.
 
-    The driver gets bucket numbers only.  Four rows of five train, the fifth sets a
+    The driver gets bucket numbers only, 12 bytes for each word of the sample.  Four rows of five train, the fifth sets a
     cutoff for each language (``best_threshold``).  None if no labelled row has a
     document.  Null ids and labels are left out; null texts train as empty ones."""
     chosen = sample_labels(labels.where(usable) if usable is not None else labels, label, most_rows)
@@ -47,7 +47,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, labe
         for b in batches:
             for i, j, data, at in slices(b.column(3)):
                 ids, lo = word_ids(data, at, buckets)
-                got = [ids[s:min(e, s + most_words)].tobytes() for s, e in zip(lo[:-1], lo[1:], strict=True)]
+                got = [ids[s:e].tobytes() for s, e in zip(lo[:-1], lo[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i),
                                                   pa.array(got, pa.binary())], ["doc_id", "y", "lang", "ids"])
 

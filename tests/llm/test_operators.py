@@ -353,3 +353,12 @@ def test_vectors_in_a_crowded_cone(spark):
 def test_shared_bits():
     a = np.array([0, 5, 1 << 47, 5])
     assert vectors.shared_bits(a, np.array([0, 4, 0, 5])).tolist() == [48, 47, 0, 48]
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 2500)) + (" badword" if i % 2 else " goodword"), "en") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert min(r.score for r in got if r.doc_id % 2) > max(r.score for r in got if r.doc_id % 2 == 0)
