@@ -161,11 +161,21 @@ class Cnn:
         self.tables = None
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray, least: int = 50) -> float:
-    """The cutoff of a grid with the fewest errors, false rejections counted twice, the
-    nearest to 0.5 of equals; 0.5 with fewer than ``least`` rows of either label."""
-    if min((y == 1).sum(), (y == 0).sum()) < least:
+#: the cutoffs to choose from
+GRID = np.arange(1, 20) / 20
+
+
+def threshold_of(counts: np.ndarray, least: int = 50) -> float:
+    """The cutoff of GRID with the fewest errors, false rejections counted twice, the
+    nearest to 0.5 of equals; 0.5 with fewer than ``least`` rows of either label.
+    ``counts``: rows by label (0, 1) and number of cutoffs that the score reaches."""
+    if counts.sum(1).min() < least:
         return 0.5
-    grid = np.arange(1, 20) / 20
-    wrong = [2 * ((score >= t) & (y == 0)).sum() + ((score < t) & (y == 1)).sum() for t in grid]
-    return float(min(grid, key=lambda t: (wrong[int(round(t * 20)) - 1], abs(t - 0.5))))
+    wrong = [2 * counts[0, i + 1:].sum() + counts[1, :i + 1].sum() for i in range(len(GRID))]
+    return float(min(zip(wrong, abs(GRID - 0.5), GRID, strict=True))[2])
+
+
+def best_threshold(score: np.ndarray, y: np.ndarray, least: int = 50) -> float:
+    """``threshold_of`` the scores and labels."""
+    bins = np.searchsorted(GRID, score, side="right")
+    return threshold_of(np.stack([np.bincount(bins[y == k], minlength=len(GRID) + 1) for k in (0, 1)]), least)

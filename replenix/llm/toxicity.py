@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .nnet import Cnn, best_threshold, word_ids
+from .nnet import GRID, Cnn, threshold_of, word_ids
 from .shared import crc_of, map_arrow
 from .words import slices
 
@@ -35,8 +35,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, labe
     """Train on at most ``most_rows`` labelled rows (bounded sample by hash of doc_id, of
     those for which ``usable`` over the labels holds), each text whole.
 
-    The driver gets bucket numbers only, 12 bytes for each word of the sample.  Four rows of five train, the fifth sets a
-    cutoff for each language (``best_threshold``).  None if no labelled row has a
+    The driver gets bucket numbers only, 12 bytes for each word of the sample.  Four rows of five train; all labelled documents
+    but these set a cutoff for each language (``calibrate``).  None if no labelled row has a
     document.  Null ids and labels are left out; null texts train as empty ones."""
     chosen = sample_labels(labels.where(usable) if usable is not None else labels, label, most_rows)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -58,19 +58,31 @@ def fit(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, labe
     got = sorted({(r["doc_id"], bytes(r["ids"])): (r["y"], r["lang"]) for r in got}.items(), key=lambda x: x[0])  # repeated rows train once
     words = [np.frombuffer(ids, np.int32).reshape(-1, 3) for (_, ids), _ in got]
     y = np.array([v[0] for _, v in got])
-    check = np.arange(len(got)) % 5 == 4
+    check = np.arange(len(got)) % 5 == 4  # left out of training, for the cutoffs
     net = Cnn(buckets)
     train = np.flatnonzero(~check) if (~check).any() else np.arange(len(got))
     own = [words[i] for i in train]
     if y[train].min() != y[train].max():
         net.start_from_counts(own, y[train])
     net.train(own, y[train], epochs=epochs, rate=0.03)
-    cut = {}
-    for name in {v[1] for _, v in got}:
-        at = [i for i in np.flatnonzero(check) if got[i][1][1] == name]
-        if at:
-            cut[name] = best_threshold(net.score_rows([words[i] for i in at]), y[at])
-    return Model(net, cut)
+    own_ids = labels.sparkSession.createDataFrame(sorted({(got[i][0][0],) for i in train}), f"doc_id {kind}")
+    judged = labels.where(usable) if usable is not None else labels
+    return Model(net, calibrate(docs, judged, net, label, own_ids))
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, net: Cnn, label: str, trained: DataFrame) -> dict:
+    """A cutoff for each language from all labelled documents outside ``trained``, scored
+    whole; the driver gets counts by language, score bin and label only."""
+    judged = (labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+              .join(F.broadcast(trained), "doc_id", "left_anti"))
+    scored = score(docs.where("doc_id is not null").withColumn("__of", F.xxhash64(F.col("text").cast("string"))), Model(net, {}), ["doc_id", "__of", *[c for c in docs.columns if c == "lang"]])
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    step = sum((F.col("score") >= F.lit(float(t))).cast("int") for t in GRID)
+    one = scored.select("doc_id", "__of", lang.alias("name"), step.alias("bin")).distinct()  # repeated rows count once
+    counts = {}
+    for r in one.join(judged, "doc_id").groupBy("name", "bin", "y").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["name"], np.zeros((2, len(GRID) + 1), np.int64))[int(r["y"] == 1), r["bin"]] += r["n"]
+    return {name: threshold_of(n) for name, n in counts.items()}
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, score_col: str = "score", flag_col: str = "rejected") -> DataFrame:

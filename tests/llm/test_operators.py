@@ -362,3 +362,17 @@ def test_toxicity_learns_from_whole_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
     got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
     assert min(r.score for r in got if r.doc_id % 2) > max(r.score for r in got if r.doc_id % 2 == 0)
+
+
+def test_cutoffs_come_from_all_labels(spark):
+    rows = [(i, f"plain text {i % 7}" + (" badword" if i % 8 == 0 else ""), "few" if i % 4 == 0 else "en") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(2400)], "doc_id long, toxic int")
+    seen = []
+    was, toxicity.threshold_of = toxicity.threshold_of, lambda n: seen.append(n.sum(1).tolist()) or was(n)
+    try:
+        model = toxicity.fit(docs, labels, most_rows=200)
+    finally:
+        toxicity.threshold_of = was
+    assert set(model.thresholds) == {"few", "en"} and sum(map(sum, seen)) == 2400 - 160
+    assert min(seen[sorted(range(2), key=lambda k: sum(seen[k]))[0]]) >= 50  # the small language is calibrated
