@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, formatting, mixing, neardup, packing, passages, quality, rules, toxicity, vectors
+from . import attribution, formatting, interaction, mixing, neardup, packing, passages, personal, prefixes, quality, rules, toxicity, vectors
 from .shared import cut, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -54,6 +54,18 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(table(spark, sf_dir, "documents"))
+
+
+def filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules,
@@ -66,9 +78,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": quality_scores,
         "op9_section_tokens": section_tokens,
         "op10_packing": packed,
+        "op11_prefix_trie": prefix_trie,
+        "op12_personal_data": personal_data,
+        "op13_filter_interaction": filter_interaction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": rules.sql(), "op4_near_duplicates": neardup.sql(),
-            "op5_near_vectors": vectors.sql()}
+            "op5_near_vectors": vectors.sql(), "op11_prefix_trie": prefixes.sql(), "op13_filter_interaction": interaction.sql()}
