@@ -48,15 +48,29 @@ def sale_date(paid, created, policy: str = "paid") -> Column:
 # B4
 def json_first_warehouse(col) -> Column:
     """The first warehouse id of a stock snapshot; null unless the text is valid JSON."""
-    return F.try_variant_get(F.try_parse_json(_c(col)), "$[0].WarehouseId", "string")
+    c = _c(col)
+    return F.when(is_json(c), F.get_json_object(c, "$[0].WarehouseId"))
+
+
+# a JSON string token; the repeats are possessive, so a long text needs no stack
+JSON_STRING = r'"[^"\\\x00-\x1F]*+(?:\\.[^"\\\x00-\x1F]*+)*+"'
 
 
 # B5
 def is_json(col) -> Column:
-    """True for a JSON object or array (scalars are not JSON documents)."""
+    """True for one whole JSON object or array and nothing after it (null: false).
+
+    The text goes into an array before a mark that only this text has; it is whole if
+    the array then has just these two elements.  Text after the document, a second
+    document or a missing bracket breaks the array or moves the mark.  The parser also
+    takes single quotes and raw control characters in strings, so none may be left
+    once the strings are taken out.  Duplicate keys are allowed (the first counts)."""
     c = _c(col)
-    first = F.substring(F.ltrim(c), 1, 1)
-    return F.coalesce(F.try_parse_json(c).isNotNull() & first.isin("{", "["), F.lit(False))
+    mark = F.hex(F.xxhash64(c))
+    marked = F.concat(F.lit("["), c, F.lit(',"'), mark, F.lit('"]'))
+    whole = (F.json_array_length(marked) == 2) & (F.get_json_object(marked, "$[1]") == mark)
+    plain = ~F.regexp_replace(c, JSON_STRING, "").rlike(r"[\"'\\\x00-\x08\x0B\x0C\x0E-\x1F]")
+    return F.coalesce(c.rlike(r"^[ \t\r\n]*[\[{]") & whole & plain, F.lit(False))
 
 
 # B6

@@ -24,6 +24,7 @@ from ..operators import views as V
 from ..operators import windows as W
 from ..operators.settings_ops import effective_settings, sync_settings
 from ..session import checkpoint_dir, cut_lineage
+from ..sinks import snapshots as SN
 from ..sinks import writers as WR
 from ..sources.settings import settings_from_text
 from ..sources.testdata import AS_OF, SALES_FROM, SALES_TO, TpchAdapter, settings_json
@@ -389,9 +390,9 @@ def q_replace_channel_empty(spark, sf_dir):
     """H3 as a table: a channel whose new result is empty keeps no old rows."""
     out = f"{scratch_dir(spark, 'replace')}/decisions"
     dec = decisions_df(spark, sf_dir).select("channel", "sku", "region", "decision")
-    WR.write_decisions(dec, out)
-    WR.write_decisions(dec.limit(0), out, [EMPTIED])
-    return spark.read.schema(dec.schema).parquet(out)
+    SN.commit(dec, out)
+    SN.commit(dec.limit(0), out, [EMPTIED])
+    return SN.read(spark, out)
 
 
 FAMILY_CASES = {
@@ -668,9 +669,69 @@ def q_stream_scan(spark, sf_dir):
     query = SC.stream_scan(spark, land, f"{scratch}/decisions", f"{scratch}/_checkpoint",
                            settings_from_text(spark, settings_json()), available_now=True)
     query.awaitTermination()
-    schema = decisions_df(spark, sf_dir).schema
-    out = spark.read.schema(schema).parquet(f"{scratch}/decisions")
-    return decisions_out(out)
+    return decisions_out(SN.read(spark, f"{scratch}/decisions"))
+
+
+# ---------------------------------------------------------------- rescans of rewritten files
+REWRITTEN = ("903", "917")
+REWRITTEN_BY = 400
+
+
+def place_files(spark: SparkSession, df: DataFrame, folder: str, name: str) -> None:
+    """One CSV file ``<folder>/channel=<c>/<name>`` per channel, written over the old one."""
+    aside = f"{scratch_dir(spark, 'place')}/files"
+    df.repartition("channel").write.partitionBy("channel").option("header", True).csv(aside)
+    src, dst = SN.Folder(spark, aside), SN.Folder(spark, folder)
+    for part in src.names(""):
+        if part.startswith("channel="):
+            dst.fs.mkdirs(dst.at(part))
+            (file,) = [n for n in src.names(part) if n.endswith(".csv")]
+            dst.delete(f"{part}/{name}")
+            dst.fs.rename(src.at(f"{part}/{file}"), dst.at(f"{part}/{name}"))
+
+
+@register("rescan_rewritten", FULL_SQL.replace(
+    "CAST(p_size - 20 AS DOUBLE) AS SouthIslandStock",
+    f"CAST(p_size - 20 + CASE WHEN {O.channel_of_brand('p_brand')} IN {O.in_list(REWRITTEN)} THEN {REWRITTEN_BY} ELSE 0 END AS DOUBLE) "
+    "AS SouthIslandStock"))
+def q_rescan_rewritten(spark, sf_dir):
+    """S1 with files that are rewritten in place: the scan runs, the stock files of two
+    channels are written again under the same names, the scan goes on from its
+    checkpoint; the result is that of the new files for these and as it was for others."""
+    td = adapter(spark, sf_dir)
+    scratch = scratch_dir(spark, "rescan")
+    land = f"{scratch}/landing"
+    for kind, df in (("stock", td.stock_wide()), ("po", td.po_file()), ("demand", _demand(td))):
+        place_files(spark, df, f"{land}/{kind}", f"{kind}.csv")
+
+    def scan() -> None:
+        SC.stream_scan(spark, land, f"{scratch}/decisions", f"{scratch}/_checkpoint",
+                       settings_from_text(spark, settings_json()), available_now=True).awaitTermination()
+
+    scan()
+    again = td.stock_wide().filter(F.col("channel").isin(*REWRITTEN)).withColumn(
+        "SouthIslandStock", (F.col("SouthIslandStock").cast("int") + REWRITTEN_BY).cast("string"))
+    place_files(spark, again, f"{land}/stock", "stock.csv")
+    scan()
+    return decisions_out(SN.read(spark, f"{scratch}/decisions"))
+
+
+# ---------------------------------------------------------------- stock snapshots as JSON
+@register("snapshot_json", f"""
+WITH s AS (SELECT l_partkey % 12 AS kind, {O.sguid('l_suppkey')} AS g, '[{{"WarehouseId":"' || {O.sguid('l_suppkey')} || '"}}]' AS w FROM lineitem),
+t AS (SELECT kind, CASE kind
+        WHEN 0 THEN w WHEN 1 THEN w || ' x' WHEN 2 THEN w || w WHEN 3 THEN left(w, length(w) - 1) WHEN 4 THEN replace(w, '"', chr(39))
+        WHEN 5 THEN chr(65279) || w WHEN 6 THEN substr(w, 2, length(w) - 2) WHEN 7 THEN ' ' || chr(10) || w || chr(9)
+        WHEN 8 THEN '[{{"Note":"it' || chr(39) || 's [a] \\"b\\" {{","WarehouseId":"' || g || '"}}]'
+        WHEN 9 THEN left(w, length(w) - 1) || ', {{"WarehouseId":"other"}}]' WHEN 10 THEN '"' || g || '"' END AS x FROM s)
+SELECT kind, coalesce(json_valid(x) AND regexp_matches(x, '^[ \\t\\r\\n]*[\\[{{]'), FALSE) AS is_json,
+       CASE WHEN json_valid(x) THEN json_extract_string(x, '$[0].WarehouseId') END AS warehouse_id, COUNT(*) AS n
+FROM t GROUP BY ALL""")
+def q_snapshot_json(spark, sf_dir):
+    """Snapshots of every line, whole ones and ones that are broken in some way."""
+    rows = adapter(spark, sf_dir).odd_snapshots().select(
+        "kind", S.is_json("x").alias("is_json"), S.json_first_warehouse("x").alias("warehouse_id"))
+    return rows.groupBy("kind", "is_json", "warehouse_id").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Query]:

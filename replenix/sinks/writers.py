@@ -91,13 +91,16 @@ def replace_channels(old: DataFrame, new: DataFrame, channels: Sequence[str] | N
 
 
 def write_decisions(df: DataFrame, path: str, channels: Sequence[str] = ()) -> None:
-    """H3 as a table write: dynamic overwrite of the channel partitions present
-    in ``df``; other channels stay.  The partitions of ``channels`` go first, so a
-    channel whose new result is empty has no old rows left.  A retried batch ends alike."""
+    """H3 as plain partition folders, for readers that know no manifest: dynamic overwrite
+    of the channel partitions present in ``df``; other channels stay.  What is left of
+    ``channels`` after the write (their new result is empty) goes then, so a failed write
+    loses nothing.  A retried batch ends alike.  ``snapshots.commit`` is the table whose
+    channels change in one step."""
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for c in channels:
-        old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/channel={escape(c)}")
-        old.getFileSystem(conf).delete(old, True)
+    folders = [jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/channel={escape(c)}") for c in channels]
+    before = [(fs, s.getPath()) for p in folders for fs in [p.getFileSystem(conf)] if fs.exists(p) for s in fs.listStatus(p)]
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("channel").parquet(path))
+    for fs, old in before:
+        fs.delete(old, True)

@@ -165,6 +165,22 @@ class TpchAdapter:
         return li.select(F.col("l_orderkey").alias("OrderId"), F.col("l_partkey").alias("ProductId"),
                          F.col("l_quantity").alias("Quantity"), snap.alias("StockSnapshotJson"))
 
+    def odd_snapshots(self) -> DataFrame:
+        """(kind, x): stock snapshots of all lines as a line system may leave them: whole,
+        followed by something, twice, cut off, in other quotes, after a byte order mark, ..."""
+        g = supplier_guid(F.col("l_suppkey"))
+        one = F.concat(F.lit('{"WarehouseId":"'), g, F.lit('"}'))
+        whole = F.concat(F.lit("["), one, F.lit("]"))
+        kinds = (whole, F.concat(whole, F.lit(" x")), F.concat(whole, whole), F.concat(F.lit("["), one),
+                 F.replace(whole, F.lit('"'), F.lit("'")), F.concat(F.lit("﻿"), whole), one, F.concat(F.lit(" \n"), whole, F.lit("\t")),
+                 F.concat(F.lit('[{"Note":"it\'s [a] \\"b\\" {",'), F.substr(one, F.lit(2)), F.lit("]")),
+                 F.concat(F.lit("["), one, F.lit(', {"WarehouseId":"other"}]')), F.concat(F.lit('"'), g, F.lit('"')), F.lit(None).cast("string"))
+        kind = F.col("l_partkey") % len(kinds)
+        x = F.lit(None).cast("string")
+        for n, text in enumerate(kinds):
+            x = F.when(kind == n, text).otherwise(x)
+        return self.t("lineitem").select(kind.alias("kind"), x.alias("x"))
+
     # ---- restocks -----------------------------------------------------------
     def _po_lines_raw(self) -> DataFrame:
         return self.t("lineitem").filter(F.col("l_returnflag") == "N")

@@ -1,12 +1,11 @@
 """Continuous scan.
 
-The source application re-ran every channel on a timer.  Here a Structured
-Streaming file source watches the input folders; each micro-batch yields the
-channels whose files arrived, and ``foreachBatch`` recomputes the decisions of
-just those channels and dynamically overwrites their partitions of the result
-table (idempotent per batch, so a retried batch after an executor loss writes
-the same partitions again).  ``trigger(processingTime=...)`` gives the timed
-scan; ``availableNow`` one catch-up pass.
+The source application re-ran every channel on a timer.  Here a stream watches the
+input folders (``folder_watch``): each micro-batch holds the channels whose files
+arrived or were rewritten, and ``foreachBatch`` recomputes the decisions of just those
+channels and replaces their rows in the result (``sinks.snapshots``: a batch is seen
+whole or not at all, and a replayed one changes nothing).
+``trigger(processingTime=...)`` gives the timed scan; ``availableNow`` one catch-up pass.
 
 Two input layouts are supported:
 
@@ -18,6 +17,7 @@ Two input layouts are supported:
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -28,8 +28,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import scalar as S
 from ..operators.settings_ops import effective_settings
 from ..plans import replenishment as RP
+from ..sinks import snapshots as SN
 from ..sinks import writers as WR
 from ..sources import channel_files as CF
+from ..sources.settings import SETTINGS_FILE
+from . import folder_watch as FW
 
 LANDING_KINDS = ("stock", "po", "demand")
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -105,14 +108,28 @@ def decisions_for(spark: SparkSession, root: str, channels: list[str], settings:
     return RP.replenishment(stock, po, dem, eff)
 
 
+def writer_id(spark: SparkSession, checkpoint: str) -> str:
+    """The query's own id, which its checkpoint keeps over restarts."""
+    return json.loads(SN.Folder(spark, checkpoint).read("metadata"))["id"]
+
+
 def stream_scan(spark: SparkSession, root: str, out: str, checkpoint: str, settings: DataFrame | Callable[[], DataFrame],
                 layout: str = "landing", every_minutes: int | None = 60, available_now: bool = False,
-                log_path: str | None = None, archive_path: str | None = None) -> StreamingQuery:
-    """Start the scan.  ``every_minutes`` is clamped to at least 1 (as the
-    source application does).  ``settings`` may be a function, which every batch calls
-    anew (``lambda: read_settings(spark, root)``).  A channel with missing inputs is left
-    out of the batch; its rows stay as they are.  ``archive_path`` keeps each batch's
-    result."""
+                log_path: str | None = None, archive_path: str | None = None, watch: str = "snapshot",
+                shared: tuple[str, ...] = (SETTINGS_FILE,)) -> StreamingQuery:
+    """Start the scan; read its result with ``snapshots.read(spark, out)``.
+
+    ``every_minutes`` is clamped to at least 1 (as the source application does).
+    ``settings`` may be a function, which every batch calls anew (``lambda:
+    read_settings(spark, root)``).  A channel with missing inputs is left out of the
+    batch; its rows stay as they are.  ``archive_path`` keeps each batch's result.
+
+    ``watch="snapshot"`` sees rewritten files too, and a change of a ``shared`` file (the
+    settings) as one of every channel; ``"files"`` is Spark's file source, for file
+    systems that only Hadoop can list: it sees new paths only.
+
+    A batch writes its rows aside, then archive and log (folders of its own, overwritten
+    when it is replayed), and publishes the rows last."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
         # the touched channel names: a bounded list (one per channel folder)
@@ -120,14 +137,18 @@ def stream_scan(spark: SparkSession, root: str, out: str, checkpoint: str, setti
         if not chans:
             return
         dec = decisions_for(spark, root, chans, settings() if callable(settings) else settings, layout)
-        WR.write_decisions(dec, out, chans)
-        done = spark.read.schema(dec.schema).parquet(out).filter(F.col("channel").isin(*chans))
+        staged = SN.stage(dec, out, chans, writer_id(spark, checkpoint), batch_id)
+        if staged is None:
+            return
+        done = SN.rows(spark, out, staged)
         if archive_path:
             WR.archive(done, archive_path, f"batch_{batch_id}")
         if log_path:
             WR.append_run_log(done, log_path, f"batch_{batch_id}")
+        SN.publish(spark, out, staged)
 
-    w = touched_channels(spark, root, layout).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    touched = FW.changed_channels(spark, root, layout, shared) if watch == "snapshot" else touched_channels(spark, root, layout)
+    w = touched.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
     else:

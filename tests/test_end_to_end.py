@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from replenix.operators.settings_ops import effective_settings
 from replenix.plans import replenishment as RP
+from replenix.sinks import snapshots as SN
 from replenix.sources import channel_files as CF
 from replenix.sources.settings import read_settings
 from replenix.streaming import scan as SC
@@ -65,7 +66,7 @@ def test_stream_scan_channel_folders(spark, tmp_dir):
     q = SC.stream_scan(spark, root, f"{tmp_dir}/out", f"{tmp_dir}/ckpt", settings, layout="channel_folders",
                        available_now=True, log_path=f"{tmp_dir}/log")
     q.awaitTermination()
-    out = spark.read.parquet(f"{tmp_dir}/out").withColumn("channel", F.col("channel").cast("string"))
+    out = SN.read(spark, f"{tmp_dir}/out")
     chans = CF.list_channels(spark, root)
     batch = RP.replenishment(CF.read_stock(spark, root), CF.read_po(spark, root),
                              CF.demand_long(CF.read_demand(spark, root)),

@@ -129,11 +129,24 @@ def test_to_number(spark, text, value):
 
 
 @pytest.mark.parametrize("text,ok", [('[{"WarehouseId":"x"}]', True), ("{}", True), ("[]", True), ("n/a", False),
-                                     ("42", False), ('"s"', False), (None, False)])
+                                     ("42", False), ('"s"', False), (None, False), ('[1] x', False), ('[1][2]', False),
+                                     ('[1]] [', False), ('[1],2', False), ('[1', False), ("['a']", False), ("{'a':1}", False),
+                                     ('﻿[1]', False), (' \r\n[1]\t', True), ('\x0c[1]', False), ('{"a":1}}', False),
+                                     ('{"a":1,"a":2}', True), ('[1,]', False), ('[01]', False), ('[NaN]', False), ('["a\tb"]', False),
+                                     ('["it\'s"]', True), (r'["\""]', True), (r'["a\"]', False), (r'["\x"]', False), ('{a:1}', False),
+                                     ('["a" "b"]', False), ('/**/[1]', False), ('[1]//', False), ("", False), (" ", False),
+                                     ('["' + "x" * 1_000_000 + '"]', True), ('["' + r"\n" * 300_000 + '"]', True), ("[" * 99 + "]" * 98, False)])
 def test_is_json(spark, text, ok):
     assert spark.createDataFrame([(text,)], "t string").select(S.is_json("t")).collect()[0][0] is ok
 
 
+def test_first_warehouse_of_whole_documents_only(spark):
+    one = '[{"WarehouseId":"g"}]'
+    texts = [one, one + " x", one + one, one[:-1], one.replace('"', "'"), '{"WarehouseId":"g"}', '[{"WarehouseId":"g","WarehouseId":"h"}]', "[]", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(S.json_first_warehouse("t")).collect()] == ["g", None, None, None, None, None, "g", None, None]
+
+
 def test_try_guid(spark):
     df = spark.createDataFrame([(" AAAAAAAA-0000-4000-8000-000000000001 ",), ("nope",)], "t string")
     assert [r[0] for r in df.select(S.try_guid("t")).collect()] == ["aaaaaaaa-0000-4000-8000-000000000001", None]

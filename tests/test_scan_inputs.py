@@ -13,6 +13,7 @@ from replenix.operators import purchase as PU
 from replenix.operators import stock as ST
 from replenix.operators import views as V
 from replenix.operators.util import broadcast_if_small, plan_size_bytes
+from replenix.sinks import snapshots as SN
 from replenix.sinks import writers as WR
 from replenix.sources import channel_files as CF
 from replenix.sources.settings import read_settings, settings_from_text
@@ -71,7 +72,7 @@ def land(spark, root, channel, on_hand):
 def scan(spark, tmp_dir, **how):
     SC.stream_scan(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ck", lambda: settings_from_text(spark, "{}"),
                    available_now=True, log_path=f"{tmp_dir}/log", archive_path=f"{tmp_dir}/archive", **how).awaitTermination()
-    return {(r.channel, r.sku, r.region): r for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
+    return {(r.channel, r.sku, r.region): r for r in SN.read(spark, f"{tmp_dir}/out").collect()}
 
 
 def test_second_landing_and_incomplete_channel(spark, tmp_dir):
