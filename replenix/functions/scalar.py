@@ -61,16 +61,15 @@ def is_json(col) -> Column:
     """True for one whole JSON object or array and nothing after it (null: false).
 
     The text goes into an array before a mark that only this text has; it is whole if
-    the array then has just these two elements.  Text after the document, a second
-    document or a missing bracket breaks the array or moves the mark.  The parser also
-    takes single quotes and raw control characters in strings, so none may be left
-    once the strings are taken out.  Duplicate keys are allowed (the first counts)."""
+    the mark is the array's second element.  Text after the document, a second document
+    or a missing bracket breaks the array or moves the mark.  The parser also takes
+    single quotes and raw control characters in strings, so texts that have any are
+    looked at again without their strings.  Duplicate keys are allowed (the first counts)."""
     c = _c(col)
     mark = F.hex(F.xxhash64(c))
-    marked = F.concat(F.lit("["), c, F.lit(',"'), mark, F.lit('"]'))
-    whole = (F.json_array_length(marked) == 2) & (F.get_json_object(marked, "$[1]") == mark)
-    plain = ~F.regexp_replace(c, JSON_STRING, "").rlike(r"[\"'\\\x00-\x08\x0B\x0C\x0E-\x1F]")
-    return F.coalesce(c.rlike(r"^[ \t\r\n]*[\[{]") & whole & plain, F.lit(False))
+    whole = F.get_json_object(F.concat(F.lit("["), c, F.lit(',"'), mark, F.lit('"]')), "$[1]") == mark
+    plain = ~c.rlike(r"['\x00-\x1F]") | ~F.regexp_replace(c, JSON_STRING, "").rlike(r"[\"'\\\x00-\x08\x0B\x0C\x0E-\x1F]")
+    return F.coalesce(c.rlike(r"^[ \t\r\n]*[\[{]") & plain & whole, F.lit(False))
 
 
 # B6

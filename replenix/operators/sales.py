@@ -29,8 +29,10 @@ def located_lines(erp: Erp, known_only: bool = True, excluded: Sequence[str] = K
     not excluded (C2); otherwise every line stays.  A few dozen warehouses share all
     lines: where they are not broadcast, each is dealt over WAREHOUSE_SPREAD parts."""
     w = erp.warehouses.select(S.try_guid("Id").alias("_wid"), F.col("Name").alias("warehouse_name"))
-    lines = erp.order_lines.select("OrderId", "ProductId", "Quantity",
-                                   S.try_guid(S.json_first_warehouse("StockSnapshotJson")).alias("_wid"))
+    # the generator keeps the filters on the id from being pushed below it, where each
+    # would parse the text again
+    lines = erp.order_lines.select("OrderId", "ProductId", "Quantity", F.explode(F.array(S.json_first_warehouse("StockSnapshotJson"))).alias("_raw"))
+    lines = lines.select("OrderId", "ProductId", "Quantity", S.try_guid("_raw").alias("_wid"))
     if known_only:  # an id is found in valid JSON arrays only
         w = w.filter(P.not_excluded("warehouse_name", excluded))
         lines = lines.filter(F.col("_wid").isNotNull())

@@ -1,9 +1,9 @@
-"""Restock windows (the P1 variants) as data, the range join with daily sales
+"""Restock windows (the P1 variants) as data, their sums over daily sales
 (D5, D6), window performance (E3, E4) and the three averages (F2, F3, F4).
 
 All variants that are asked for run in one plan: each restock event is
 exploded into one row per variant (a generator, not a join), so the sales scan,
-the daily aggregate and the range join are shared."""
+the daily aggregate and the running sums are shared."""
 
 from __future__ import annotations
 
@@ -221,45 +221,50 @@ def checkin_windows(ranked: DataFrame, as_of: str | None, variants: Sequence[str
                          per_variant(partial).alias("is_partial"))
 
 
-RANGE_JOIN = "days"  # "days": windows exploded to their days; "residual": range test after the key join
-
-
-def window_performance(windows: DataFrame, daily: DataFrame, as_of: str | None, variants: Sequence[str],
-                       range_join: str | None = None) -> DataFrame:
-    """D5/D6 + E3/E4: left join of each window with the daily sales of its key
-    and date policy, ``order_date BETWEEN sample_start AND sample_end``.
-
-    ``days`` (default): each window becomes its days (at most 30, an empty
-    window keeps one null day) and joins on (policy, channel, sku, region,
-    order_date), exactly the daily aggregate's keys, so the large side is not
-    shuffled again and a hot SKU spreads over its days.  ``residual``: a
-    sort-merge join on (policy, channel, sku, region) with the range as a
-    residual test (daily rows per key are bounded by the number of days)."""
+def window_sums(windows: DataFrame, daily: DataFrame, counted: Sequence[Column]) -> DataFrame:
+    """The daily sales of each window's key and policy over its days, as the
+    difference of two running sums.
+
+    A window sends two edges, the day before it and its last day, among the key's daily
+    rows; one running window over (policy, key) by day gives every edge the sums so far,
+    and the edges of a window are subtracted.  So a window costs two rows whatever its
+    length, nothing is joined, and the one exchange on (policy, key) also serves the
+    averages over a key's windows.  A window that ends before it starts has one edge that
+    counts nothing.  Sums run in decimals (six places), so their difference is exact.
+    ``counted`` marks the daily rows that ``days_with_sales`` counts, by rule."""
+    rules = ("range", "positive")
+    d = daily.select("policy", *KEY, F.col("order_date").alias("_day"), F.lit(0).alias("_edge"),
+                     F.coalesce(F.col("daily_qty").try_cast("decimal(28,6)"), F.lit(0)).alias("_qty"),
+                     *[F.when(c, 1).otherwise(0).cast("bigint").alias(f"_{r}") for r, c in zip(rules, counted, strict=True)],
+                     F.lit(None).cast(windows.select(F.struct("variant", *WINDOW_COLUMNS)).schema[0].dataType).alias("_w"))
+    whole = F.col("sample_end") >= F.col("sample_start")
+    edge = F.when(whole, F.array(F.struct(F.date_sub("sample_start", 1).alias("_day"), F.lit(-1).alias("_edge")),
+                                 F.struct(F.col("sample_end").alias("_day"), F.lit(1).alias("_edge")))) \
+            .otherwise(F.array(F.struct(F.col("sample_end").alias("_day"), F.lit(2).alias("_edge"))))
+    e = windows.select("policy", *KEY, F.explode(edge).alias("_e"), F.struct("variant", *WINDOW_COLUMNS).alias("_w")).select(
+        "policy", *KEY, "_e._day", "_e._edge", F.lit(0).cast("decimal(28,6)").alias("_qty"), *[F.lit(0).cast("bigint").alias(f"_{r}") for r in rules], "_w")
+    # edges stand after the daily row of their day
+    so_far = Window.partitionBy("policy", *KEY).orderBy("_day", F.col("_w").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = d.unionByName(e).withColumns({c: F.sum(c).over(so_far) for c in ("_qty", "_range", "_positive")}).filter(F.col("_w").isNotNull())
+    sign = F.when(F.col("_edge") == 2, 0).otherwise(F.col("_edge"))
+    return (sums.groupBy("policy", *KEY, "_w").agg(*[F.sum(F.col(c) * sign).alias(c) for c in ("_qty", "_range", "_positive")])
+            .select("_w.variant", "policy", *KEY, *[f"_w.{c}" for c in WINDOW_COLUMNS], F.col("_qty").cast("double").alias("sample_qty"),
+                    *[F.col(f"_{r}") for r in rules]))
+
+
+#: what a window carries beside its key
+WINDOW_COLUMNS = ("rn", "checkin_date", "container_number", "po_code", "source_type", "sample_start", "sample_end", "is_partial")
+
+
+def window_performance(windows: DataFrame, daily: DataFrame, as_of: str | None, variants: Sequence[str]) -> DataFrame:
+    """D5/D6 + E3/E4: each window with its quantity, days and single average; windows
+    without sales stay (a left join by meaning)."""
     today = _today(as_of)
-    mode = range_join or RANGE_JOIN
-    d = daily.select(F.col("policy").alias("_p"), F.col("channel").alias("_c"), F.col("sku").alias("_s"),
-                     F.col("region").alias("_r"), "order_date", "daily_qty")
-    if mode == "days":
-        days = F.when(F.col("sample_end") >= F.col("sample_start"),
-                      F.sequence(F.col("sample_start"), F.col("sample_end")))
-        w = windows.withColumn("_day", F.explode_outer(days))
-        cond = ((w.policy == d._p) & (w.channel == d._c) & (w.sku == d._s) & (w.region == d._r)
-                & (w._day == d.order_date))
-        # one clustering of the (small) window-day rows serves the window
-        # aggregate, the averages over a key's windows and the key demand
-        joined = w.join(d, cond, "left").drop("_day").repartition(*VARIANT, *KEY)
-    else:
-        cond = ((windows.policy == d._p) & (windows.channel == d._c) & (windows.sku == d._s)
-                & (windows.region == d._r) & d.order_date.between(windows.sample_start, windows.sample_end))
-        joined = windows.join(d, cond, "left")
     specs = {v: SPECS[v] for v in variants}
     positive_rule = [k for k, s in specs.items() if s.days_with_sales_rule == "positive"]
-    counts = (F.when(F.col("variant").isin(*positive_rule), F.col("daily_qty") > 0)
-              .otherwise(F.col("daily_qty").between(1, 999999))) if positive_rule else F.col("daily_qty").between(1, 999999)
-    grouped = (joined.groupBy(*VARIANT, *KEY, "rn", "checkin_date", "container_number", "po_code", "source_type",
-                              "sample_start", "sample_end", "is_partial")
-               .agg(F.coalesce(F.sum("daily_qty"), F.lit(0.0)).alias("sample_qty"),
-                    F.count(F.when(counts, F.lit(1))).alias("days_with_sales")))
+    sums = window_sums(windows, daily, (F.col("daily_qty").between(1, 999999), F.col("daily_qty") > 0))
+    days_with = F.when(F.col("variant").isin(*positive_rule), F.col("_positive")).otherwise(F.col("_range")) if positive_rule else F.col("_range")
+    grouped = sums.withColumn("days_with_sales", days_with).drop("_range", "_positive")
     thirty = [k for k, s in specs.items() if s.kind == "thirty"]
     is30 = F.col("variant").isin(*thirty) if thirty else F.lit(False)
     c = F.col("checkin_date")

@@ -156,3 +156,36 @@ def test_top3_candidates_equal_brute_force(spark):
     got = sorted(map(tuple, fast.select(*cols).collect()))
     assert got == sorted(map(tuple, brute.select(*cols).collect()))
     assert [c for _, c, _, _ in got] == ["C1", "C3", "C3"]
+
+
+def test_window_sums_equal_brute_force(spark):
+    """Running sums subtracted at the windows' edges against adding up each window's days."""
+    import datetime as dt
+    import random
+    rnd = random.Random(11)
+    day0 = dt.date(2025, 1, 1)
+    daily, windows = [], []
+    for sku in ("a", "b", "c", None):
+        for policy in ("paid", "created"):
+            for i in rnd.sample(range(120), 60):
+                daily.append((policy, "9", sku, K.SOUTH, day0 + dt.timedelta(i), rnd.choice([1.0, 0.25, -3.0, 0.0, 1e7, 0.1, None])))
+            for rn in (1, 2, 3):
+                start = rnd.randrange(-20, 130)
+                for variant, length in (("8_30", rnd.randrange(0, 30)), ("diagnostic", -rnd.randrange(1, 9))):
+                    windows.append((variant, policy, "9", sku, K.SOUTH, day0, None, "p", "PO", rn, day0 + dt.timedelta(start), day0 + dt.timedelta(start + length), 0))
+    windows.append(("8_30", "paid", "9", "none sold", K.SOUTH, day0, None, "p", "PO", 1, day0, day0, 0))
+    d = spark.createDataFrame(daily, "policy string, channel string, sku string, region string, order_date date, daily_qty double")
+    w = spark.createDataFrame(windows, "variant string, policy string, channel string, sku string, region string, checkin_date date, "
+                                       "container_number string, po_code string, source_type string, rn int, sample_start date, sample_end date, is_partial int")
+    got = {(r.variant, r.policy, r.sku, r.rn): (r.sample_qty, r.days_with_sales) for r in W.window_performance(w, d, "2026-01-01", ("8_30", "diagnostic")).collect()}
+    assert len(got) == len(windows)
+    for v, p, _, sku, _, _, _, _, _, rn, start, end, _ in windows:
+        inside = [q for pp, _, s, _, day, q in daily if (pp, s) == (p, sku) and start <= day <= end and q is not None]
+        days = sum(q > 0 if v == "diagnostic" else 1 <= q <= 999999 for q in inside)
+        assert got[v, p, sku, rn] == (pytest.approx(sum(inside), abs=1e-9), days), (v, p, sku, rn)
+
+
+def test_windows_are_not_exploded(spark):
+    erp = make_erp(spark, sales=[(1, "918-001", 3.0, "2026-07-01", None, SOUTH_WH)], arrivals=((1, "918-001", "C1", K.NORTH_PORT_ID, C),))
+    plan = W.demand_windows(erp, "2026-07-10", ("8_30", "30"), "2025-01-01", "2099-12-31")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(sample_start" not in plan and "LeftOuter" not in plan.split("_edge")[0]
