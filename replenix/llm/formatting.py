@@ -39,8 +39,9 @@ def windows(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role:
     ``history`` tokens (the system turn's not among them).  ``n_repeated`` turns at the
     front are repeated; ``targets`` has (start, length) in code points of the new
     assistant turns' texts in ``formatted``, so a repeated target is masked and each
-    assistant text counts once.  A turn over the budget has a window of its own and is
-    not cut.
+    assistant text counts once.  A turn that is over the budget together with the system
+    turn has a window of its own, without history, and is not cut: no other window is over
+    the budget.  The budget counts tokens (``TOKEN``) of the texts, not of the template.
 
     Null text and null role: empty.  A null conv_id is a conversation of its own, null
     orders come first.  Empty table: no rows.  Other columns are ignored.  A
@@ -57,8 +58,9 @@ def windows(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role:
     rows = rows.withColumn("sys", F.expr("if(turns[0].r = 'system', 1, 0)"))
     rows = rows.withColumn("sys_n", F.expr("if(sys = 1, turns[0].n, 0L)"))
     # Where windows begin.  The history before turn i begins at the first turn h >= sys
-    # with sums[i] - sums[h] <= history; room is what the budget leaves beside it.
-    back = f"array_min(filter(sequence(sys, i), h -> sums[i] - sums[h] <= {history}))"
+    # with sums[i] - sums[h] <= history and turn i in the budget beside it; room is what
+    # the budget leaves there.
+    back = f"coalesce(array_min(filter(sequence(sys, i), h -> sums[i] - sums[h] <= least({history}L, {budget}L - sys_n - turns[i].n))), i)"
     rows = rows.withColumn("plan", F.expr(f"""
         aggregate(sequence(0, size(turns) - 1),
           named_struct('spans', cast(array() as array<struct<first:int, from:int>>), 'first', 0, 'room', {budget}L),

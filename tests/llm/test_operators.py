@@ -164,7 +164,7 @@ def test_chat_round_trip_and_budget(spark):
         assert [tuple(t) for t in back[conv].turns] == own
         assert back[conv].loss == "".join(t for r, t in own if r == "assistant")
     for w in back[1].windows:
-        assert w.n_tokens <= 40 or w.window in (1,)  # turn 3 alone is over the budget
+        assert w.n_tokens <= 40 or (w.first_turn == 3 and w.n_repeated == 1)  # turn 3 and the system turn are over the budget
         assert w.window == 0 or w.formatted.startswith("<s>[INST:system]")
     assert "PythonUDF" not in made._jdf.queryExecution().toString() and "Arrow" not in made._jdf.queryExecution().toString()
     d = {r.conv_id: r for r in formatting.digest(df).collect()}
@@ -173,6 +173,45 @@ def test_chat_round_trip_and_budget(spark):
     assert formatting.windows(df.limit(0)).count() == 0
 
 
+def plain_windows(turns, budget, history):
+    """(first turn, repeated turns, tokens) of each window, turn by turn."""
+    n = [len(re.findall(formatting.TOKEN, t)) for _, t in turns]
+    sys = int(turns[0][0] == "system")
+    out, first, shown = [], 0, []
+    for i in range(len(turns) + 1):
+        if i == len(turns) or (i > first and sum(n[k] for k in shown) + n[i] > budget):
+            out.append((first, len(shown) - (i - first), sum(n[k] for k in shown)))
+            if i == len(turns):
+                return out
+            first, shown = i, list(range(min(sys, i)))
+            room = min(history, budget - sum(n[k] for k in shown) - n[i])
+            back = []
+            for k in range(i - 1, sys - 1, -1):
+                if sum(n[j] for j in back) + n[k] > room:
+                    break
+                back.insert(0, k)
+            shown += back
+        shown.append(i)
+
+
+def test_chat_windows_brute_force(spark):
+    import random
+    rng = random.Random(8)
+    convs = [[("system", "s " * 5), ("user", "u " * 30), ("user", "v " * 10), ("assistant", "a " * 35)]]
+    for _ in range(60):
+        convs.append([(("system" if rng.random() < 0.5 else "user") if i == 0 else rng.choice(["user", "assistant"]), "w " * rng.choice([0, 1, 3, 8, 20, 39, 60]))
+                      for i in range(rng.randint(1, 12))])
+    df = spark.createDataFrame([(c, i, r, t) for c, turns in enumerate(convs) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for budget, history in ((40, 10), (25, 100), (60, 0)):
+        got = {r.conv_id: r.windows for r in formatting.windows(df, budget=budget, history=history).collect()}
+        for c, turns in enumerate(convs):
+            assert [(w.first_turn, w.n_repeated, w.n_tokens) for w in got[c]] == plain_windows(turns, budget, history), (c, budget, history)
+            n = [len(re.findall(formatting.TOKEN, t)) for _, t in turns]
+            for w in got[c]:  # over the budget only with its new turn and the system turn alone
+                alone = n[w.first_turn] + (n[0] if turns[0][0] == "system" and w.first_turn else 0)
+                assert w.n_tokens <= budget or (w.n_tokens == alone and alone > budget)
+
+
 def test_mix(spark, nothing):
     docs = table(spark, SF, "documents").select("doc_id", F.when(F.col("source") != "src3", F.col("source")).alias("source"), F.regexp_count("text", F.lit(WORD)).alias("n"))
     got = mixing.mix(docs, size="n", group_rows=16, fan_in=2).collect()
