@@ -37,25 +37,26 @@ def byte_of() -> dict[str, int]:
 class Encoder:
     """Encodes whole texts with the file's vocabulary and merges.  An id of such a file
     is its merge's rank, so the faster ``tiktoken`` merges alike; the tests hold the
-    ids against those of ``tokenizers``.  Strings of special tokens inside a text
-    count as ordinary text."""
+    ids against those of ``tokenizers``.  Added tokens of the file (``<|endoftext|>``) are
+    one id wherever their string stands in a text, as that library has it."""
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
         byte = byte_of()
-        ranks = {bytes(byte[c] for c in piece): i for piece, i in vocab.items()}
-        self.bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        added = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
+        ranks = {bytes(byte[c] for c in piece): i for piece, i in file["model"]["vocab"].items() if piece not in added}
+        self.bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
         #: bytes of each id
-        self.width = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
-        for piece, i in ranks.items():
+        self.width = np.zeros(max([*ranks.values(), *added.values()], default=0) + 1, np.int64)
+        for piece, i in (ranks | {c.encode(): i for c, i in added.items()}).items():
             self.width[i] = len(piece)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of an Arrow column (null: none)."""
-        return [self.bpe.encode_to_numpy(t or "", disallowed_special=()).astype("<u4", copy=False) for t in texts.to_pylist()]
+        return [self.bpe.encode_to_numpy(t or "", allowed_special="all").astype("<u4", copy=False) for t in texts.to_pylist()]
 
 
 def encoder(path: str) -> Encoder:

@@ -43,11 +43,11 @@ def test_ids_are_those_of_the_vocabulary():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokens.vocabulary())
-    tok.encode_special_tokens = True
     enc = tokens.encoder(tokens.vocabulary())
     rng = random.Random(3)
     parts = ["a", "b", " ", "  ", "\n", " \n", "é", "日", "'s", "'", " the", "\t", ".", "1", "\x85", "\xa0", "　", "<|endoftext|>", "\x1c", "🙂", " 12"]
-    some = ["", " "] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    assert enc.encode(pa.array(["a <|endoftext|> b"]))[0].tolist() == [64, 220, 50256, 275]
+    some = ["", " ", "<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext|", "x<|endoftext|>y <|im_end|>"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     for t, got in zip(some, enc.encode(pa.array(some)), strict=True):
         assert got.tolist() == tok.encode(t, add_special_tokens=False).ids
         assert enc.width[got].sum() == len(t.encode())
