@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -70,7 +71,20 @@ def cut(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
         spark.conf.set(key, before)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    return made
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Free the disk of what has been read for the last time: the folders of tables that
+    ``cut`` wrote, and, by a collection in the driver, the shuffle files of jobs whose
+    results are written, which Spark deletes once nothing refers to them."""
+    for made in tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(made._scratch)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def crc_of(col: str) -> F.Column:
