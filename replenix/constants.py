@@ -89,5 +89,8 @@ NULL_MARKERS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-
 # FIXED VALUES: tokens that mean "empty" in a CSV cell (after trim + lower).
 EMPTY_TOKENS = ("", "nan", "nat", "none", "null")
 
+# between the column names of a file in the ``_header`` column; no name holds it
+HEADER_SEP = "\x1f"
+
 # FIXED VALUES: the "all" choice of a view filter.
 ALL_CHOICE = "全部"

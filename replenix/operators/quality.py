@@ -37,7 +37,7 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
 
 def _has_column(demand: DataFrame, name: str):
     """Whether a row's file has the column; without file headers, all have."""
-    return F.array_contains(F.split(F.col("_header"), ","), name) if "_header" in demand.columns else F.lit(True)
+    return F.array_contains(F.split(F.col("_header"), K.HEADER_SEP), name) if "_header" in demand.columns else F.lit(True)
 
 
 # J3

@@ -538,7 +538,7 @@ def _demand_files(spark, sf_dir) -> DataFrame:
     base = perf.select(
         "channel", F.col("sku").alias("Sku"), F.col("region").alias("Region"), win[F.col("variant")].alias("window"),
         F.when(F.col("variant") != "30", win[F.col("variant")]).alias("WindowType"),
-        F.when(F.col("variant") != "30", "Sku,Region,WindowType").otherwise("Sku,Region").alias("_header"),
+        F.when(F.col("variant") != "30", K.HEADER_SEP.join(("Sku", "Region", "WindowType"))).otherwise(K.HEADER_SEP.join(("Sku", "Region"))).alias("_header"),
         F.col("avg_main").cast("string").alias("AvgDailyDemand_3Checkins_Avg"))
     return base
 

@@ -28,6 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import scalar as S
 from ..operators.settings_ops import effective_settings
 from ..plans import replenishment as RP
+from ..session import cut_lineage
 from ..sinks import snapshots as SN
 from ..sinks import writers as WR
 from ..sources import channel_files as CF
@@ -102,9 +103,11 @@ def decisions_for(spark: SparkSession, root: str, channels: list[str], settings:
         dem = read_landing(spark, root, "demand", channels).select(
             "channel", "sku", "region", "window", S.parse_number("value").alias("value"))
     else:
-        stock = CF.read_stock(spark, root, channels)
-        po = CF.read_po(spark, root, channels)
-        dem = CF.demand_long(CF.read_demand(spark, root, channels))
+        # listed and looked into once for all five kinds
+        inputs = cut_lineage(CF.channel_inputs(spark, root, channels))
+        stock = CF.read_stock(spark, root, channels, inputs)
+        po = CF.read_po(spark, root, channels, inputs)
+        dem = CF.demand_long(CF.read_demand(spark, root, channels, inputs=inputs))
     return RP.replenishment(stock, po, dem, eff)
 
 

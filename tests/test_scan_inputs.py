@@ -172,3 +172,37 @@ def test_views_by_channel(spark):
         ("a", K.NORTH): True, ("a", K.SOUTH): False, ("b", K.NORTH): False, ("b", K.SOUTH): False}
     assert {r.channel: (r.rows, r.order_rows) for r in V.run_summary(df, by_channel=True).collect()} == {"a": (1, 1), "b": (3, 1)}
     assert V.run_summary(df.limit(0)).collect()[0].rows == 0
+
+
+def test_headers_by_csv_rules(spark, tmp_dir):
+    stock = '\ufeff"Sku","Name, long","Price ""Radar"" `x`","PriceRadarVolume","IsDiscontinued",SouthIslandStock,"NorthIslandStock"\nA,"n, m",1,0.5,0,3,4\n'
+    write_channel(tmp_dir, "a", F1_FILES | {"stock.csv": stock, "note.txt": "x"})
+    write_channel(tmp_dir, "b c", F1_FILES)
+    write_channel(tmp_dir, "d", F1_FILES | {"PO.csv": '"Sku,Region",QuantityOrdered,CheckinDate\n', "Sales 15.csv": ""})
+    os.remove(f"{tmp_dir}/d/Sales 30.csv")
+    rows = {(r.channel, r.file): r.header for r in CF.channel_inputs(spark, tmp_dir).collect()}
+    assert rows["a", "stock.csv"][:3] == ["Sku", "Name, long", 'Price "Radar" `x`'] and rows["a", "note.txt"] is None and len(rows) == 15
+    good, bad = CF.gate(spark, tmp_dir)
+    assert good == ["a", "b c"]
+    assert bad == [("d", "PO.csv lacks Sku, Region"), ("d", "Sales 15.csv lacks Sku, Region, AvgDailyDemand_3Checkins_Avg"), ("d", "Sales 30.csv is missing")]
+    wide = {r.channel: r for r in CF.read_stock(spark, tmp_dir, ["a", "b c"]).collect() if r.Sku in ("A", "SKU001")}
+    assert (wide["a"]["Name, long"], wide["a"]['Price "Radar" `x`'], wide["a"].SouthIslandStock) == ("n, m", "1", "3")
+    assert wide["b c"].Name == "Product A" and wide["b c"]["Name, long"] is None
+    assert CF.channel_inputs(spark, f"{tmp_dir}/none").count() == 0 and CF.gate(spark, f"file:{tmp_dir}", ["a", "x"])[0] == ["a"]
+
+
+def test_many_channels_pass_the_gate_in_one_job(spark, tmp_dir):
+    for i in range(300):
+        write_channel(tmp_dir, f"c{i:03}", {k: "Sku\n" if i == 7 and k == "PO.csv" else v for k, v in F1_FILES.items()})
+    tracker, before = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    assert CF.channel_inputs(spark, tmp_dir).count() == 1500
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before <= 3 and tracker
+    good, bad = CF.gate(spark, tmp_dir)
+    assert len(good) == 299 and bad == [("c007", "PO.csv lacks Region, QuantityOrdered, CheckinDate")]
+
+
+def test_headers_where_only_hadoop_opens_files(spark, tmp_dir, monkeypatch):
+    write_channel(tmp_dir, "a", F1_FILES)
+    want = sorted(map(str, CF.channel_inputs(spark, tmp_dir).collect()))
+    monkeypatch.setattr(CF, "_arrow_opens", lambda root: False)
+    assert sorted(map(str, CF.channel_inputs(spark, tmp_dir).collect())) == want
