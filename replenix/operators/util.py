@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from ..session import cut_lineage
 
 # A side is broadcast only when the optimizer's size estimate proves it small.  The
 # estimate of a scan is its compressed file size, so the limit leaves room for growth.
@@ -25,3 +26,13 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     if size is not None and size <= limit:
         return F.broadcast(df)
     return df
+
+
+def with_places(df: DataFrame, name: str = "place") -> DataFrame:
+    """The rows of an ordered frame with their places from 1 on.  Each partition's rows
+    are numbered where they lie; only the partitions' row counts meet, one row each."""
+    at = cut_lineage(df.withColumn("_i", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_i", 33), F.col("_i").bitwiseAND((1 << 33) - 1)
+    counts = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return at.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place + 1).drop("_part", "_before", "_i")

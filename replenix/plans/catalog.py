@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -22,10 +22,12 @@ from ..operators import sales as SL
 from ..operators import stock as ST
 from ..operators import views as V
 from ..operators import windows as W
-from ..operators.settings_ops import effective_settings, sync_settings
+from ..operators.settings_ops import effective_settings, settings_document, sync_settings, upsert_setting
+from ..operators.util import with_places
 from ..session import checkpoint_dir, cut_lineage
 from ..sinks import snapshots as SN
 from ..sinks import writers as WR
+from ..sources import channel_files as CF
 from ..sources.settings import settings_from_text
 from ..sources.testdata import AS_OF, SALES_FROM, SALES_TO, TpchAdapter, settings_json
 from ..streaming import scan as SC
@@ -677,17 +679,18 @@ REWRITTEN = ("903", "917")
 REWRITTEN_BY = 400
 
 
-def place_files(spark: SparkSession, df: DataFrame, folder: str, name: str) -> None:
-    """One CSV file ``<folder>/channel=<c>/<name>`` per channel, written over the old one."""
+def place_files(spark: SparkSession, df: DataFrame, folder: str, name: str, prefix: str = "channel=") -> None:
+    """One CSV file ``<folder>/<prefix><c>/<name>`` per channel, written over the old one."""
     aside = f"{scratch_dir(spark, 'place')}/files"
     df.repartition("channel").write.partitionBy("channel").option("header", True).csv(aside)
     src, dst = SN.Folder(spark, aside), SN.Folder(spark, folder)
     for part in src.names(""):
         if part.startswith("channel="):
-            dst.fs.mkdirs(dst.at(part))
+            to = prefix + part[len("channel="):]
+            dst.fs.mkdirs(dst.at(to))
             (file,) = [n for n in src.names(part) if n.endswith(".csv")]
-            dst.delete(f"{part}/{name}")
-            dst.fs.rename(src.at(f"{part}/{file}"), dst.at(f"{part}/{name}"))
+            dst.delete(f"{to}/{name}")
+            dst.fs.rename(src.at(f"{part}/{file}"), dst.at(f"{to}/{name}"))
 
 
 @register("rescan_rewritten", FULL_SQL.replace(
@@ -716,6 +719,124 @@ def q_rescan_rewritten(spark, sf_dir):
     return decisions_out(SN.read(spark, f"{scratch}/decisions"))
 
 
+# ---------------------------------------------------------------- orders made visible
+@register("default_order", O.decisions_sql(f"""
+SELECT ROW_NUMBER() OVER (ORDER BY CASE decision WHEN 'order' THEN 0 WHEN 'expedite' THEN 1 WHEN 'hold' THEN 2 ELSE 3 END, sku, region, channel) AS place,
+       channel, sku, region FROM {DEC}"""))
+def q_default_order(spark, sf_dir):
+    return with_places(D.default_order(decisions_df(spark, sf_dir))).select("place", "channel", "sku", "region")
+
+
+@register("demand_order", O.with_ctes(O.ADAPTER, O.SALES, O.window_ctes("8_30")) + """
+SELECT ROW_NUMBER() OVER (ORDER BY sku, region, checkin_date DESC) AS place, sku, region, checkin_date FROM fin_8_30""")
+def q_demand_order(spark, sf_dir):
+    df = W.window_report(adapter(spark, sf_dir).erp(), "8_30", AS_OF, SALES_FROM, SALES_TO)
+    return with_places(W.demand_order(df)).select("place", "sku", "region", "checkin_date")
+
+
+@register("sorted_places", O.decisions_sql(f"""
+SELECT RANK() OVER (ORDER BY daily_demand DESC NULLS LAST, sku) AS place, channel, sku, region FROM {DEC}"""))
+def q_sorted_places(spark, sf_dir):
+    """Rows that the two sort columns do not tell apart share their first place."""
+    df = with_places(V.sort_view(decisions_df(spark, sf_dir), "daily_demand", False, "sku", True))
+    return df.select(F.min("place").over(Window.partitionBy("daily_demand", "sku")).alias("place"), "channel", "sku", "region")
+
+
+# ---------------------------------------------------------------- one SKU, some channels
+@register("window_single_sku", O.window_sql("8_30") + " WHERE sku = (SELECT max(sku) FROM fin_8_30)")
+def q_window_single_sku(spark, sf_dir):
+    """The SKU is pushed into the product dimension."""
+    erp = adapter(spark, sf_dir).erp()
+    sku = W.window_report(erp, "8_30", AS_OF, SALES_FROM, SALES_TO).agg(F.max("sku")).first()[0]
+    return W.window_report(erp, "8_30", AS_OF, SALES_FROM, SALES_TO, sku=sku)
+
+
+SOME_CHANNELS = ("903", "911", "925")
+
+
+@register("window_channels", O.window_sql("15") + f" WHERE channel IN {O.in_list(SOME_CHANNELS)}")
+def q_window_channels(spark, sf_dir):
+    """Sales and restocks of other channels are dropped at their first join."""
+    return W.window_report(adapter(spark, sf_dir).erp(), "15", AS_OF, SALES_FROM, SALES_TO, channels=SOME_CHANNELS)
+
+
+# ---------------------------------------------------------------- input gate
+FILE_OF_WINDOW = {w: f for w, f in K.DEMAND_FILES}
+
+
+@register("input_gate", O.decision_ctes() + f"""
+, there AS (
+  SELECT DISTINCT channel, 'stock.csv' AS file FROM stock_file UNION SELECT DISTINCT channel, 'PO.csv' FROM po_file
+  UNION SELECT DISTINCT channel, 'Sales 8-30.csv' FROM kd_8_30 UNION SELECT DISTINCT channel, 'Sales 15.csv' FROM kd_15 WHERE CAST(channel AS INT) % 5 <> 1
+  UNION SELECT DISTINCT channel, 'Sales 30.csv' FROM kd_30)
+SELECT c.channel, f.file, f.file || CASE WHEN t.file IS NULL THEN ' is missing' WHEN f.file = 'stock.csv' THEN ' lacks PriceRadarVolume, IsDiscontinued'
+                                         ELSE ' lacks Sku, Region' END AS problem
+FROM channels c CROSS JOIN (VALUES {', '.join(f"('{x}')" for x in K.REQUIRED_FILES)}) f(file)
+LEFT JOIN there t ON t.channel = c.channel AND t.file = f.file
+WHERE t.file IS NULL OR (f.file = 'stock.csv' AND CAST(c.channel AS INT) % 5 = 2) OR (f.file = 'PO.csv' AND CAST(c.channel AS INT) % 5 = 3)""")
+def q_input_gate(spark, sf_dir):
+    """J1, J2 over channel folders: some lack a file, in some the stock file lacks two
+    columns, in some a quoted comma makes two columns of PO.csv one."""
+    td = adapter(spark, sf_dir)
+    root, fifth = f"{scratch_dir(spark, 'gate')}/channels", F.col("channel").cast("int") % 5
+    stock, po = td.stock_wide(), td.po_file()
+    place_files(spark, stock.filter(fifth != 2), root, "stock.csv", "")
+    place_files(spark, stock.filter(fifth == 2).drop("PriceRadarVolume", "IsDiscontinued"), root, "stock.csv", "")
+    place_files(spark, po.filter(fifth != 3), root, "PO.csv", "")
+    place_files(spark, po.filter(fifth == 3).withColumn("Sku,Region", F.concat_ws(",", "Sku", "Region")).drop("Sku", "Region"), root, "PO.csv", "")
+    for window, file in FILE_OF_WINDOW.items():
+        df = _demand_files(spark, sf_dir).filter(F.col("window") == window).select("channel", "Sku", "Region", "AvgDailyDemand_3Checkins_Avg")
+        place_files(spark, df.filter(fifth != 1) if file == "Sales 15.csv" else df, root, file, "")
+    return CF.input_problems(td.channels(), CF.channel_inputs(spark, root, CF.list_channels(spark, root)))
+
+
+# ---------------------------------------------------------------- warnings (J6), archive (K3), one setting (K6)
+@register("quality_report", O.decision_ctes() + """
+SELECT channel, 'window_type' AS check, 'Sales 15 WindowType=8-30, expected 15' AS message FROM (SELECT DISTINCT channel FROM kd_15) WHERE CAST(channel AS INT) % 4 = 1
+UNION ALL
+SELECT channel, 'same_demand', '8-30 and 30 demand identical'
+FROM kd_8_30 a LEFT JOIN kd_30 b USING (channel, sku, region)
+WHERE CAST(channel AS INT) % 4 = 2 OR b.channel IS NOT NULL GROUP BY channel
+HAVING COUNT(*) = COUNT(*) FILTER (WHERE round_even(a.value * 1e6, 0) = round_even(CASE WHEN CAST(channel AS INT) % 4 = 2 THEN a.value ELSE b.value END * 1e6, 0))""")
+def q_quality_report(spark, sf_dir):
+    """In some channels the 15 file carries the other file's WindowType, in some the
+    30 file is a copy of the 8-30 file's demand."""
+    files = _demand_files(spark, sf_dir)
+    fourth = F.col("channel").cast("int") % 4
+    wrong = F.when((fourth == 1) & (F.col("window") == "15"), F.lit("8-30")).otherwise(F.col("WindowType"))
+    own = files.filter((fourth != 2) | (F.col("window") != "30")).withColumn("WindowType", wrong)
+    copied = files.filter((fourth == 2) & (F.col("window") == "8-30")).withColumns({
+        "window": F.lit("30"), "WindowType": F.lit(None).cast("string"), "_header": F.lit(K.HEADER_SEP.join(("Sku", "Region")))})
+    return QC.quality_report(own.unionByName(copied))
+
+
+@register("archive_stamps", O.decisions_sql(f"""
+SELECT run_ts, channel, sku, region, CASE WHEN run_ts = 'a' AND channel = '{EMPTIED}' THEN 'again' ELSE decision END AS decision
+FROM {DEC} CROSS JOIN (VALUES ('a'), ('b')) t(run_ts)"""))
+def q_archive_stamps(spark, sf_dir):
+    """K3: two run stamps; one channel of the first is archived again."""
+    out = f"{scratch_dir(spark, 'archive')}/archive"
+    dec = decisions_df(spark, sf_dir).select("channel", "sku", "region", "decision")
+    for stamp in ("a", "b"):
+        WR.archive(dec, out, stamp)
+    WR.archive(dec.filter(F.col("channel") == EMPTIED).withColumn("decision", F.lit("again")), out, "a")
+    return spark.read.schema("sku string, region string, decision string, channel string, run_ts string").parquet(out)
+
+
+@register("settings_upsert", SETTINGS_SQL + """
+SELECT CAST(NULL AS VARCHAR) AS entry, 90::BIGINT AS lead_time, 30::BIGINT AS logistics_time
+UNION ALL
+SELECT channel, CASE WHEN channel IN ('901', '905') THEN 111 ELSE CAST(lead_time AS BIGINT) END,
+       CASE WHEN channel IN ('901', '905') THEN 11 ELSE CAST(logistics_time AS BIGINT) END FROM settings_eff""")
+def q_settings_upsert(spark, sf_dir):
+    """K6 after K5, through the document that K6 writes and the reader takes."""
+    synced = sync_settings(adapter(spark, sf_dir).channels(), settings_from_text(spark, settings_json()))
+    rows = spark.createDataFrame([("901", 111, 11, "x"), ("905", 111, 11, "x")], synced.schema)
+    text = settings_document(upsert_setting(synced, rows)).first()[0]
+    return settings_from_text(spark, text).select("entry", F.col("lead_time").cast("bigint").alias("lead_time"),
+                                                  F.col("logistics_time").cast("bigint").alias("logistics_time"))
+
+
 # ---------------------------------------------------------------- stock snapshots as JSON
 @register("snapshot_json", f"""
 WITH s AS (SELECT l_partkey % 12 AS kind, {O.sguid('l_suppkey')} AS g, '[{{"WarehouseId":"' || {O.sguid('l_suppkey')} || '"}}]' AS w FROM lineitem),
