@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +24,22 @@ RULES = {
 
 def binomial_tail(k: int, n: int, p: float) -> float:
     """P(X <= k) of a binomial; it is at most delta just where the exact (Clopper-Pearson)
-    upper bound of the rate at level delta is at most p."""
+    upper bound of the rate at level delta is at most p.
+
+    Below the mean the terms fall from k downwards, each by its ratio to the one above;
+    they are added until the rest no longer counts, some standard deviations down, so
+    the time grows with the root of n and not with k."""
     if n <= 0 or k >= n * p:
         return 1.0
-    each = (math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(int(k) + 1))
-    return min(1.0, math.fsum(math.exp(e) for e in each))
+    k = int(k)
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    total, term, i = 0.0, 1.0, k
+    while i >= 0 and term > 1e-18 * total:
+        at = np.arange(i, max(i - 4096, -1), -1, dtype=float)
+        below = term * np.cumprod(at * (1 - p) / ((n - at + 1) * p))
+        total += term + below[:-1].sum()
+        term, i = float(below[-1]), i - len(at)
+    return min(1.0, math.exp(first + math.log(total)))
 
 
 def upper_bound(k: int, n: int, delta: float) -> float:

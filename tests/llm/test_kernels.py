@@ -77,6 +77,11 @@ def test_binomial_bounds():
         plain = sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1))
         assert rules.binomial_tail(k, n, p) == pytest.approx(1.0 if k >= n * p else plain)
     assert rules.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** 0.01)
+    logs = lambda n, i, p: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    for n, k, p in ((20_000, 240, 0.0125), (20_000, 17_900, 0.9), (300_000, 3_500, 0.0125)):  # more terms than one step adds
+        assert rules.binomial_tail(k, n, p) == pytest.approx(math.fsum(math.exp(logs(n, i, p)) for i in range(k + 1)), rel=1e-9)
+    # as many rows as a corpus has: near the normal limit, and in root time
+    assert rules.binomial_tail(12_490_000, 10 ** 9, 0.0125) == pytest.approx(0.00221, rel=2e-2)
     assert rules.upper_bound(0, 0, 0.05) == 1.0
 
 
