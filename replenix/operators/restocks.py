@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import predicates as P
 from ..functions import scalar as S
+from ..session import cut_lineage
 from ..sources.erp import Erp
 from .util import broadcast_if_small
 
+
 def _any_prefix(channels: Sequence[str]):
     """A8 for restocks: ``Sku LIKE 'prefix%'`` for any of the channels."""
     return reduce(operator.or_, [F.col("Sku").startswith(c) for c in channels])
@@ -30,14 +32,17 @@ def po_arrivals(erp: Erp, channels: Sequence[str] | None = None) -> DataFrame:
     """D3: PurchaseOrders ⋈ Lines ⋈ Products ⟕ Containers, made inner by C3.
 
     A container carries no line id, so every line of a PO is credited with
-    every arrived container of that PO (as the source system does)."""
+    every arrived container of that PO (as the source system does).  The lines of a PO
+    with very many are dealt over parts that each have the PO's containers
+    (``deal_hot_orders``), so no task lists a large PO's events alone."""
     products = broadcast_if_small(erp.products.withColumnRenamed("Id", "ProductId"))
     lines = erp.purchase_order_lines.join(products, "ProductId")
     if channels is not None:
         lines = lines.filter(_any_prefix(channels))  # LIKE 'prefix%'
     po = erp.purchase_orders.withColumnRenamed("Id", "PurchaseOrderId")
     cont = erp.containers.filter(P.arrived("ActualArrivingDate"))  # C3: the left join becomes inner
-    df = po.join(lines, "PurchaseOrderId").join(cont, "PurchaseOrderId", "left").filter(P.arrived("ActualArrivingDate"))
+    lines, cont = deal_hot_orders(lines, cont)
+    df = po.join(lines, "PurchaseOrderId").join(cont, ["PurchaseOrderId", "_part"])
     return df.select(
         S.channel_of("Sku").alias("channel"), F.col("Sku").alias("sku"),
         S.region_of_port("ShippedtoportId").alias("region"),
@@ -49,6 +54,28 @@ def po_arrivals(erp: Erp, channels: Sequence[str] | None = None) -> DataFrame:
         F.lit(None).cast("string").alias("transfer_type"))
 
 
+#: lines of a PO in one part, and hot POs that are broadcast at most (16 bytes each)
+LINES_IN_PART, MOST_HOT = 2_000, 500_000
+
+
+def deal_hot_orders(lines: DataFrame, containers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_part``: a PO of more than LINES_IN_PART lines has its lines dealt
+    over as many parts as that takes, and its containers repeated in each; others have
+    part 0.  The hot POs are found by a count that is combined before its shuffle; there
+    is at most one for LINES_IN_PART lines, and they are broadcast if there are at most MOST_HOT."""
+    hot = lines.groupBy("PurchaseOrderId").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LINES_IN_PART)
+    hot = cut_lineage(hot.select("PurchaseOrderId", F.ceil(F.col("_n") / LINES_IN_PART).cast("int").alias("_parts")))
+    n = hot.count()
+    if not n:
+        return lines.withColumn("_part", F.lit(0)), containers.withColumn("_part", F.lit(0))
+    hot = F.broadcast(hot) if n <= MOST_HOT else hot
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = lines.withColumn("_line", F.monotonically_increasing_id()).join(hot, "PurchaseOrderId", "left") \
+        .withColumn("_part", F.pmod(F.xxhash64("_line"), parts).cast("int")).drop("_line", "_parts")
+    repeated = containers.join(hot, "PurchaseOrderId", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt, repeated
+
+
 def transfers_in(erp: Erp, channels: Sequence[str] | None = None) -> DataFrame:
     """Transfers ⋈ Products ⟕ Warehouses (source) ⟕ Warehouses (target),
     made inner by the route filter C4.  The transfer-type filter (C5) differs

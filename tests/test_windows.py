@@ -189,3 +189,24 @@ def test_windows_are_not_exploded(spark):
     erp = make_erp(spark, sales=[(1, "918-001", 3.0, "2026-07-01", None, SOUTH_WH)], arrivals=((1, "918-001", "C1", K.NORTH_PORT_ID, C),))
     plan = W.demand_windows(erp, "2026-07-10", ("8_30", "30"), "2025-01-01", "2099-12-31")._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(sample_start" not in plan and "LeftOuter" not in plan.split("_edge")[0]
+
+
+def test_events_of_a_large_order_are_dealt(spark, monkeypatch):
+    """One PO of 3,000 lines and 40 containers among small ones: the same events, and no
+    task that lists them alone."""
+    skus = [f"918-{i:04}" for i in range(3_000)]
+    erp = make_erp(spark, skus=skus, arrivals=[(1, skus[0], f"C{i:02}", K.NORTH_PORT_ID, C) for i in range(40)] + [(p, skus[p], "D", K.NORTH_PORT_ID, C) for p in range(2, 40)])
+    lines = spark.range(1, 3_001).select(F.lit(1).cast("long").alias("PurchaseOrderId"), F.col("id").alias("ProductId"))
+    erp = erp.__class__(**{**erp.__dict__, "purchase_order_lines": erp.purchase_order_lines.filter("PurchaseOrderId > 1").unionByName(lines).repartition(8)})
+    cols = ["sku", "region", "checkin_date", "container_number", "po_code"]
+    plain = sorted(map(str, R.po_arrivals(erp).select(*cols).collect()))  # below the limit: not dealt
+    assert len(plain) == 3_000 * 40 + 38
+    monkeypatch.setattr(R, "LINES_IN_PART", 100)
+    assert sorted(map(str, R.po_arrivals(erp).select(*cols).collect())) == plain
+    dealt, repeated = R.deal_hot_orders(erp.purchase_order_lines, erp.containers)
+    sizes = {(r.PurchaseOrderId, r._part): r["count"] for r in dealt.groupBy("PurchaseOrderId", "_part").count().collect()}
+    big = [n for (po, _), n in sizes.items() if po == 1]
+    assert len(big) == 30 and max(big) <= 2 * 100 and all(part == 0 for po, part in sizes if po != 1)
+    assert {(r.PurchaseOrderId, r["count"]) for r in repeated.groupBy("PurchaseOrderId").count().collect()} >= {(1, 30 * 40), (2, 1)}
+    monkeypatch.setattr(R, "MOST_HOT", 0)  # more of them than are broadcast
+    assert sorted(map(str, R.po_arrivals(erp).select(*cols).collect())) == plain
