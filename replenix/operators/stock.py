@@ -26,9 +26,12 @@ def image_url(df: DataFrame, base: str = K.IMAGE_BASE) -> DataFrame:
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: str = ORDER_COL) -> DataFrame:
-    """The first row of each key in file order (``order`` column)."""
+    """The first row of each key in file order (``order`` column); of a frame that
+    knows no order, the least row, so that reruns agree."""
     if order not in df.columns:
-        return df.dropDuplicates(list(keys))
+        rest = [c for c in df.columns if c not in keys]
+        least = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")) if rest else df.distinct()
+        return least.select(*keys, "_r.*").select(*df.columns) if rest else least
     w = Window.partitionBy(*keys).orderBy(F.col(order).asc())
     return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k")
 
