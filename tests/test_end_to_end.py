@@ -20,7 +20,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = ("part", "supplier", "orders", "lineitem", "nation", "region")
 PARITY = ("daily_sales", "restock_events", "window_8_30", "window_15", "window_30", "window_diagnostic", "explanations",
           "reconcile_sales", "stock_long", "open_po", "decisions", "container_check", "top_urgent",
-          "family_filter_fallback", "settings_effective", "quality_same_demand")
+          "family_filter_fallback", "settings_effective", "quality_same_demand", "snapshot_json", "input_gate", "rescan_rewritten",
+          "demand_order", "quality_report")
 
 
 def _norm(rows, cols):
