@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import predicates as P
 from ..functions import scalar as S
-from .util import broadcast_if_small
+from .util import DEAL, broadcast_if_small
 
 KEY = ("channel", "sku", "region")
 DEMAND_COLS = {"8-30": "demand_8_30", "15": "demand_15", "30": "demand_30"}
@@ -68,7 +68,7 @@ def assemble(stock: DataFrame, po_rows: DataFrame, demand: DataFrame) -> DataFra
               demand_30=F.col("demand_30")),
     ]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    g = u.groupBy(*KEY).agg(
+    g = u.groupBy(*DEAL).agg(  # texts are aggregated by a sort
         F.max("on_hand").alias("on_hand"), F.max("unit_volume").alias("unit_volume"),
         F.max("is_discontinued").alias("is_discontinued"), F.max("name").alias("name"),
         F.max("product_family").alias("product_family"), F.max("image_url").alias("image_url"),

@@ -16,7 +16,7 @@ from ..functions import predicates as P
 from ..functions import scalar as S
 from ..session import cut_lineage
 from ..sources.erp import Erp
-from .util import broadcast_if_small
+from .util import DEAL, broadcast_if_small
 
 
 def _any_prefix(channels: Sequence[str]):
@@ -106,7 +106,7 @@ def transfers_in(erp: Erp, channels: Sequence[str] | None = None) -> DataFrame:
         F.col("TransferType").cast("string").alias("transfer_type"))
 
 
-def restock_day_counts(erp: Erp, with_transfers: bool = True, channels: Sequence[str] | None = None) -> DataFrame:
+def restock_day_counts(erp: Erp, with_transfers: bool = True, channels: Sequence[str] | None = None, by_key: bool = False) -> DataFrame:
     """Restock events counted per (channel, sku, region, day) and class, without
     materialising line x container pairs: PO lines are counted per (PO, SKU),
     arrived containers per (PO, region, day); the two aggregates are joined on
@@ -115,7 +115,8 @@ def restock_day_counts(erp: Erp, with_transfers: bool = True, channels: Sequence
     containers (and AQE splits a hot PO's join partition).
 
     Columns: n_po (PO events), n_tnull (transfers of null type), n_tkept
-    (transfers of a type other than 'Order')."""
+    (transfers of a type other than 'Order').  ``by_key`` deals the rows by key before
+    they are counted, so a window over the key that follows needs no exchange."""
     products = broadcast_if_small(erp.products.withColumnRenamed("Id", "ProductId"))
     lines = erp.purchase_order_lines.join(products, "ProductId")
     if channels is not None:
@@ -137,6 +138,7 @@ def restock_day_counts(erp: Erp, with_transfers: bool = True, channels: Sequence
                      F.col("transfer_type").isNull().cast("bigint").alias("n_tnull"),
                      P.not_order_type("transfer_type", keep_null=False).cast("bigint").alias("n_tkept"))
         po = po.unionByName(t.filter((F.col("n_tnull") + F.coalesce("n_tkept", F.lit(0))) > 0).na.fill(0))
+    po = po.repartition(*DEAL) if by_key else po
     return (po.groupBy("channel", "sku", "region", "checkin_date")
             .agg(F.sum("n_po").alias("n_po"), F.sum("n_tnull").alias("n_tnull"), F.sum("n_tkept").alias("n_tkept")))
 

@@ -14,7 +14,7 @@ from .. import constants as K
 from ..functions import predicates as P
 from ..functions import scalar as S
 from ..sources.erp import Erp
-from .util import BROADCAST_LIMIT_BYTES, broadcast_if_small, plan_size_bytes
+from .util import BROADCAST_LIMIT_BYTES, DEAL, broadcast_if_small, plan_size_bytes
 
 
 #: copies of the warehouse relation where it is too large, or of unknown size, to broadcast
@@ -70,10 +70,11 @@ def sold_between(policy: str, date_from: str, date_to: str | None) -> Column:
 
 def sales_lines(erp: Erp, policies: Sequence[str] = ("paid",), date_from: str = K.SALES_FROM,
                 date_to: str | None = K.SALES_TO, channels: Sequence[str] | None = None,
-                excluded: Sequence[str] = K.EXCLUDED_WAREHOUSES) -> DataFrame:
+                excluded: Sequence[str] = K.EXCLUDED_WAREHOUSES, by_key: bool = False) -> DataFrame:
     """Sale lines with one row per requested date policy (B3) and the policy's
     own date filter (C1): ``paid`` uses ``between(date_from, date_to)`` on
-    coalesce(paid, created); ``created`` uses ``created >= date_from``."""
+    coalesce(paid, created); ``created`` uses ``created >= date_from``.  ``by_key`` deals
+    each line once, by its key, before it becomes a row per policy."""
     conds = [sold_between(p, date_from, date_to if p == "paid" else None) for p in policies]
     # the union of the date filters goes to the Orders scan before joining
     erp_f = Erp(**{**erp.__dict__, "orders": erp.orders.filter(reduce(operator.or_, conds))})
@@ -84,20 +85,24 @@ def sales_lines(erp: Erp, policies: Sequence[str] = ("paid",), date_from: str =
         F.struct(F.lit(p).alias("policy"), S.sale_date("PaidDateUtc", "DateCreatedUtc", p).alias("order_date"),
                  c.alias("_keep"))
         for p, c in zip(policies, conds)])
-    out = (df.select(S.channel_of("Sku").alias("channel"), F.col("Sku").alias("sku"), "region",
-                     F.col("Quantity").alias("qty"), F.explode(dated).alias("_d"))
+    df = df.select(S.channel_of("Sku").alias("channel"), F.col("Sku").alias("sku"), "region",
+                   F.col("Quantity").alias("qty"), "PaidDateUtc", "DateCreatedUtc")
+    df = df.repartition(*DEAL) if by_key else df
+    out = (df.select("channel", "sku", "region", "qty", F.explode(dated).alias("_d"))
            .filter(F.col("_d._keep"))
            .select("_d.policy", "channel", "sku", "region", "_d.order_date", "qty"))
     return out
 
 
 def daily_sales(erp: Erp, policies: Sequence[str] = ("paid",), date_from: str = K.SALES_FROM,
-                date_to: str | None = K.SALES_TO, channels: Sequence[str] | None = None) -> DataFrame:
+                date_to: str | None = K.SALES_TO, channels: Sequence[str] | None = None, by_key: bool = False) -> DataFrame:
     """``SUM(Quantity)`` per (policy, channel, sku, region, order_date).
 
     Partial aggregation runs before the shuffle, so a hot SKU is reduced to at
-    most one row per day and task before it moves."""
-    lines = sales_lines(erp, policies, date_from, date_to, channels)
+    most one row per day and task before it moves.  With ``by_key`` the lines move
+    once, by key, and are summed there: a hash aggregate of at most one row a day,
+    which leaves the rows dealt as the windows over the key need them."""
+    lines = sales_lines(erp, policies, date_from, date_to, channels, by_key=by_key)
     return (lines.groupBy("policy", "channel", "sku", "region", "order_date")
             .agg(F.sum("qty").alias("daily_qty")))
 

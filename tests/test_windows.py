@@ -210,3 +210,22 @@ def test_events_of_a_large_order_are_dealt(spark, monkeypatch):
     assert {(r.PurchaseOrderId, r["count"]) for r in repeated.groupBy("PurchaseOrderId").count().collect()} >= {(1, 30 * 40), (2, 1)}
     monkeypatch.setattr(R, "MOST_HOT", 0)  # more of them than are broadcast
     assert sorted(map(str, R.po_arrivals(erp).select(*cols).collect())) == plain
+
+
+def test_days_ranked_in_one_pass_by_key(spark):
+    """The newest events of all variants are those of the event list, and the rows of a
+    key move twice at most: its events and its sales."""
+    days = ["2001-01-05", "2001-01-05", "2001-02-01", "2001-03-01", "2001-04-01", "2001-05-01"]
+    erp = make_erp(spark, skus=("918-001", "918-002"), sales=[(1, "918-001", 2, "2001-03-05", None, SOUTH_WH)],
+                   arrivals=[(i, f"918-00{1 + i % 2}", f"C{i}-{n}", K.SOUTH_PORT_ID, x) for i, x in enumerate(days) for n in range(1 + i % 3)],
+                   transfers=[(f"T{i}", "918-001", x, kind) for i, (x, kind) in enumerate([("2001-05-02", None), ("2001-05-03", "Order"), ("2001-04-20", "Move"), ("2001-04-20", None)])])
+    every = tuple(W.SPECS)
+    listed = R.rank_restocks(W.variant_events(erp, every), partition=(*W.VARIANT, *W.KEY))
+    rows = lambda df: sorted(map(str, df.select("variant", "policy", *W.KEY, "checkin_date", "rn").collect()))
+    assert rows(W.ranked_day_events(erp, every)) == rows(listed)
+    for v in ("po_only", "30"):
+        one = R.rank_restocks(W.variant_events(erp, (v,)), partition=(*W.VARIANT, *W.KEY))
+        assert rows(W.ranked_day_events(erp, (v,))) == rows(one)
+    demand = W.key_demand(W.demand_windows(erp, "2001-06-30", with_refs=False), ("8_30", "15", "30"))
+    plan = demand._jdf.queryExecution().executedPlan().toString().lower()
+    assert sum("exchange hashpartitioning(" in line and "sku#" in line and "region#" in line for line in plan.splitlines()) == 2, plan
