@@ -816,7 +816,7 @@ FROM {DEC} CROSS JOIN (VALUES ('a'), ('b')) t(run_ts)"""))
 def q_archive_stamps(spark, sf_dir):
     """K3: two run stamps; one channel of the first is archived again."""
     out = f"{scratch_dir(spark, 'archive')}/archive"
-    dec = decisions_df(spark, sf_dir).select("channel", "sku", "region", "decision")
+    dec = cut_lineage(decisions_df(spark, sf_dir).select("channel", "sku", "region", "decision"))  # written three times
     for stamp in ("a", "b"):
         WR.archive(dec, out, stamp)
     WR.archive(dec.filter(F.col("channel") == EMPTIED).withColumn("decision", F.lit("again")), out, "a")

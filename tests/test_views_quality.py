@@ -93,3 +93,27 @@ def test_view_and_totals(spark, result):
     assert [r.sku for r in v.collect()] == ["B", "A"]
     t = V.totals(result).collect()[0]
     assert (t.rows, t.order_rows, t.north_order_volume, t.north_bookable) == (4, 2, 70.0, True)
+
+
+def test_same_demand_reads_the_files_once(spark, tmp_dir):
+    rows = [("903", "a", "x", "8-30", "1.0"), ("903", "a", "x", "30", "1.0000001"), ("903", "b", "x", "8-30", None), ("903", "b", "x", "30", None),
+            ("904", "a", "x", "8-30", "2"), ("904", "a", "y", "30", "2"), ("905", "a", None, "8-30", "2"), ("905", "a", None, "30", "2")]
+    spark.createDataFrame(rows, "channel string, Sku string, Region string, window string, AvgDailyDemand_3Checkins_Avg string").write.parquet(f"{tmp_dir}/d")
+    got = QC.same_demand_status(spark.read.parquet(f"{tmp_dir}/d"))
+    assert [tuple(r) for r in got.collect()] == [("903", 2, 1, False)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("relation [") == 1
+
+
+def test_results_written_or_checked_several_times_are_made_once(spark, monkeypatch):
+    """The decisions that the archive writes, and the demand that the checks and the gate
+    read, are materialised: what is computed from them scans no input again."""
+    from replenix.plans import catalog as C
+    from replenix.sinks import writers as WR
+    scans = []
+    monkeypatch.setattr(C.WR, "archive", lambda df, *a, fn=WR.archive: (scans.append(df), fn(df, *a))[1])
+    monkeypatch.setattr(C.QC, "quality_report", lambda df, fn=QC.quality_report: (scans.append(df), fn(df))[1])
+    for name in ("archive_stamps", "quality_report"):
+        C.queries()[name](spark, "/root/testdata/sf0.001").count()
+    assert len(scans) == 4
+    for df in scans:
+        assert "parquet" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
