@@ -801,7 +801,7 @@ HAVING COUNT(*) = COUNT(*) FILTER (WHERE round_even(a.value * 1e6, 0) = round_ev
 def q_quality_report(spark, sf_dir):
     """In some channels the 15 file carries the other file's WindowType, in some the
     30 file is a copy of the 8-30 file's demand."""
-    files = _demand_files(spark, sf_dir)
+    files = cut_lineage(_demand_files(spark, sf_dir))  # the checks read it several times
     fourth = F.col("channel").cast("int") % 4
     wrong = F.when((fourth == 1) & (F.col("window") == "15"), F.lit("8-30")).otherwise(F.col("WindowType"))
     own = files.filter((fourth != 2) | (F.col("window") != "30")).withColumn("WindowType", wrong)
