@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import scalar as S
-from .stock import ORDER_COL, first_per
+from .stock import ORDER_COL
 
 DIAG_COLUMNS = ("SampleStart", "SampleDays", "SampleQty")
 
@@ -58,21 +58,20 @@ def window_type_status(demand: DataFrame, expected: dict[str, str] | None = None
     return g.withColumn("warn", (F.col("distinct_values") == 1) & ~F.col("value").isin("") & (F.col("value") != exp))
 
 
-def _first_demand(demand: DataFrame, window: str) -> DataFrame:
-    d = demand.filter(F.col("window") == window).select(
-        "channel", F.col("Sku").alias("sku"), F.col("Region").alias("region"),
-        S.round6("AvgDailyDemand_3Checkins_Avg").alias("v"), *([ORDER_COL] if ORDER_COL in demand.columns else []))
-    return first_per(d, ["channel", "sku", "region"])
-
-
 # J4
 def same_demand_status(demand: DataFrame) -> DataFrame:
     """Per channel: keys common to the 8-30 and 30 files and whether their
     demand (rounded to 6) is equal on every one of them (null is unequal).
-    ``warn`` needs at least one common key."""
-    a = _first_demand(demand, "8-30").withColumnRenamed("v", "v8")
-    b = _first_demand(demand, "30").withColumnRenamed("v", "v30")
-    j = a.drop(ORDER_COL).join(b.drop(ORDER_COL), ["channel", "sku", "region"])
+    ``warn`` needs at least one common key.
+
+    The first row of a key (E16) in either file is a minimum by file order (of a frame
+    that knows none, by value), so both come from one pass over the demand."""
+    first = F.struct(*([ORDER_COL] if ORDER_COL in demand.columns else []), S.round6("AvgDailyDemand_3Checkins_Avg").alias("v"))
+    keys = demand.filter(F.col("window").isin("8-30", "30")).select(F.col("Sku").alias("sku"), F.col("Region").alias("region"), "channel", "window", first.alias("_r"))
+    j = keys.groupBy("sku", "region", "channel").agg(*[F.min(F.when(F.col("window") == w, F.col("_r"))).alias(a) for w, a in (("8-30", "_a"), ("30", "_b"))])
+    # a join of the two files would not meet on a null key either
+    j = j.filter("_a IS NOT NULL AND _b IS NOT NULL AND sku IS NOT NULL AND region IS NOT NULL AND channel IS NOT NULL")
+    j = j.select("channel", F.col("_a.v").alias("v8"), F.col("_b.v").alias("v30"))
     g = j.groupBy("channel").agg(F.count(F.lit(1)).alias("common_keys"),
                                  F.count(F.when(F.col("v8") == F.col("v30"), F.lit(1))).alias("equal_keys"))
     return g.withColumn("warn", (F.col("common_keys") > 0) & (F.col("common_keys") == F.col("equal_keys")))
