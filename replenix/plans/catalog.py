@@ -786,6 +786,7 @@ def q_input_gate(spark, sf_dir):
     place_files(spark, po.filter(fifth == 3).withColumn("Sku,Region", F.concat_ws(",", "Sku", "Region")).drop("Sku", "Region"), root, "PO.csv", "")
     for window, file in FILE_OF_WINDOW.items():
         df = _demand_files(spark, sf_dir).filter(F.col("window") == window).select("channel", "Sku", "Region", "AvgDailyDemand_3Checkins_Avg")
+    demand = cut_lineage(_demand_files(spark, sf_dir).select("window", "channel", "Sku", "Region", "AvgDailyDemand_3Checkins_Avg"))
         place_files(spark, df.filter(fifth != 1) if file == "Sales 15.csv" else df, root, file, "")
     return CF.input_problems(td.channels(), CF.channel_inputs(spark, root, CF.list_channels(spark, root)))
 
