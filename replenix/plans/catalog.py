@@ -724,7 +724,8 @@ def q_rescan_rewritten(spark, sf_dir):
 SELECT ROW_NUMBER() OVER (ORDER BY CASE decision WHEN 'order' THEN 0 WHEN 'expedite' THEN 1 WHEN 'hold' THEN 2 ELSE 3 END, sku, region, channel) AS place,
        channel, sku, region FROM {DEC}"""))
 def q_default_order(spark, sf_dir):
-    return with_places(D.default_order(decisions_df(spark, sf_dir))).select("place", "channel", "sku", "region")
+    dec = decisions_df(spark, sf_dir).select("priority", "sku", "region", "channel")
+    return with_places(D.default_order(dec)).select("place", "channel", "sku", "region")
 
 
 @register("demand_order", O.with_ctes(O.ADAPTER, O.SALES, O.window_ctes("8_30")) + """
@@ -738,7 +739,8 @@ def q_demand_order(spark, sf_dir):
 SELECT RANK() OVER (ORDER BY daily_demand DESC NULLS LAST, sku) AS place, channel, sku, region FROM {DEC}"""))
 def q_sorted_places(spark, sf_dir):
     """Rows that the two sort columns do not tell apart share their first place."""
-    df = with_places(V.sort_view(decisions_df(spark, sf_dir), "daily_demand", False, "sku", True))
+    dec = decisions_df(spark, sf_dir).select("daily_demand", "sku", "region", "channel")
+    df = with_places(V.sort_view(dec, "daily_demand", False, "sku", True))
     return df.select(F.min("place").over(Window.partitionBy("daily_demand", "sku")).alias("place"), "channel", "sku", "region")
 
 
