@@ -491,8 +491,7 @@ OVERRIDE_LEAD, OVERRIDE_LOG = 200, 60
 
 def _accumulated(spark, sf_dir) -> DataFrame:
     td = adapter(spark, sf_dir)
-    erp = td.erp()
-    dem = RP.demand(erp, AS_OF, date_from=SALES_FROM, date_to=SALES_TO)
+    dem = cut_lineage(_demand(td))  # both results read it, each with filters of its own
     base = RP.replenishment(td.stock_wide(), td.po_file(), dem, settings(spark, td))
     ovr = spark.createDataFrame([(c, OVERRIDE_LEAD, OVERRIDE_LOG) for c in OVERRIDE_CHANNELS],
                                 "channel string, lead_time int, logistics_time int")
@@ -501,6 +500,7 @@ def _accumulated(spark, sf_dir) -> DataFrame:
     new = RP.replenishment(td.stock_wide().filter(F.col("channel").isin(*OVERRIDE_CHANNELS)),
                            td.po_file().filter(F.col("channel").isin(*OVERRIDE_CHANNELS)),
                            dem.filter(F.col("channel").isin(*OVERRIDE_CHANNELS)), eff)
+    new = cut_lineage(new)  # read for its rows and for its channels
     return WR.replace_channels(base, new)
 
 
@@ -786,9 +786,9 @@ def q_input_gate(spark, sf_dir):
     place_files(spark, stock.filter(fifth == 2).drop("PriceRadarVolume", "IsDiscontinued"), root, "stock.csv", "")
     place_files(spark, po.filter(fifth != 3), root, "PO.csv", "")
     place_files(spark, po.filter(fifth == 3).withColumn("Sku,Region", F.concat_ws(",", "Sku", "Region")).drop("Sku", "Region"), root, "PO.csv", "")
-    for window, file in FILE_OF_WINDOW.items():
-        df = _demand_files(spark, sf_dir).filter(F.col("window") == window).select("channel", "Sku", "Region", "AvgDailyDemand_3Checkins_Avg")
     demand = cut_lineage(_demand_files(spark, sf_dir).select("window", "channel", "Sku", "Region", "AvgDailyDemand_3Checkins_Avg"))
+    for window, file in FILE_OF_WINDOW.items():
+        df = demand.filter(F.col("window") == window).drop("window")
         place_files(spark, df.filter(fifth != 1) if file == "Sales 15.csv" else df, root, file, "")
     return CF.input_problems(td.channels(), CF.channel_inputs(spark, root, CF.list_channels(spark, root)))
 
