@@ -16,7 +16,7 @@ from ..functions import predicates as P
 from ..functions import scalar as S
 from ..session import cut_lineage
 from ..sources.erp import Erp
-from .util import DEAL, broadcast_if_small
+from .util import broadcast_if_small, deal
 
 
 def _any_prefix(channels: Sequence[str]):
@@ -138,7 +138,7 @@ def restock_day_counts(erp: Erp, with_transfers: bool = True, channels: Sequence
                      F.col("transfer_type").isNull().cast("bigint").alias("n_tnull"),
                      P.not_order_type("transfer_type", keep_null=False).cast("bigint").alias("n_tkept"))
         po = po.unionByName(t.filter((F.col("n_tnull") + F.coalesce("n_tkept", F.lit(0))) > 0).na.fill(0))
-    po = po.repartition(*DEAL) if by_key else po
+    po = deal(po) if by_key else po
     return (po.groupBy("channel", "sku", "region", "checkin_date")
             .agg(F.sum("n_po").alias("n_po"), F.sum("n_tnull").alias("n_tnull"), F.sum("n_tkept").alias("n_tkept")))
 

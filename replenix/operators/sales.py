@@ -14,7 +14,7 @@ from .. import constants as K
 from ..functions import predicates as P
 from ..functions import scalar as S
 from ..sources.erp import Erp
-from .util import BROADCAST_LIMIT_BYTES, DEAL, broadcast_if_small, plan_size_bytes
+from .util import BROADCAST_LIMIT_BYTES, broadcast_if_small, deal, plan_size_bytes
 
 
 #: copies of the warehouse relation where it is too large, or of unknown size, to broadcast
@@ -87,7 +87,7 @@ def sales_lines(erp: Erp, policies: Sequence[str] = ("paid",), date_from: str =
         for p, c in zip(policies, conds)])
     df = df.select(S.channel_of("Sku").alias("channel"), F.col("Sku").alias("sku"), "region",
                    F.col("Quantity").alias("qty"), "PaidDateUtc", "DateCreatedUtc")
-    df = df.repartition(*DEAL) if by_key else df
+    df = deal(df) if by_key else df
     out = (df.select("channel", "sku", "region", "qty", F.explode(dated).alias("_d"))
            .filter(F.col("_d._keep"))
            .select("_d.policy", "channel", "sku", "region", "_d.order_date", "qty"))

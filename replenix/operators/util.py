@@ -15,6 +15,14 @@ BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 DEAL = ("sku", "region", "channel")
 
 
+def deal(df: DataFrame) -> DataFrame:
+    """The rows dealt by key over all shuffle partitions.  The count is named, so that it is
+    kept at run time: a task of the stages that follow holds a key's rows in several
+    aggregates at once, and parts put together until their shuffle files fill 64 MB are too
+    large for them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *DEAL)
+
+
 def plan_size_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan (file sizes for scans), without running a job."""
     plan = getattr(df, "_jdf", None)  # Spark Connect has none

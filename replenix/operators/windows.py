@@ -3,12 +3,14 @@
 
 All variants that are asked for run in one plan: each restock event is
 exploded into one row per variant (a generator, not a join), so the sales scan,
-the daily aggregate and the running sums are shared."""
+the daily aggregate and the join on the key are shared."""
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,32 +233,28 @@ def checkin_windows(ranked: DataFrame, as_of: str | None, variants: Sequence[str
 
 
 def window_sums(windows: DataFrame, daily: DataFrame, counted: Sequence[Column]) -> DataFrame:
-    """The daily sales of each window's key and policy over its days, as the
-    difference of two running sums.
-
-    A window sends two edges, the day before it and its last day, among the key's daily
-    rows; one running window over (policy, key) by day gives every edge the sums so far,
-    and the edges of a window are subtracted.  So a window costs two rows whatever its
-    length, nothing is joined, and the one exchange on (policy, key) also serves the
-    averages over a key's windows.  A window that ends before it starts has one edge that
-    counts nothing.  Sums run in decimals (six places), so their difference is exact.
+    """The daily sales of each window's key and policy over its days; a window
+    without sales has sums of 0.
+
+    Both sides lie dealt by key, so the join moves nothing, and what was ranked by key is
+    sorted already: one row for a window, however long, meets the days of its key, of which
+    there is at most one row a policy and day.  A window that ends before it starts counts
+    nothing.  Sums run in decimals (six places), so they are exact in any order.
     ``counted`` marks the daily rows that ``days_with_sales`` counts, by rule."""
     rules = ("range", "positive")
-    d = daily.select("policy", *KEY, F.col("order_date").alias("_day"), F.lit(0).alias("_edge"),
+    d = daily.select(F.col("policy").alias("_policy"), *[F.col(k).alias(f"_{k}") for k in KEY], F.col("order_date").alias("_day"),
                      F.coalesce(F.col("daily_qty").try_cast("decimal(28,6)"), F.lit(0)).alias("_qty"),
-                     *[F.when(c, 1).otherwise(0).cast("bigint").alias(f"_{r}") for r, c in zip(rules, counted, strict=True)],
-                     F.lit(None).cast(windows.select(F.struct("variant", *WINDOW_COLUMNS)).schema[0].dataType).alias("_w"))
-    whole = F.col("sample_end") >= F.col("sample_start")
-    edge = F.when(whole, F.array(F.struct(F.date_sub("sample_start", 1).alias("_day"), F.lit(-1).alias("_edge")),
-                                 F.struct(F.col("sample_end").alias("_day"), F.lit(1).alias("_edge")))) \
-            .otherwise(F.array(F.struct(F.col("sample_end").alias("_day"), F.lit(2).alias("_edge"))))
-    e = windows.select("policy", *KEY, F.explode(edge).alias("_e"), F.struct("variant", *WINDOW_COLUMNS).alias("_w")).select(
-        "policy", *KEY, "_e._day", "_e._edge", F.lit(0).cast("decimal(28,6)").alias("_qty"), *[F.lit(0).cast("bigint").alias(f"_{r}") for r in rules], "_w")
-    # edges stand after the daily row of their day
-    so_far = Window.partitionBy(*DEAL, "policy").orderBy("_day", F.col("_w").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = d.unionByName(e).withColumns({c: F.sum(c).over(so_far) for c in ("_qty", "_range", "_positive")}).filter(F.col("_w").isNotNull())
-    sign = F.when(F.col("_edge") == 2, 0).otherwise(F.col("_edge"))
-    return (sums.groupBy("policy", *KEY, "_w").agg(*[F.sum(F.col(c) * sign).alias(c) for c in ("_qty", "_range", "_positive")])
+                     *[F.when(c, 1).otherwise(0).cast("bigint").alias(f"_{r}") for r, c in zip(rules, counted, strict=True)])
+    w = windows.select("policy", *KEY, F.struct("variant", *WINDOW_COLUMNS).alias("_w"))
+    # the policy is compared by order: as a further key of the join it would deal both sides anew
+    policy = (F.col("_policy") >= F.col("policy")) & (F.col("_policy") <= F.col("policy"))
+    inside = F.col("_day").between(F.col("_w.sample_start"), F.col("_w.sample_end"))
+    # a null key meets a null key; keys that cannot be null are joined as they are dealt
+    may_be_null = {k for k in KEY if d.schema[f"_{k}"].nullable or w.schema[k].nullable}
+    keys = [F.col(f"_{k}").eqNullSafe(F.col(k)) if k in may_be_null else F.col(f"_{k}") == F.col(k) for k in DEAL]
+    on = reduce(operator.and_, keys) & policy & inside
+    sums = d.join(w.hint("merge"), on, "right").groupBy("policy", *KEY, "_w")
+    return (sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_qty", "_range", "_positive")])
             .select("_w.variant", "policy", *KEY, *[f"_w.{c}" for c in WINDOW_COLUMNS], F.col("_qty").cast("double").alias("sample_qty"),
                     *[F.col(f"_{r}") for r in rules]))
 
@@ -334,6 +332,8 @@ def demand_windows(erp: Erp, as_of: str | None, variants: Sequence[str] = ("8_30
     other SKUs are dropped at their first join."""
     if sku is not None:
         erp = Erp(**{**erp.__dict__, "products": erp.products.filter(F.col("Sku") == sku)})
+    if erp.products.filter(F.col("Sku").isNull()).isEmpty():  # changes no row, but tells the plan that no key is null
+        erp = Erp(**{**erp.__dict__, "products": erp.products.withColumn("Sku", F.coalesce("Sku", F.lit("")))})
     policies = sorted({SPECS[v].policy for v in variants})
     daily = SL.daily_sales(erp, policies, date_from, date_to, channels, by_key=True)
     if with_refs:

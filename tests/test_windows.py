@@ -229,3 +229,20 @@ def test_days_ranked_in_one_pass_by_key(spark):
     demand = W.key_demand(W.demand_windows(erp, "2001-06-30", with_refs=False), ("8_30", "15", "30"))
     plan = demand._jdf.queryExecution().executedPlan().toString().lower()
     assert sum("exchange hashpartitioning(" in line and "sku#" in line and "region#" in line for line in plan.splitlines()) == 2, plan
+
+
+def test_windows_meet_the_days_where_they_lie(spark):
+    """A window is one row that meets the days of its key by a merge of rows that are dealt
+    and, on its side, sorted already; a product without a SKU keeps its demand."""
+    sales = [(1, "918-001", 3.0, "2026-05-20", None, SOUTH_WH), (2, None, 46.0, "2026-05-20", None, SOUTH_WH)]
+    arrivals = ((1, "918-001", "C1", K.SOUTH_PORT_ID, "2026-05-10"), (2, None, "C2", K.SOUTH_PORT_ID, "2026-05-10"))
+    for skus in (("918-001",), ("918-001", None)):
+        erp = make_erp(spark, skus=skus, sales=[x for x in sales if x[1] in skus], arrivals=[x for x in arrivals if x[1] in skus])
+        for with_refs in (False, True):
+            perf = W.demand_windows(erp, "2026-07-10", ("8_30",), "2025-01-01", "2099-12-31", with_refs=with_refs)
+            assert {r.sku: r.sample_qty for r in perf.collect()} == {s: 46.0 if s is None else 3.0 for s in skus}
+        if None not in skus:
+            demand = W.key_demand(W.demand_windows(erp, "2026-07-10", with_refs=False), ("8_30", "15", "30"))
+            plan = demand._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin [_sku", 1)
+            sides = [line for line in plan[1].splitlines() if "_sku#" in line and "Sort [" in line]
+            assert "Window" not in plan[0] and len(sides) == 1 and "Sort [sku" not in plan[1].split("Generate explode", 1)[0], plan
