@@ -189,3 +189,20 @@ def test_two_passages_of_one_chain():
     b = a.copy()
     b[80:110] = -1 - np.arange(30)
     assert sorted(passages.alignments(a, b, -8, 8, 0, 190)) == [(0, 80, 0, 80, 80), (110, 200, 110, 200, 90)]
+
+
+def test_hopeful_pairs_hold_all_long_alignments():
+    rng = np.random.default_rng(5)
+    a, b = [], []
+    for n in range(300):
+        x = rng.integers(0, 400, int(rng.integers(0, 160))).astype(np.uint64)
+        y = x.copy()
+        for i in rng.permutation(len(x))[:len(x) * int(rng.integers(0, 12)) // 20]:
+            y[i] = 1000 + i
+        a.append(x)
+        b.append(np.concatenate([rng.integers(0, 400, n % 30).astype(np.uint64), y]) if n % 4 else rng.integers(0, 400, 90).astype(np.uint64))
+    low, high = [-(n % 30) - 8 for n in range(300)], [8 - n % 30 for n in range(300)]
+    long = np.array([any(min(r[1] - r[0], r[3] - r[2]) >= 50 for r in passages.alignments(x, y, lo, hi, 0, len(x))) for x, y, lo, hi in zip(a, b, low, high, strict=True)])
+    got = passages.hopeful(a, b, low, high, 50)
+    assert 20 < long.sum() < 200 and got[long].all() and not got[::4].any() and got.sum() < 250
+    assert not passages.hopeful([], [], [], [], 50).any() and not passages.hopeful(a[:1], [b[0][:0]], [0], [0], 50).any()

@@ -415,3 +415,17 @@ def test_cutoffs_come_from_all_labels(spark):
         toxicity.threshold_of = was
     assert set(model.thresholds) == {"few", "en"} and sum(map(sum, seen)) == 2400 - 160
     assert min(seen[sorted(range(2), key=lambda k: sum(seen[k]))[0]]) >= 50  # the small language is calibrated
+
+
+def test_passes_over_the_chains_lose_no_passage(spark, monkeypatch):
+    """The pieces of texts lie on disk for one share of the chains at a time; all shares
+    together give what one pass does."""
+    rows = [(i, " ".join(f"w{(i // 5) * 1000 + j}" if j < 70 else f"u{i}_{j}" for j in range(120))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shares = []
+    real = passages.cut
+    monkeypatch.setattr(passages, "cut", lambda df, name, *a, **k: (shares.append(name), real(df, name, *a, **k))[1])
+    got = sorted(map(tuple, passages.passages(docs).collect()))
+    assert shares.count("passages") == passages.PASSES > 1 and len({r[0] for r in got}) == 32
+    monkeypatch.setattr(passages, "PASSES", 1)
+    assert sorted(map(tuple, passages.passages(docs).collect())) == got
