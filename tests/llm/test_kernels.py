@@ -206,3 +206,88 @@ def test_hopeful_pairs_hold_all_long_alignments():
     got = passages.hopeful(a, b, low, high, 50)
     assert 20 < long.sum() < 200 and got[long].all() and not got[::4].any() and got.sum() < 250
     assert not passages.hopeful([], [], [], [], 50).any() and not passages.hopeful(a[:1], [b[0][:0]], [0], [0], 50).any()
+
+
+def plain_alignments(a, b, low, high, first, last):
+    """``alignments``, one run after another."""
+    def best_of(a, b, low, high):
+        runs, score, back = passages.runs_by_words(a, b, low, high), [], []
+        for r, (i, j, n) in enumerate(runs):
+            v, p = n, -1
+            for q in range(r - 1, max(-1, r - 64), -1):
+                qi, qj, qn = runs[q]
+                over = max(0, qi + qn - i, qj + qn - j)
+                di, dj = i + over - qi - qn, j + over - qj - qn
+                if over < n and 0 <= di <= 8 and 0 <= dj <= 8 and score[q] + n - over - 0.5 * max(di, dj) > v:
+                    v, p = score[q] + n - over - 0.5 * max(di, dj), q
+            score.append(v)
+            back.append(p)
+        if not runs:
+            return None
+        r = int(np.argmax(score))
+        i1, j1, matched, then = runs[r][0] + runs[r][2], runs[r][1] + runs[r][2], 0, None
+        while r >= 0:
+            i, j, n = runs[r]
+            if then:
+                n = min(n, then[0] - i, then[1] - j)
+                k, other = 0, b[j + n:then[1]].tolist()
+                for w in a[i + n:then[0]].tolist():
+                    if w in other[k:]:
+                        matched, k = matched + 1, k + other[k:].index(w) + 1
+            matched, then, r = matched + n, (i, j), back[r]
+        return then[0], i1, then[1], j1, matched
+
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, i_end, j, j_end = todo.pop()
+        got = best_of(a[i:i_end], b[j:j_end], low - i + j, high - i + j)
+        if got:
+            i0, i1, j0, j1, matched = got
+            out.append((i + i0, i + i1, j + j0, j + j1, matched))
+            todo += [(i, i + i0, j, j + j0)] * (i + i0 > first + passages.SEED) + [(i + i1, i_end, j + j1, j_end)] * (i + i1 + passages.SEED < last)
+    return sorted(out)
+
+
+def test_all_pairs_at_once_align_as_one_by_one():
+    rng = np.random.default_rng(3)
+    cases = []
+    for t in range(400):
+        x = rng.integers(0, int(rng.choice([3, 40, 400])), int(rng.integers(0, 220))).astype(np.uint64)
+        y = x.copy()
+        for i in rng.permutation(len(x))[:len(x) * int(rng.integers(0, 8)) // 20]:
+            y[i] = 1000 + i
+        y = np.delete(y, rng.permutation(len(y))[:len(y) // 12]) if t % 3 == 0 else y
+        if t % 5 == 0:
+            y[50:80] = 9999
+        first = int(rng.integers(0, 60))
+        cases.append((x, np.concatenate([rng.integers(0, 400, t % 30).astype(np.uint64), y]), -(t % 30) - 8, 8 - t % 30 + (300 if t % 7 == 0 else 5), first, first + int(rng.integers(0, 200))))
+    want = [plain_alignments(*c) for c in cases]
+    columns = list(zip(*cases, strict=True))
+    flat = [*passages.flat(columns[0]), *passages.flat(columns[1]), *(np.array(c) for c in columns[2:])]
+    for least in (0, 50):
+        got = [[] for _ in cases]
+        for r, *one in passages.align_rows(*flat, least=least).tolist():
+            got[r].append(tuple(one))
+        long = lambda rows: sorted(r for r in rows if min(r[1] - r[0], r[3] - r[2]) >= least)
+        assert list(map(long, got)) == list(map(long, want)) and sum(map(len, got)) > 150
+
+
+def test_all_pairs_at_once_chain_as_one_by_one():
+    rng = np.random.default_rng(4)
+    rows, x, y = [], [], []
+    for r in range(300):
+        n, wide = int(rng.integers(1, 60)), int(rng.choice([30, 100, 600]))
+        one = sorted({(int(i), int(i + rng.choice([0, 0, 0, 1, 12, -12, 200]))) for i in rng.integers(0, wide, n)})
+        rows += [r] * len(one)
+        x += [i for i, _ in one]
+        y += [j for _, j in one]
+    rows, x, y = map(np.array, (rows, x, y))
+    score, back, chain = passages.chain_rows(rows, x, y)
+    for r in range(300):
+        at = np.flatnonzero(rows == r)
+        assert (score[at].max() - 4 * plain_chains(x[at].tolist(), y[at].tolist())) == 0
+        one = {}
+        for p in at:
+            one.setdefault(chain[p], []).append(int(p - at[0]))
+            assert back[p] < 0 or (chain[back[p]] == chain[p] and x[back[p]] < x[p] and y[back[p]] < y[p])
+        assert sorted(one.values()) == sorted(passages.chains(x[at].tolist(), y[at].tolist()))
