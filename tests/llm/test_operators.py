@@ -429,3 +429,16 @@ def test_passes_over_the_chains_lose_no_passage(spark, monkeypatch):
     assert shares.count("passages") == passages.PASSES > 1 and len({r[0] for r in got}) == 32
     monkeypatch.setattr(passages, "PASSES", 1)
     assert sorted(map(tuple, passages.passages(docs).collect())) == got
+
+
+def test_passages_late_in_long_texts_and_of_texts_under_one_id(spark):
+    """Pieces of a text in blocks are those of the whole one; the longest piece stands for texts of one id."""
+    odd = lambda k, n: " ".join(f"é{k}x{i}" for i in range(n))
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(1, f"{odd(1, 4000)} {shared} {odd(2, 3000)}"), (2, f"{odd(3, 1500)} {shared}"), (3, f"{shared} {odd(4, 5000)}"), (3, "short"), (4, None)]
+    assert len(rows[0][1]) > 8 * passages.BLOCK
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows[:3])
+    assert {(r.doc_id, r.src_doc_id) for r in found} >= {(2, 1), (3, 1)}
+    for r in found:
+        assert texts[r.doc_id][r.start:r.start + r.length] == shared == texts[r.src_doc_id][r.src_start:r.src_start + r.src_length]
